@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from minuteworks.llm.common import table
 from minuteworks.llm.exact_dedup import exact_dedup
+from minuteworks.llm.simple8b import token_files
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +29,7 @@ SELECT doc_id,
 FROM d
 """
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES = {
+    "op3_token_files": op3_token_files,
+    "op8_exact_dedup": op8_exact_dedup}
 ORACLES = {"op8_exact_dedup": OP8_SQL}
