@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from minuteworks.llm.common import table
 from minuteworks.llm.exact_dedup import exact_dedup
+from minuteworks.llm.secrets import scan_secrets
 from minuteworks.llm.simple8b import token_files
+from minuteworks.llm.warc import warc_round_trip
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
@@ -31,5 +41,8 @@ FROM d
 
 QUERIES = {
     "op3_token_files": op3_token_files,
-    "op8_exact_dedup": op8_exact_dedup}
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_secrets": op9_secrets,
+    "op10_warc": op10_warc,
+}
 ORACLES = {"op8_exact_dedup": OP8_SQL}
