@@ -200,7 +200,9 @@ def read_warc(files: DataFrame, out_dir: str, range_bytes: int = 8 << 20, payloa
                         yield batch_of(wait)
 
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    return ranges.repartition("path", "start").mapInArrow(read, ROWS)
+    # a fixed number: the rows are few and small, and adaptive execution would join them in one task
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, ROWS)
 
 
 def warc_round_trip(pages: DataFrame, least_bytes: int = 0, range_bytes: int = 8 << 20) -> DataFrame:
