@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from minuteworks.llm.common import table
 from minuteworks.llm.exact_dedup import exact_dedup
+from minuteworks.llm.language import identify_language
+from minuteworks.llm.quality import quality_scores
 from minuteworks.llm.secrets import scan_secrets
 from minuteworks.llm.simple8b import token_files
 from minuteworks.llm.warc import warc_round_trip
@@ -15,6 +17,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,6 +51,8 @@ FROM d
 
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,

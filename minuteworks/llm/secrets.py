@@ -44,9 +44,11 @@ def token_counter(vocabulary: str):
 
 
 def is_identifier(run: str) -> bool:
-    """Known digests, UUIDs, numbers, and strings that do not mix digits with letters or cases."""
+    """Known digests, UUIDs, numbers, and strings that do not mix digits with letters or cases; a
+    capital first letter does not count as another case."""
     if DIGEST.match(run) and (len(run) in DIGEST_LENGTHS or run.isdigit()) or UUID.match(run):
         return True
+    run = run[0].lower() + run[1:] if not run.isupper() else run
     kinds = (any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run))
     return sum(kinds) < 2
 
