@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from minuteworks.llm.common import table
 from minuteworks.llm.exact_dedup import exact_dedup
 from minuteworks.llm.language import identify_language
+from minuteworks.llm.minhash import minhash_components
 from minuteworks.llm.quality import quality_scores
 from minuteworks.llm.secrets import scan_secrets
 from minuteworks.llm.simple8b import token_files
 from minuteworks.llm.warc import warc_round_trip
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ FROM d
 """
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op3_token_files": op3_token_files,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
