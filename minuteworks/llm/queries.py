@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from minuteworks.llm.common import table
+from minuteworks.llm.embedding_dedup import near_vectors
 from minuteworks.llm.exact_dedup import exact_dedup
 from minuteworks.llm.language import identify_language
 from minuteworks.llm.minhash import minhash_components
@@ -22,6 +23,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +62,7 @@ FROM d
 QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_token_files": op3_token_files,
+    "op5_near_vectors": op5_near_vectors,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
