@@ -9,6 +9,7 @@ from minuteworks.llm.embedding_dedup import near_vectors
 from minuteworks.llm.exact_dedup import exact_dedup
 from minuteworks.llm.language import identify_language
 from minuteworks.llm.minhash import minhash_components
+from minuteworks.llm.pieces import piece_digests
 from minuteworks.llm.quality import quality_scores
 from minuteworks.llm.secrets import scan_secrets
 from minuteworks.llm.simple8b import token_files
@@ -23,6 +24,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -62,6 +67,7 @@ FROM d
 QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_token_files": op3_token_files,
+    "op4_pieces": op4_pieces,
     "op5_near_vectors": op5_near_vectors,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
