@@ -9,6 +9,7 @@ from minuteworks.llm.embedding_dedup import near_vectors
 from minuteworks.llm.exact_dedup import exact_dedup
 from minuteworks.llm.language import identify_language
 from minuteworks.llm.minhash import minhash_components
+from minuteworks.llm.packing import pack_documents
 from minuteworks.llm.pieces import piece_digests
 from minuteworks.llm.quality import quality_scores
 from minuteworks.llm.secrets import scan_secrets
@@ -16,6 +17,10 @@ from minuteworks.llm.simple8b import token_files
 from minuteworks.llm.warc import warc_round_trip
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(table(spark, sf_dir, "documents"), width=2)
 
@@ -65,6 +70,7 @@ FROM d
 """
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
     "op3_token_files": op3_token_files,
     "op4_pieces": op4_pieces,
