@@ -1,26 +1,54 @@
-"""A corpus pipeline over ``documents``: each stage is written as Parquet and read by the next."""
+"""A corpus pipeline over ``documents``: quality, exact copies, near copies, secrets, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and
+read again as the next stage's ``docs``.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from minuteworks.llm.common import scratch_path
+from minuteworks.llm.common import scratch_path, table
 from minuteworks.llm.exact_dedup import drop_exact_copies
+from minuteworks.llm.minhash import drop_near_copies
+from minuteworks.llm.packing import pack_documents
+from minuteworks.llm.quality import grade_of, keep_good, train
+from minuteworks.llm.secrets import redact_secrets
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for low quality or toxic go."""
+    return keep_good(docs, train(docs, grade_of(table(spark, sf_dir, "labels"))))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One document of each group of equal texts stays."""
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (five words, 0.8) stays."""
+    return drop_near_copies(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are masked."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, placed in sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_copies), ("minhash_dedup", near_copies), ("secrets", secrets), ("packing", packing)]
 
 #: SQL cannot express the classifier, so the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -99,3 +99,36 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(scan, RESULT)
+
+
+def redact_secrets(docs: DataFrame, mask: str = "[secret]", vocabulary: str = "byte_bpe_50k.tiktoken", max_ratio: float = 2.0) -> DataFrame:
+    """All rows and columns of ``docs``, with every span of ``text`` replaced by ``mask`` (spans that
+    overlap by one mask) and ``n_chars``, if there is one, counted anew.  Texts without secrets, null
+    ones too, stay as they are."""
+    schema, names = docs.schema, docs.columns
+    text_at = names.index("text")
+
+    def run(batches):
+        count = token_counter(vocabulary)
+        for batch in batches:
+            for a, z in slices_of(batch.column(text_at)):
+                part = batch.slice(a, z - a)
+                texts = [t and masked(t, find_secrets(t, count, max_ratio), mask) for t in part.column(text_at).to_pylist()]
+                columns = part.columns
+                columns[text_at] = pa.array(texts, columns[text_at].type)
+                if "n_chars" in names:
+                    at = names.index("n_chars")
+                    changed = [len(t) if t is not None and t != old else n for t, old, n in zip(texts, part.column(text_at).to_pylist(), columns[at].to_pylist())]
+                    columns[at] = pa.array(changed, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def masked(text: str, spans, mask: str) -> str:
+    out, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
