@@ -1,4 +1,6 @@
 """Registered queries: operators applied to the driver's tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from minuteworks.plans import tables
+
+QUERIES = {**tables.QUERIES}
+ORACLES = {**tables.ORACLES}
