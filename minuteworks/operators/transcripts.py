@@ -244,9 +244,9 @@ def evidence_anchors(transcripts: DataFrame, attempts: DataFrame, revision: Data
     ranges = F.when(F.size(F.coalesce("segments", F.array())) > 0, F.col("segments")).otherwise(F.col("words"))
     rows = attempts.select("recording_id", "chunk_index", "created_at", "attempt_name", F.posexplode(ranges).alias("i", "r"))
     rows = rows.select("recording_id", "chunk_index", "created_at", "attempt_name", "i", F.col("r.start").alias("start_s"), F.col("r.end").alias("end_s"), F.trim("r.text").alias("text"))
-    texts = transcripts.join(revision, "recording_id").select("recording_id", F.col("text").alias("transcript"), "revision_id")
+    texts = transcripts.select("recording_id", F.col("text").alias("transcript"))
 
-    def locate(key, ranges: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    def locate(ranges: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         ranges = ranges.sort_values(["chunk_index", "created_at", "attempt_name", "i"], kind="stable")
         transcript = texts["transcript"].iloc[0] if len(texts) else ""
         cursor, spans = 0, []
@@ -263,7 +263,8 @@ def evidence_anchors(transcripts: DataFrame, attempts: DataFrame, revision: Data
     kind = dict(attempts.dtypes)["recording_id"]
     found = rows.groupBy("recording_id").cogroup(texts.groupBy("recording_id")).applyInPandas(locate, f"recording_id {kind}, chunk_index int, i int, start_s double, end_s double, text string, char_start int, char_end int")
     named = F.sha2(F.concat_ws(":", "revision_id", F.col("chunk_index").cast("string"), F.col("i").cast("string"), F.format_string("%.3f", "start_s"), F.format_string("%.3f", "end_s")), 256)
-    return found.join(revision.select("recording_id", "revision_id"), "recording_id").withColumn("evidence_id", named).drop("revision_id")
+    ids = revision.select(F.col("recording_id").alias("_r"), "revision_id")
+    return found.join(ids, F.col("recording_id") == F.col("_r")).withColumn("evidence_id", named).drop("revision_id", "_r")
 
 
 def blocking_quality(quality: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries: operators applied to the driver's tables, with their SQL."""
 
-from minuteworks.plans import tables
+from minuteworks.plans import speech, tables  # noqa: F401
 
-QUERIES = {**tables.QUERIES}
+QUERIES = {**tables.QUERIES}  # speech adds its own to the same registry
 ORACLES = {**tables.ORACLES}

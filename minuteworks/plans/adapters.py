@@ -145,6 +145,18 @@ ADAPTERS: dict[str, str] = {
         SELECT conv_id * 1000 + turn AS id, concat('data: {{"choices":[{{"delta":{{"content":"', role, ' "}}}}]}}', chr(10), ': keep-alive', chr(10), chr(10), 'data: {{bad', chr(10),
                'data: {{"choices":[{{"delta":{{"content":"', CAST(turn AS STRING), '"}}}}]}}', chr(10), 'data: [DONE]') AS body
         FROM {conversations}""",
+    "attempts": """
+        SELECT conv_id AS recording_id, CAST(turn AS INT) AS chunk_index, CASE WHEN conv_id % 7 = 0 THEN NULL WHEN turn % 5 = 3 THEN NULL ELSE concat('run-', CAST(turn % 2 AS STRING)) END AS run_id,
+               concat('2024-01-01T00:00:', CAST(10 + turn AS STRING), 'Z') AS created_at, concat('attempt-', CAST(turn AS STRING)) AS attempt_name, text, md5(text) AS audio_sha256, turn % 6 = 5 AS failed
+        FROM {conversations}""",
+    "brand_texts": """
+        SELECT p_brand AS recording_id, p_partkey AS ord, p_name AS word FROM {part}""",
+    "brand_terms": """
+        SELECT DISTINCT p_brand AS recording_id, CASE WHEN p_partkey % 2 = 0 THEN concat(substring(p_name, 1, length(p_name) - 1), 'x') ELSE p_name END AS term FROM {part} WHERE p_partkey % 3 = 0""",
+    "reports": """
+        SELECT o_orderkey AS recording_id, o_orderkey % 5 <> 0 AS requires_review,
+               CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN split('track_imbalance: a;mic_missing_advisory: b', ';') WHEN o_orderkey % 4 = 2 THEN split('mic_missing: c;track_imbalance: a;mixed_clipping: d', ';') ELSE split('mic_overrun: e', ';') END AS warnings
+        FROM {orders}""",
     "line_docs": """
         SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat(text, chr(10), text, chr(10), chr(10), chr(10), text) WHEN doc_id % 5 = 1 THEN concat('# Head', chr(10), '# head', chr(10), '# HEAD', chr(10), text) ELSE text END AS text
         FROM {documents}""",
