@@ -11,6 +11,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space (Unicode) at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalized(word: Column) -> Column:
     """Letters and digits, in lower case."""
     return F.lower(F.regexp_replace(word, r"[^\p{IsAlphabetic}\p{N}]", ""))

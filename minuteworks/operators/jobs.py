@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from minuteworks.functions.text import strip
+
 MAX_ATTEMPTS = 4
 AI_VERSION = 16
 TRANSCRIPTION_VERSION = 3
@@ -55,7 +57,7 @@ TRANSITIONS = (
 
 
 def blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c), F.lit("")) == ""
+    return F.coalesce(strip(c), F.lit("")) == ""
 
 
 def attempts() -> Column:

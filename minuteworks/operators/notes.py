@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from minuteworks.functions.text import strip
+
 INTERNAL = "internal-"
 
 
@@ -42,14 +44,14 @@ def merged_tags(existing: Column, requested: Column, prefix: str = INTERNAL) ->
 
 def validate_titles(df: DataFrame, most: int = 240) -> DataFrame:
     """``title`` trimmed and ``title_error``: ``empty``, ``too_long`` or null; a null title passes."""
-    title = F.trim("title")
+    title = strip("title")
     error = F.when(F.length(title) == 0, "empty").when(F.length(title) > most, "too_long")
     return df.withColumn("title_error", error).withColumn("title", title)
 
 
 def validate_note_requests(df: DataFrame) -> DataFrame:
     """``request_error``: the first of bad job id, time zone or recording time."""
-    job, zone = F.trim("job_id"), F.col("timezone")
+    job, zone = strip("job_id"), F.col("timezone")
     bad_job = (F.octet_length(job) < 1) | (F.octet_length(job) > 128)
     bad_zone = (F.octet_length(zone) < 1) | (F.octet_length(zone) > 64) | zone.rlike(r"\p{Cntrl}")
     bad_time = ~F.col("recorded_at").rlike(r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$") | F.try_to_timestamp("recorded_at").isNull()
@@ -62,11 +64,11 @@ def insert_once(notes: DataFrame, requests: DataFrame, prefix: str = INTERNAL) -
     A note of the user that already carries the job's tag, deleted or not, is ``existing`` (the lowest
     id); else the first request of the batch is ``insert`` and later ones are ``duplicate``.
     """
-    tag = F.concat(F.lit(f"{prefix}job:"), F.trim("job_id"))
+    tag = F.concat(F.lit(f"{prefix}job:"), strip("job_id"))
     tagged = notes.select("user_id", "id", F.explode("tags").alias("tag")).where(F.col("tag").startswith(f"{prefix}job:"))
     held = tagged.groupBy("user_id", "tag").agg(F.min("id").alias("note_id"))
-    firsts = requests.groupBy("user_id", F.trim("job_id").alias("job_key")).agg(F.min("request_id").alias("first"))
-    named = requests.withColumn("tag", tag).withColumn("job_key", F.trim("job_id")).join(held, ["user_id", "tag"], "left").join(firsts, ["user_id", "job_key"])
+    firsts = requests.groupBy("user_id", strip("job_id").alias("job_key")).agg(F.min("request_id").alias("first"))
+    named = requests.withColumn("tag", tag).withColumn("job_key", strip("job_id")).join(held, ["user_id", "tag"], "left").join(firsts, ["user_id", "job_key"])
     action = F.when(F.col("note_id").isNotNull(), "existing").when(F.col("request_id") == F.col("first"), "insert").otherwise("duplicate")
     return named.select("request_id", "user_id", F.col("job_key").alias("job_id"), "note_id", action.alias("action"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteworks.functions import lexicon as L
-from minuteworks.functions.text import contains_any, normalized_words, occurrences, starts_with_any, words
+from minuteworks.functions.text import contains_any, normalized_words, occurrences, starts_with_any, strip, words
 
 # ---- cleaning -----------------------------------------------------------------------------
 
@@ -173,7 +173,7 @@ def build_glossary(rows: DataFrame, max_terms: int = 1000, max_chars: int = 64_0
     ``raw``; split at commas, semicolons and line feeds; the first spelling of a term stays; ``error``
     names what makes the glossary invalid."""
     split = rows.select("recording_id", (F.col("source") != "recording").cast("int").alias("later"), "ord", F.posexplode(F.split("raw", r"[,;\n]")).alias("pos", "term"))
-    terms = split.withColumn("term", F.trim("term")).where("term <> ''")
+    terms = split.withColumn("term", strip("term")).where("term <> ''")
     first = terms.groupBy("recording_id", F.lower("term").alias("folded")).agg(F.min(F.struct("later", "ord", "pos", "term")).alias("f"))
     order = Window.partitionBy("recording_id").orderBy("f.later", "f.ord", "f.pos")
     ranked = first.select("recording_id", "f.term", F.row_number().over(order).alias("rank"), F.sum(F.length("f.term")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("chars"))
@@ -243,7 +243,7 @@ def evidence_anchors(transcripts: DataFrame, attempts: DataFrame, revision: Data
     """
     ranges = F.when(F.size(F.coalesce("segments", F.array())) > 0, F.col("segments")).otherwise(F.col("words"))
     rows = attempts.select("recording_id", "chunk_index", "created_at", "attempt_name", F.posexplode(ranges).alias("i", "r"))
-    rows = rows.select("recording_id", "chunk_index", "created_at", "attempt_name", "i", F.col("r.start").alias("start_s"), F.col("r.end").alias("end_s"), F.trim("r.text").alias("text"))
+    rows = rows.select("recording_id", "chunk_index", "created_at", "attempt_name", "i", F.col("r.start").alias("start_s"), F.col("r.end").alias("end_s"), strip("r.text").alias("text"))
     texts = transcripts.select("recording_id", F.col("text").alias("transcript"))
 
     def locate(ranges: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
@@ -294,5 +294,5 @@ def integrity_report(transcripts: DataFrame, attempts: DataFrame, glossary: Data
 
 def accept_revisions(current: DataFrame, accepted: DataFrame, max_bytes: int = 10_000_000) -> DataFrame:
     """Transcripts with accepted texts put in place; blank and oversized ones change nothing."""
-    good = accepted.where((F.trim("text") != "") & (F.octet_length("text") <= max_bytes)).select("recording_id", F.col("text").alias("_new"))
+    good = accepted.where((strip("text") != "") & (F.octet_length("text") <= max_bytes)).select("recording_id", F.col("text").alias("_new"))
     return current.join(good, "recording_id", "left").withColumns({"accepted": F.col("_new").isNotNull(), "text": F.coalesce("_new", "text")}).drop("_new")

@@ -49,7 +49,7 @@ query("n4_merge_tags", "notes note_patches", """
     FROM note_patches p JOIN notes n USING (id)
 """)(lambda n, p: n.alias("n").join(p.alias("p"), "id").select("id", joined(N.merged_tags(F.col("n.tags"), F.col("p.tags"))).alias("tags")))
 query("n5_title_errors", "note_requests", """
-    SELECT request_id, trim(title, ' ') AS title, CASE WHEN length(trim(title, ' ')) = 0 THEN 'empty' WHEN length(trim(title, ' ')) > 240 THEN 'too_long' END AS title_error FROM note_requests
+    SELECT request_id, regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS title, CASE WHEN length(regexp_replace(title, '^\\s+|\\s+$', '', 'g')) = 0 THEN 'empty' WHEN length(regexp_replace(title, '^\\s+|\\s+$', '', 'g')) > 240 THEN 'too_long' END AS title_error FROM note_requests
 """)(lambda r: N.validate_titles(r).select("request_id", "title", "title_error"))
 query("n6_request_errors", "note_requests", """
     SELECT request_id, CASE WHEN strlen(timezone) < 1 OR strlen(timezone) > 64 THEN 'timezone' WHEN recorded_at = 'yesterday' THEN 'recorded_at' END AS request_error FROM note_requests
