@@ -202,7 +202,7 @@ class Reader:
 
 
 FILES = "file int, path string, n_docs long, n_ids long"
-DOCS = "doc_id long, file int, start_in_file long, n_tokens long, ids_crc32 long"
+DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,17 +259,18 @@ def read_token_files(files: DataFrame, out_dir: str, ids_at_once: int = 4_000_00
                         ids, base = reader.ids(int(starts[a]), int(ends[b - 1])).astype("<u4"), starts[a]
                         crc = [zlib.crc32(ids[starts[k] - base : ends[k] - base].tobytes()) for k in range(a, b)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(reader.docs[a:b], mask=reader.nulls[a:b].astype(bool)), pa.array(np.full(b - a, row["file"], np.int32)), pa.array(starts[a:b]), pa.array(reader.tokens[a:b]), pa.array(crc, pa.int64())],
-                            names=["doc_id", "file", "start_in_file", "n_tokens", "ids_crc32"],
+                            [pa.array(reader.docs[a:b], mask=reader.nulls[a:b].astype(bool)), pa.array(starts[a:b] + row["before"]), pa.array(reader.tokens[a:b]), pa.array(crc, pa.int64())],
+                            names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
                         a = b
 
-    parts = files.select("file", "path", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n_ids") / ids_at_once) - 1).cast("int"))).alias("part"))
-    rows = parts.repartition("file", "part").mapInArrow(read, DOCS)
     # one row per file: few, whatever the number of documents
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = files.select(F.col("file").alias("of"), before.alias("before"))
-    return rows.join(bases, F.col("file") == F.col("of")).select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n_ids") / ids_at_once) - 1).cast("int"))
+    parts = files.withColumn("before", before).select("file", "path", "before", F.explode(numbers).alias("part"))
+    # a fixed number: the rows are few and small, and adaptive execution would join them in one task
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(tasks, "file", "part").mapInArrow(read, DOCS)
 
 
 def token_files(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2) -> DataFrame:
