@@ -63,12 +63,15 @@ def live_transcripts(parts: DataFrame, wait: str = "900 seconds") -> DataFrame:
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            sent = state.get[2]
             state.remove()
-            yield pd.DataFrame({"recording_id": [key[0]], "status": ["open"], "transcript": [None]})
+            if not sent:
+                yield pd.DataFrame({"recording_id": [key[0]], "status": ["open"], "transcript": [None]})
             return
-        held, expected, sent = state.get if state.exists else ("{}", -1, False)
+        held, expected, sent, last = state.get if state.exists else ("{}", -1, False, 0)
         seen = json.loads(held)
         for pdf in batches:
+            last = max(last, int(pdf["ts"].max().timestamp() * 1000))
             for r in pdf.sort_values("ts", kind="stable").itertuples():
                 seen[str(r.chunk_index)] = None if r.failed else r.text or ""
                 if r.n_expected == r.n_expected and r.n_expected is not None:
@@ -78,12 +81,12 @@ def live_transcripts(parts: DataFrame, wait: str = "900 seconds") -> DataFrame:
             text = None if failed else stitched({int(k): t for k, t in seen.items()})
             yield pd.DataFrame({"recording_id": [key[0]], "status": ["failed" if failed else "complete"], "transcript": [text]})
             seen, sent = {}, True  # what was sent is not sent again until the state times out
-        state.update((json.dumps(seen), expected, sent))
-        if not sent:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + milliseconds)
+        state.update((json.dumps(seen), expected, sent, last))
+        # by event time: ``wait`` after the newest part, of what was sent too, so that state ends
+        state.setTimeoutTimestamp(max(last + milliseconds, state.getCurrentWatermarkMs() + 1))
 
     cleaned = parts.withWatermark("ts", wait).withColumn("text", clean_transcript(F.col("text")))
-    return cleaned.groupBy("recording_id").applyInPandasWithState(update, "recording_id string, status string, transcript string", "held string, expected long, sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return cleaned.groupBy("recording_id").applyInPandasWithState(update, "recording_id string, status string, transcript string", "held string, expected long, sent boolean, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedupe_handoffs(stream: DataFrame, wait: str = "900 seconds") -> DataFrame:
