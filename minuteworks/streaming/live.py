@@ -6,7 +6,6 @@ K1, K2, K5 and K7 are the same expressions in batch and stream; K3 and K6 keep s
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from minuteworks.operators.transcripts import LONGEST_SEAM, clean_transcript, plain, seam
-
-EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
+from minuteworks.sources.scratch import shared_dir
 
 
 def on_own_clock(df: DataFrame) -> DataFrame:
@@ -135,8 +133,7 @@ def command_traces_stream(logs: DataFrame, wait: str = "10 minutes") -> DataFram
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and returns what it wrote, from a folder that driver and
     executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
