@@ -171,7 +171,8 @@ def leveler_gain(loudness: DataFrame) -> DataFrame:
     """``recording_id, track, chunk_index, gain``: four tenths of the last gain and six of the wanted
     one, chunk after chunk; a null loudness holds."""
     pick = lambda i: F.when(F.col("track") == "system", GAINS["system"][i]).otherwise(GAINS["microphone"][i])
-    wanted = F.pow(F.lit(10.0), F.least(pick(2), F.greatest(pick(1), pick(0) - F.col("lufs"))) / 20)
+    # least and greatest skip nulls, so a null loudness is kept apart
+    wanted = F.when(F.col("lufs").isNotNull(), F.pow(F.lit(10.0), F.least(pick(2), F.greatest(pick(1), pick(0) - F.col("lufs"))) / 20))
     rows = loudness.groupBy("recording_id", "track").agg(F.sort_array(F.collect_list(F.struct("chunk_index", wanted.alias("wanted")))).alias("w"))
     empty = F.array().cast("array<struct<chunk_index:bigint,gain:double>>")
 

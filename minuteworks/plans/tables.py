@@ -255,7 +255,7 @@ query("q9_capture_guidance", "quality_windows", f"""
 """)(lambda w: Q.capture_guidance(Q.window_warnings(w).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "warning"))).alias("w")).select("recording_id", F.transform("w", lambda x: x["warning"]).alias("warnings"))))
 query("q11_leveler_gain", "loudness", """
     WITH RECURSIVE w AS (SELECT recording_id, track, chunk_index, row_number() OVER (PARTITION BY recording_id, track ORDER BY chunk_index) AS k,
-        CASE WHEN track = 'microphone' THEN 10 ** (least(12.0, greatest(-18.0, -22.0 - lufs)) / 20) ELSE 10 ** (least(18.0, greatest(-12.0, -19.0 - lufs)) / 20) END AS wanted FROM loudness),
+        CASE WHEN lufs IS NULL THEN NULL WHEN track = 'microphone' THEN 10 ** (least(12.0, greatest(-18.0, -22.0 - lufs)) / 20) ELSE 10 ** (least(18.0, greatest(-12.0, -19.0 - lufs)) / 20) END AS wanted FROM loudness),
       g AS (SELECT recording_id, track, chunk_index, k, CASE WHEN wanted IS NULL THEN s ELSE 0.4 * s + 0.6 * wanted END AS gain FROM (SELECT *, 10 ** (CASE WHEN track = 'microphone' THEN -9.0 ELSE 3.0 END / 20) AS s FROM w WHERE k = 1)
         UNION ALL SELECT w.recording_id, w.track, w.chunk_index, w.k, CASE WHEN w.wanted IS NULL THEN g.gain ELSE 0.4 * g.gain + 0.6 * w.wanted END FROM g JOIN w ON w.recording_id = g.recording_id AND w.track = g.track AND w.k = g.k + 1)
     SELECT recording_id, track, chunk_index, round(gain, 6) AS gain FROM g
