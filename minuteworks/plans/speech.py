@@ -48,6 +48,10 @@ def transcript_assembly(docs: DataFrame) -> DataFrame:
     return whole.select("recording_id", F.size(F.split("transcript", " ")).cast("long").alias("n_words"), F.length("transcript").cast("long").alias("n_chars"), F.sha2("transcript", 256).alias("transcript_sha256"))
 
 
+on_documents("x7_stitch", """
+    SELECT recording_id, md5(array_to_string(w, ' ')) AS transcript_md5
+    FROM (SELECT doc_id AS recording_id, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x, i: x || '_' || (i - 1)) AS w FROM documents) WHERE len(w) > 0
+""")(lambda d: X.stitch(overlapping_parts(d, 60, 30)).select("recording_id", F.md5("transcript").alias("transcript_md5")))
 NORM = "list_filter(list_transform(string_split_regex({0}, '\\s+'), lambda w: lower(regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g'))), lambda w: w <> '')"
 quoted = lambda items: ", ".join(f"'{i}'" for i in items)
 any_prefix = lambda c, items: "(" + " OR ".join(f"starts_with({c}, '{i}')" for i in items) + ")"
