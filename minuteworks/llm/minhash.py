@@ -5,13 +5,15 @@ Table ``(i, j)`` is keyed by the pair ``(A_i, B_j)``: ``m * m`` tables of ``2 *
 ``2 * m * k`` minima, where plain banding computes ``m * m * 2 * k``.  With ``m=12, k=3`` a pair of
 Jaccard similarity 0.8 meets in no table with a chance of 4 in 10,000, one of 0.85 with 2 in 100,000.
 
-Equal sets are one class first, so copies never meet in the tables.  Links are then found in two
-passes, neither of which emits all pairs of a bucket:
+Equal sets are one class first, so copies never meet in the tables.  Links are then found in three
+passes, none of which emits all pairs of a bucket:
 
 1. every member of a bucket is compared with the bucket's smallest id; components of these links;
-2. where a bucket still holds several components, the members outside its largest one are compared
-   with the members of other components that they share a table with.  A pair is produced once, in
-   the first band of ``A`` that it shares, and only if its sizes and minima allow 0.8.
+2. where a bucket still holds several components, each member outside its largest one is compared with
+   one member of the largest, a different one in every bucket; components again;
+3. what is outside even now is compared with the members of other components that it shares a table
+   with.  A pair is produced once, in the first band of ``A`` that it shares, and only if its sizes
+   and minima allow 0.8.
 
 Pairs inside one component need no further look: they cannot change the components.
 """
@@ -191,6 +193,15 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, m: in
     result row each.  A row with a null id is linked with nothing.  Other columns are ignored; an
     empty table gives an empty result.
     """
+    rows, classes = components_of_classes(docs, width, percent, m, k, least_share)
+    named = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
+    out = named.join(classes, F.col("set_key") == F.col("of"), "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def components_of_classes(docs: DataFrame, width: int, percent: int, m: int, k: int, least_share: float) -> tuple[DataFrame, DataFrame]:
+    """The documents' signatures, and ``of`` (a set's key) with its ``component_id``; both written."""
     rows = written(signatures(docs, width, m, k), "signatures")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets are one class; its smallest id stands for it
@@ -199,36 +210,52 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, m: in
     keys = table_keys(reps, m, k)
     shared = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(keys.join(shared, "key"), "table-members")
-    stars = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     facts = reps.select("rep", "n_shingles", "mins")
-    near = stars.join(facts.select(F.col("rep").alias("b"), F.struct("n_shingles", "mins").alias("y")), "b")
-    near = near.join(facts.select(F.col("rep").alias("a"), F.struct("n_shingles", "mins").alias("x")), "a")
-    pairs = written(near.where(similar_enough(percent, least_share, 2 * m * k)).select("a", "b"), "star-pairs")
-    links = written(confirmed(pairs, docs, width, percent), "links")
+    allowed = similar_enough(percent, least_share, 2 * m * k)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = pairs.distinct().join(facts.select(F.col("rep").alias("b"), F.struct("n_shingles", "mins").alias("y")), "b")
+        near = near.join(facts.select(F.col("rep").alias("a"), F.struct("n_shingles", "mins").alias("x")), "a")
+        return written(confirmed(written(near.where(allowed).select("a", "b"), "near-pairs"), docs, width, percent), "links")
+
+    links = linked(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
     labels = connected_components(links)
 
-    # buckets of three or more that still hold several components
-    placed = written(with_components(members.where("n > 2"), "rep", labels), "placed-members")
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = placed.join(sizes, F.col("component_id") == F.col("component"), "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    mixed = sized.groupBy("key").agg(F.max_by("component_id", F.struct("size", "component_id")).alias("main"), F.min("component_id").alias("c0"), F.max("component_id").alias("c1")).where("c0 <> c1")
-    rest = placed.join(mixed.select("key", "main"), "key").groupBy("rep", "component_id").agg(F.max((F.col("component_id") != F.col("main")).cast("int")).alias("outside"))
+    # buckets of three or more that still hold several components: those outside its largest one meet
+    # one of its members, another in every bucket
+    placed, mixed = mixed_buckets(members.where("n > 2"), labels)
+    inside = F.col("component_id") == F.col("main")
+    leads = mixed.where(inside).groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep"))).alias("first"))
+    outside = mixed.where(~inside).select("key", F.col("rep").alias("b"))
+    links = links.union(linked(outside.join(leads.select("key", F.col("first.rep").alias("a")), "key").select("a", "b")))
+    labels = connected_components(links)
+
+    # what still is outside meets all that it shares a table with
+    placed, mixed = mixed_buckets(placed.select("key", "rep"), labels)
+    rest = mixed.groupBy("rep", "component_id").agg(F.max((~inside).cast("int")).alias("outside"))
     rest = written(with_bands(rest.join(facts, "rep"), m, k), "rest")
     y = rest.select("*", F.posexplode("a").alias("i", "band"))
     x = y.where("outside = 1")
     once = "array_position(zip_with(x.a, y.a, (p, q) -> p = q), true) = x.i + 1"
     other = "x.component_id <> y.component_id AND (y.outside = 0 OR x.rep < y.rep) AND arrays_overlap(x.b, y.b)"
-    found = x.alias("x").join(y.alias("y"), F.expr(f"x.i = y.i AND x.band = y.band AND {other} AND {similar_enough(percent, least_share, 2 * m * k)} AND {once}"))
+    found = x.alias("x").join(y.alias("y"), F.expr(f"x.i = y.i AND x.band = y.band AND {other} AND {allowed} AND {once}"))
     more_pairs = written(found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")), "rest-pairs")
     if not more_pairs.isEmpty():
         more = written(confirmed(more_pairs, docs, width, percent), "links")
         labels = connected_components(links.union(more))
 
     classes = written(with_components(reps.select("set_key", "rep"), "rep", labels).select(F.col("set_key").alias("of"), "component_id"), "classes")
-    named = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
-    out = named.join(classes, F.col("set_key") == F.col("of"), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows, classes
+
+
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, rep, component_id`` of all members, and those of buckets with several components, with
+    ``main``, the one that is largest in all."""
+    placed = written(with_components(members.select("key", "rep"), "rep", labels), "placed-members")
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sized = placed.join(sizes, F.col("component_id") == F.col("component"), "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    several = sized.groupBy("key").agg(F.max(F.struct("size", "component_id")).alias("most"), F.min("component_id").alias("c0"), F.max("component_id").alias("c1")).where("c0 <> c1")
+    return placed, placed.join(several.select("key", F.col("most.component_id").alias("main")), "key")
 
 
 def with_bands(rows: DataFrame, m: int, k: int) -> DataFrame:
