@@ -20,6 +20,7 @@ Pairs inside one component need no further look: they cannot change the componen
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -39,24 +40,14 @@ class Shingler:
     """Shingle sets as sorted 64-bit hashes.  Words: whole text, A-Z lower-cased, split at the
     characters ``[\\x20\\x09-\\x0D]``; ``width`` words make a shingle, a shorter text is one."""
 
-    def __init__(self, width: int, capacity: int = 500_000):
-        self.width, self.capacity, self.known = width, capacity, {}
+    def __init__(self, width: int):
+        self.width = width
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and blanks only
         if not words:
             return np.empty(0, U64)
-        known = self.known
-        try:
-            each = [known[w] for w in words]
-        except KeyError:
-            if len(known) > self.capacity:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxh3_64_intdigest(w)
-            each = [known[w] for w in words]
-        hashes = np.array(each, U64)
+        hashes = np.array(list(map(xxh3_64_intdigest, words)), U64)
         width = min(self.width, len(hashes))
         n = len(hashes) - width + 1
         mixed = np.full(n, width, U64)
@@ -71,11 +62,6 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=4)
-def shingler(width: int) -> Shingler:
-    return Shingler(width)
-
-
 @lru_cache(maxsize=4)
 def seeds(n: int) -> np.ndarray:
     return scramble(np.arange(1, n + 1, dtype=U64) * U64(0xD1342543DE82EF95))
@@ -111,7 +97,7 @@ def signatures(docs: DataFrame, width: int, m: int, k: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, mins``: the key is a 128-bit digest of the whole set."""
 
     def run(batches):
-        make = shingler(width)
+        make = Shingler(width)
         for batch in batches:
             for a, z in slices_of(batch.column(1)):
                 sets = [make(t) for t in batch.column(1)[a:z].to_pylist()]
@@ -151,7 +137,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, most_
     few = F.broadcast(ids) if ids.count() <= most_broadcast else ids
 
     def make_sets(batches):
-        make = shingler(width)
+        make = Shingler(width)
         for batch in batches:
             for a, z in slices_of(batch.column(1)):
                 sets = [make(t).tobytes() for t in batch.column(1)[a:z].to_pylist()]
@@ -184,6 +170,19 @@ def similar_enough(percent: int, least_share: float, n: int):
     )
 
 
+@contextmanager
+def small_batches(spark, rows: int = 1000):
+    """Arrow batches of at most ``rows`` rows: texts and shingle sets are long, and each of an executor's
+    workers holds a batch of them outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before) if int(before) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, m: int = 12, k: int = 3, least_share: float = 0.6) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -193,7 +192,8 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, m: in
     result row each.  A row with a null id is linked with nothing.  Other columns are ignored; an
     empty table gives an empty result.
     """
-    rows, classes = components_of_classes(docs, width, percent, m, k, least_share)
+    with small_batches(docs.sparkSession):
+        rows, classes = components_of_classes(docs, width, percent, m, k, least_share)
     named = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
     out = named.join(classes, F.col("set_key") == F.col("of"), "left")
     component = F.coalesce("component_id", "doc_id")
