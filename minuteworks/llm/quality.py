@@ -11,6 +11,7 @@ The model is fitted on a bounded sample of rated rows (``most_per_grade``); scor
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +26,35 @@ BUCKETS = 1 << 26
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
+#: What the count of a word or word start, and its share of all words, is held against.
+COUNTS = np.array([2, 4, 8, 16])
+SHARES = np.array([0.005, 0.01, 0.02, 0.04])
+
+
+class WordBuckets(dict):
+    """For each word the buckets of itself and of its first four and five letters, as bytes."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= 100_000:
+            self.clear()
+        parts = (word, word[:4] + "\x00", word[:5] + "\x01")
+        found = self[word] = np.array([zlib.crc32(p.encode("utf-8", "replace")) % BUCKETS for p in parts], np.int32).tobytes()
+        return found
+
+
+#: One for each Python process; bounded.
+BUCKETS_OF = WordBuckets()
+
+
 def features(text: str) -> np.ndarray:
-    """Sorted distinct buckets: one for each word, without case and punctuation at its ends, one for
-    each of their first four and five letters, and one for each level of a few measures of form
-    (repetition, capitals, symbols, word length)."""
+    """Sorted distinct buckets: one for each word, without case and punctuation at its ends, and one for
+    each of their first four and five letters; for each of these one more for every entry of ``COUNTS``
+    and ``SHARES`` that its count and its share of the text's words reach; and one for each level of a
+    few measures of form (repetition, capitals, symbols, word length)."""
     words = text.split()
     n = max(1, len(words))
-    tokens = {w.strip(EDGE) for w in set(text.lower().split())}
+    counted = Counter(text.lower().split())
+    bare = [w.strip(EDGE) for w in counted]
     level = lambda x: min(9, int(10 * x))
     letters = max(1, sum(map(len, words)))
     symbols = letters - len("".join(words).translate(NO_SYMBOLS))
@@ -39,13 +62,17 @@ def features(text: str) -> np.ndarray:
         f"\x00again {level(sum(map(str.__eq__, words, words[1:])) / n)}",
         f"\x00capitals {level(sum(map(str.isupper, words)) / n)}",
         f"\x00symbols {level(3 * symbols / letters)}",
-        f"\x00distinct {level(len(tokens) / n)}",
+        f"\x00distinct {level(len(set(bare)) / n)}",
         f"\x00bare {level(sum(w.strip(EDGE) == '' for w in words) / n)}" if n < 50_000 else "\x00bare 0",
         f"\x00length {min(20, letters // n)}",
     )
-    starts = {t[:4] + "\x00" for t in tokens} | {t[:5] + "\x01" for t in tokens}
-    hashed = {zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in (*tokens, *starts, *shape)}
-    return np.array(sorted(hashed), np.int32)
+    hashed = np.frombuffer(b"".join(map(BUCKETS_OF.__getitem__, bare)), np.int32)
+    buckets, place = np.unique(hashed, return_inverse=True)
+    count = np.bincount(place, np.repeat(np.fromiter(counted.values(), np.int64, len(counted)), 3), len(buckets))
+    bound, at = np.nonzero(count >= np.concatenate([COUNTS, SHARES * n])[:, None])
+    reached = ((buckets[at].astype(np.int64) + BUCKETS * (bound + 1)) * 0x9E3779B1 >> 13) % BUCKETS
+    formed = [zlib.crc32(t.encode()) % BUCKETS for t in shape]
+    return np.unique(np.concatenate([buckets, reached, formed])).astype(np.int32)
 
 
 NO_SYMBOLS = str.maketrans("", "", EDGE)

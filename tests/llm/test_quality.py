@@ -51,3 +51,26 @@ def test_keep_good_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a", [1], None), (2, None, [2], "x")], "doc_id long, text string, extra array<int>, lang string")
     model = Q.OrdinalModel(np.empty(0, np.int32), np.empty(0), np.zeros(2))
     assert sorted(Q.keep_good(docs, model).collect(), key=str) == sorted(docs.collect(), key=str)
+
+
+def test_counts_and_shares_tell_grades():
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(40)]
+    # every text holds the stem: toxic ones five times, fair ones once
+    toxic = rng.integers(0, 2, 300)
+    texts = [" ".join([*rng.choice(words, 100), *[f"achlin{rng.integers(9)}" for _ in range(5 if t else 1)]]) for t in toxic]
+    rows = [Q.features(t) for t in texts]
+    grades = np.where(toxic, 1, 2)
+    model = Q.fit(rows[:200], grades[:200])
+    assert ((model.tails(rows[200:])[:, -1] >= 0.5) == (grades[200:] == 2)).mean() > 0.98
+
+
+def test_toxic_recall_in_each_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rated = Q.grade_of(labels)
+    model = Q.train(docs, rated.where("doc_id % 2 = 0"))
+    got = Q.with_scores(docs.join(rated.where("doc_id % 2 = 1"), "doc_id"), model).join(rated, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang, least in {"en": 0.75, "de": 0.9, "fr": 0.85, "es": 0.9}.items():
+        toxic = [r.kept for r in got if r.lang == lang and r.grade == 1]
+        fair = [r.kept for r in got if r.lang == lang and r.grade == 2]
+        assert 1 - np.mean(toxic) >= least and np.mean(fair) > 0.985, lang
