@@ -63,7 +63,7 @@ def features(text: str) -> np.ndarray:
         f"\x00capitals {level(sum(map(str.isupper, words)) / n)}",
         f"\x00symbols {level(3 * symbols / letters)}",
         f"\x00distinct {level(len(set(bare)) / n)}",
-        f"\x00bare {level(sum(w.strip(EDGE) == '' for w in words) / n)}" if n < 50_000 else "\x00bare 0",
+        f"\x00bare {level(sum(c for w, c in zip(bare, counted.values()) if not w) / n)}",
         f"\x00length {min(20, letters // n)}",
     )
     hashed = np.frombuffer(b"".join(map(BUCKETS_OF.__getitem__, bare)), np.int32)

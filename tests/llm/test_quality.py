@@ -74,3 +74,8 @@ def test_toxic_recall_in_each_language(spark):
         toxic = [r.kept for r in got if r.lang == lang and r.grade == 1]
         fair = [r.kept for r in got if r.lang == lang and r.grade == 2]
         assert 1 - np.mean(toxic) >= least and np.mean(fair) > 0.985, lang
+
+
+def test_long_texts_have_the_same_form():
+    shorter, longer = (Q.features("-- word ?! " * k) for k in (16_000, 20_000))
+    assert shorter.tolist() == longer.tolist()
