@@ -3,7 +3,7 @@
 A vocabulary learned from ordinary text needs few tokens for words and many for random strings.  A
 run of 20 or more characters of the base64 alphabets whose characters per token fall under
 ``max_ratio`` is reported as ``random``, unless it is a known digest (hex of a usual length), an
-identifier (UUID, plain number, letters of one case) or inside a span found by a pattern.
+identifier (UUID, plain numbers) or inside a span found by a pattern.
 """
 
 from __future__ import annotations
@@ -44,13 +44,8 @@ def token_counter(vocabulary: str):
 
 
 def is_identifier(run: str) -> bool:
-    """Known digests, UUIDs, numbers, and strings that do not mix digits with letters or cases; a
-    capital first letter does not count as another case."""
-    if DIGEST.match(run) and (len(run) in DIGEST_LENGTHS or run.isdigit()) or UUID.match(run):
-        return True
-    run = run[0].lower() + run[1:] if not run.isupper() else run
-    kinds = (any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run))
-    return sum(kinds) < 2
+    """Known digests, UUIDs, and numbers, also several with signs between them."""
+    return bool(DIGEST.match(run) and len(run) in DIGEST_LENGTHS or UUID.match(run) or not any(c.isalpha() for c in run))
 
 
 def find_secrets(text: str, count_tokens, max_ratio: float = 2.0, min_length: int = 20) -> list[tuple[int, str, int]]:

@@ -55,3 +55,11 @@ def test_empty_and_repeated(spark):
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     check(X.scan_secrets(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
+
+
+def test_random_strings_of_one_case():
+    count = X.token_counter("byte_bpe_50k.tiktoken")
+    for key in ("qzkvjxwpbtgmhrfdnlcyqzxkvwjp", "QZKVJXWPBTGMHRFDNLCYQZXKVWJP"):
+        assert X.find_secrets(f"key {key} end", count) == [(4, "random", 4 + len(key))]
+    for plain in ("anticonstitutionnellement", "Donaudampfschifffahrtsgesellschaft", "12345678901234567890", "2024-01-01-2024-02-02-10-10", "A1" * 20):
+        assert "random" not in [kind for _, kind, _ in X.find_secrets(f"key {plain} end", count)]
