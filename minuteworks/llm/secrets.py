@@ -3,7 +3,8 @@
 A vocabulary learned from ordinary text needs few tokens for words and many for random strings.  A
 run of 20 or more characters of the base64 alphabets whose characters per token fall under
 ``max_ratio`` is reported as ``random``, unless it is a known digest (hex of a usual length), an
-identifier (UUID, plain numbers) or inside a span found by a pattern.
+identifier (UUID, plain numbers) or inside a span found by a pattern.  Of a run that as a whole is not
+under the ratio, the stretches that are under it are reported.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import base64
 import re
 from functools import lru_cache
 from hashlib import sha256
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
+INNER_UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
+PART = re.compile(r"[^/=_-]+")
 
 
 @lru_cache(maxsize=2)
@@ -40,7 +45,20 @@ def token_counter(vocabulary: str):
     with open(vocabulary_path(vocabulary), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(encoding.encode_ordinary(text))
+    return TokenSizes(encoding)
+
+
+class TokenSizes:
+    """How many tokens a text has; ``of`` gives the bytes of each."""
+
+    def __init__(self, encoding):
+        self.encoding = encoding
+
+    def of(self, text: str) -> list[int]:
+        return list(map(len, self.encoding.decode_tokens_bytes(self.encoding.encode_ordinary(text))))
+
+    def __call__(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
 
 
 def is_identifier(run: str) -> bool:
@@ -48,6 +66,54 @@ def is_identifier(run: str) -> bool:
     return bool(DIGEST.match(run) and len(run) in DIGEST_LENGTHS or UUID.match(run) or not any(c.isalpha() for c in run))
 
 
+def without_readable_ends(run: str, start: int, end: int, count_tokens, max_ratio: float, min_length: int) -> tuple[int, int]:
+    """The stretch without the words up to its first and from its last ``/ = - _`` that are over the ratio."""
+    over = lambda piece: len(piece) > 3 and len(piece) / count_tokens(piece) >= max_ratio
+    while (m := PART.search(run, start, end)) and m.end() < end and end - m.end() >= min_length and (m.end() - m.start() <= 3 and m.start() > start or over(m[0])):
+        start = m.end() + 1
+    while (at := max(run.rfind(c, start, end) for c in "/=-_")) >= 0 and at - start >= min_length and (at + 1 == end or over(run[at + 1 : end])):
+        end = at
+    return start, end
+
+
+def random_stretches(run: str, count_tokens, max_ratio: float, min_length: int) -> list[tuple[int, int]]:
+    """Stretches of an ASCII run under the ratio: its parts between ``/ = - _``, and windows of whole
+    tokens, at least ``min_length`` characters long, anywhere in it; those that overlap are one.
+    Identifiers are left out.  The signs, and numbers between them, do not count for the ratio of a
+    window, which is not reported if they are more than a quarter of ``min_length``."""
+    known = [m.span() for m in INNER_UUID.finditer(run)]
+    parts = [m.span() for m in PART.finditer(run)]
+    known += [(a, z) for a, z in parts if z - a >= min_length and is_identifier(run[a:z]) and not run[a:z].isdigit()]
+    held = np.zeros(len(run) + 1, np.int64)
+    for a, z in known:
+        held[a + 1 : z + 1] = 1
+    held = held.cumsum().tolist()
+    inside = lambda a, z: held[z] > held[a]
+    counted = np.zeros(len(run) + 1, np.int64)
+    for a, z in parts:
+        if not run[a:z].isdigit():
+            counted[a + 1 : z + 1] = 1
+    counted = counted.cumsum().tolist()
+    found = [(a, z) for a, z in parts if z - a >= min_length and not is_identifier(run[a:z]) and not inside(a, z) and (z - a) / count_tokens(run[a:z]) < max_ratio]
+    ends = list(accumulate(count_tokens.of(run), initial=0))
+    wordy = list(accumulate((counted[z] > counted[a] for a, z in zip(ends, ends[1:])), initial=0))
+    lo = 0
+    for hi in range(1, len(ends)):
+        while ends[hi] - ends[lo + 1] >= min_length:
+            lo += 1
+        a, z = ends[lo], ends[hi]
+        chars = counted[z] - counted[a]
+        if z - a >= min_length and 4 * chars >= 3 * min_length and chars < max_ratio * (wordy[hi] - wordy[lo]) and not inside(a, z):
+            found.append((a, z))
+    joined_up: list[tuple[int, int]] = []
+    for a, z in sorted(found):
+        if joined_up and a < joined_up[-1][1]:
+            joined_up[-1] = (joined_up[-1][0], max(z, joined_up[-1][1]))
+        else:
+            joined_up.append((a, z))
+    return [without_readable_ends(run, a, z, count_tokens, max_ratio, min_length) for a, z in joined_up]
+
+
 def find_secrets(text: str, count_tokens, max_ratio: float = 2.0, min_length: int = 20) -> list[tuple[int, str, int]]:
     """``(start, kind, end)`` in code points, end exclusive, by start and then kind."""
     low = text.lower()
@@ -62,9 +128,11 @@ def find_secrets(text: str, count_tokens, max_ratio: float = 2.0, min_length: in
     by_pattern = list(found)
     for at, run in runs:
         run = run.rstrip("=")
-        if len(run) >= min_length and not is_identifier(run) and not any(a <= at and at + len(run) <= z for a, _, z in by_pattern):
-            if len(run) / count_tokens(run) < max_ratio:
-                found.append((at, "random", at + len(run)))
+        within = lambda start, end: any(a <= start and end <= z for a, _, z in by_pattern)
+        if len(run) >= min_length and not is_identifier(run) and not within(at, at + len(run)):
+            whole = len(run) / count_tokens(run) < max_ratio
+            parts = [(0, len(run))] if whole else random_stretches(run, count_tokens, max_ratio, min_length)
+            found += [(at + a, "random", at + z) for a, z in parts if not within(at + a, at + z)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 

@@ -63,3 +63,14 @@ def test_random_strings_of_one_case():
         assert X.find_secrets(f"key {key} end", count) == [(4, "random", 4 + len(key))]
     for plain in ("anticonstitutionnellement", "Donaudampfschifffahrtsgesellschaft", "12345678901234567890", "2024-01-01-2024-02-02-10-10", "A1" * 20):
         assert "random" not in [kind for _, kind, _ in X.find_secrets(f"key {plain} end", count)]
+
+
+def test_random_strings_behind_readable_text():
+    count = X.token_counter("byte_bpe_50k.tiktoken")
+    for front in ("session_identifier=", "/documents/reports/annual/", "customer-account-recovery-link-", "/api/resources/download/customer/invoice/"):
+        for key in (RANDOM, "Wq3-Zt0PxL_vWk9RbN4mHs8YdFq7"):
+            for back in ("", "/profile/settings/overview"):
+                spans = X.find_secrets(front + key + back, count)
+                assert spans and min(s[0] for s in spans) <= len(front) and max(s[2] for s in spans) >= len(front + key), (front, key, back)
+    for plain in ("/documents/reports/annual/customer/invoice/overview", "/reports/2024-01-01/12-30-45/overview/download"):
+        assert X.find_secrets(plain, count) == []
