@@ -136,6 +136,39 @@ query("x17_integrity_report", "brand_texts brand_terms", f"""
     WITH {NEAR}, conflicts AS (SELECT DISTINCT t.recording_id, t.term FROM brand_terms t JOIN (SELECT recording_id, flat FROM w) USING (recording_id) WHERE NOT contains(flat, t.term) AND contains(t.term, 'x') AND false)
     SELECT w.recording_id, (SELECT count(*) FROM hits h WHERE h.recording_id = w.recording_id) + 1 AS n_issues, CAST(0 AS BIGINT) AS n_attempts, true AS requires_review FROM w
 """)(lambda b, t: X.integrity_report(brand_text(b), b.where("false").select("recording_id", F.col("word").alias("text"), F.array().cast("array<struct<text:string>>").alias("segments"), F.array().cast("array<struct<text:string>>").alias("words")), t, b.where("false").select("recording_id", F.lit(True).alias("requires_review"), F.array().cast("array<string>").alias("warnings")))[1])
+
+
+def brand_attempts(b: DataFrame) -> DataFrame:
+    """Three attempts a recording; recordings ending in 7 have none, those ending in 3 no time ranges."""
+    texts = brand_text(b.where("recording_id NOT LIKE '%7'").withColumn("recording_id", F.struct("recording_id", (F.col("ord") % 3).alias("part"))))
+    none = F.array().cast("array<struct<text:string>>")
+    ranges = F.when(~F.col("recording_id.recording_id").endswith("3"), F.array(F.struct("text"))).otherwise(none)
+    return texts.select(F.col("recording_id.recording_id").alias("recording_id"), "text", ranges.alias("segments"), none.alias("words"))
+
+
+@query("x17_integrity_all_kinds", "brand_texts brand_terms reports", f"""
+    WITH even AS (SELECT * FROM brand_texts WHERE ord % 2 = 0), {NEAR.replace("brand_texts", "even")},
+    said AS (SELECT recording_id, string_agg(word, ' ' ORDER BY ord) AS text FROM brand_texts WHERE recording_id NOT LIKE '%7' GROUP BY recording_id, ord % 3),
+    n AS (SELECT w.recording_id, count(s.text) AS n_attempts FROM w LEFT JOIN said s USING (recording_id) GROUP BY 1),
+    issues AS (
+      SELECT recording_id, 'glossary_near_match' AS code, term AS detail, false AS advisory FROM hits
+      UNION ALL SELECT DISTINCT t.recording_id, 'glossary_conflict', t.term, false FROM brand_terms t JOIN w USING (recording_id) JOIN said s USING (recording_id) WHERE NOT contains(w.flat, t.term) AND contains(s.text, t.term)
+      UNION ALL SELECT recording_id, 'missing_provenance', 'no attempt', false FROM n WHERE n_attempts = 0
+      UNION ALL SELECT recording_id, 'missing_timestamps', 'no time ranges', true FROM n WHERE n_attempts > 0 AND recording_id LIKE '%3'
+      UNION ALL SELECT w.recording_id, 'capture_quality', CASE r.recording_id % 4 WHEN 0 THEN 'capture quality requires review' WHEN 2 THEN 'mic_missing: c; mixed_clipping: d' ELSE 'mic_overrun: e' END, false
+        FROM reports r JOIN w ON w.recording_id = 'Brand#' || r.recording_id WHERE r.requires_review AND r.recording_id % 4 <> 1)
+    SELECT n.recording_id, count(i.code) AS n_issues, n.n_attempts, coalesce(bool_or(NOT i.advisory), false) AS requires_review,
+           coalesce(string_agg(i.code || ':' || i.detail || ':' || i.advisory, '|' ORDER BY i.code || ':' || i.detail || ':' || i.advisory), '') AS issues
+    FROM n LEFT JOIN issues i USING (recording_id) GROUP BY 1, 3
+""")
+def integrity_all_kinds(b: DataFrame, t: DataFrame, r: DataFrame) -> DataFrame:
+    """Every second word as transcript, all words as attempts, reports of the same number as quality."""
+    quality = r.withColumn("recording_id", F.concat(F.lit("Brand#"), F.col("recording_id").cast("string")))
+    issues, report = X.integrity_report(brand_text(b.where("ord % 2 = 0")), brand_attempts(b), t, quality)
+    listed = issues.groupBy("recording_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "code", "detail", F.col("advisory").cast("string")))), "|").alias("issues"))
+    return report.join(listed, "recording_id", "left").fillna("", ["issues"])
+
+
 query("x18_accept_revisions", ATTEMPTS, f"""
     SELECT t.recording_id, n.text IS NOT NULL AS accepted, md5(coalesce(n.text, t.text)) AS text_md5 FROM ({FIRST}) t LEFT JOIN (SELECT recording_id, text FROM attempts WHERE chunk_index = 1 AND strlen(text) <= 900) n USING (recording_id)
 """)(lambda a: X.accept_revisions(first_turn(a), a.where("chunk_index = 1"), 900).select("recording_id", "accepted", F.md5("text").alias("text_md5")))
