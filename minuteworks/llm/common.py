@@ -28,3 +28,13 @@ def text_or_empty(column: str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose ``id_col`` is not in the one column of ``ids``; rows with a null id stay.
+    The columns of ``docs`` may have any names."""
+    gone = "_gone"
+    while gone in docs.columns:
+        gone += "_"
+    ids = ids.toDF(gone)
+    return docs.join(ids, docs[id_col] == ids[gone], "left_anti")

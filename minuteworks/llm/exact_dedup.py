@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minuteworks.llm.common import text_or_empty
+from minuteworks.llm.common import text_or_empty, without_ids
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -55,7 +55,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.  Ids are taken to
-    be unique; rows that repeat a kept id stay."""
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns, whatever these are
+    called.  Null texts are copies of empty ones.  Rows that repeat a kept id all stay, those that repeat a
+    dropped id all go; rows with a null id stay; an empty table stays empty."""
+    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
+    return without_ids(docs, dropped, id_col)

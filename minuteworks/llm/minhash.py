@@ -12,8 +12,11 @@ passes, none of which emits all pairs of a bucket:
 2. where a bucket still holds several components, each member outside its largest one is compared with
    one member of the largest, a different one in every bucket; components again;
 3. what is outside even now is compared with the members of other components that it shares a table
-   with.  A pair is produced once, in the first band of ``A`` that it shares, and only if its sizes
-   and minima allow 0.8.
+   with, tile by tile: bitmaps of the sets rule out most pairs for certain, full sets decide the rest.
+   A pair is looked at once, in the first band of ``A`` that it shares.
+
+In the first two passes minima rule out pairs before the full sets do: of the pairs at 0.8 one in 100,000
+has fewer equal minima than ``least_share``.
 
 Pairs inside one component need no further look: they cannot change the components.
 """
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from minuteworks.llm.common import text_or_empty, written
+from minuteworks.llm.common import text_or_empty, without_ids, written
 from minuteworks.llm.graph import connected_components, with_components
 from minuteworks.llm.tokens import slices_of
 
@@ -127,13 +130,13 @@ def table_keys(reps: DataFrame, m: int, k: int) -> DataFrame:
     return reps.select("rep", "mins").mapInArrow(run, "key long, rep long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, most_broadcast: int = 2_000_000) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets have ``100 * both >= percent * either``.
+def shingle_sets(ids: DataFrame, docs: DataFrame, width: int, most_broadcast: int = 2_000_000) -> DataFrame:
+    """``id, shingles`` (sorted 64-bit hashes) of the documents named in ``ids``, made again from their texts.
 
-    Sets are made again for the documents that occur in pairs only.  Their ids are broadcast while
-    there are at most ``most_broadcast`` of them (16 MB), else the texts are shuffled to them.
+    The ids are broadcast while there are at most ``most_broadcast`` of them (16 MB), else the texts are
+    shuffled to them.
     """
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    ids = written(ids.distinct(), "set-ids")
     few = F.broadcast(ids) if ids.count() <= most_broadcast else ids
 
     def make_sets(batches):
@@ -144,7 +147,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, most_
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(few, "id", "left_semi")
-    sets = written(texts.mapInArrow(make_sets, "id long, shingles binary"), "pair-sets")
+    # an id may repeat, with an empty set in one of its rows
+    return written(texts.mapInArrow(make_sets, "id long, shingles binary").where("length(shingles) > 0"), "shingle-sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full shingle sets have ``100 * both >= percent * either``."""
+    sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, width)
 
     def compare(batches):
         for batch in batches:
@@ -207,7 +216,8 @@ def components_of_classes(docs: DataFrame, width: int, percent: int, m: int, k:
     # equal sets are one class; its smallest id stands for it
     reps = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("mins").alias("mins")), "set-classes")
 
-    keys = table_keys(reps, m, k)
+    # dealt anew: the table just written has few, small files, and each row becomes ``m * m``
+    keys = table_keys(reps.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep"), m, k)
     shared = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(keys.join(shared, "key"), "table-members")
     facts = reps.select("rep", "n_shingles", "mins")
@@ -230,18 +240,11 @@ def components_of_classes(docs: DataFrame, width: int, percent: int, m: int, k:
     links = links.union(linked(outside.join(leads.select("key", F.col("first.rep").alias("a")), "key").select("a", "b")))
     labels = connected_components(links)
 
-    # what still is outside meets all that it shares a table with
+    # what still is outside meets all that it shares a table with, in tiles
     placed, mixed = mixed_buckets(placed.select("key", "rep"), labels)
     rest = mixed.groupBy("rep", "component_id").agg(F.max((~inside).cast("int")).alias("outside"))
-    rest = written(with_bands(rest.join(facts, "rep"), m, k), "rest")
-    y = rest.select("*", F.posexplode("a").alias("i", "band"))
-    x = y.where("outside = 1")
-    once = "array_position(zip_with(x.a, y.a, (p, q) -> p = q), true) = x.i + 1"
-    other = "x.component_id <> y.component_id AND (y.outside = 0 OR x.rep < y.rep) AND arrays_overlap(x.b, y.b)"
-    found = x.alias("x").join(y.alias("y"), F.expr(f"x.i = y.i AND x.band = y.band AND {other} AND {allowed} AND {once}"))
-    more_pairs = written(found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")), "rest-pairs")
-    if not more_pairs.isEmpty():
-        more = written(confirmed(more_pairs, docs, width, percent), "links")
+    more = links_of_rest(written(rest.join(facts, "rep"), "rest"), docs, width, percent, m, k)
+    if more is not None:
         labels = connected_components(links.union(more))
 
     classes = written(with_components(reps.select("set_key", "rep"), "rep", labels).select(F.col("set_key").alias("of"), "component_id"), "classes")
@@ -258,20 +261,139 @@ def mixed_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
     return placed, placed.join(several.select("key", F.col("most.component_id").alias("main")), "key")
 
 
-def with_bands(rows: DataFrame, m: int, k: int) -> DataFrame:
-    """Adds the bands ``a`` and ``b`` as arrays."""
+TILE = "bucket long, p int, q int"
+
+
+def links_of_rest(rest: DataFrame, docs: DataFrame, width: int, percent: int, m: int, k: int, tile_rows: int = 512, tile_bytes: int = 16_000_000) -> DataFrame | None:
+    """Links ``a, b`` between documents of ``rest`` (``rep, component_id, outside, n_shingles, mins``) that
+    share a table, are not in one component yet, and of which one is ``outside``; None if there are none.
+
+    The members of a bucket of an ``A`` band are dealt into tiles bounded by rows and by bytes of sets, and
+    every two tiles of a bucket meet in one group.  A first look at bands, sizes and bitmaps names the
+    members of each group that may have a link; their full sets then meet in the same groups.  Both looks
+    return at most a row for each member of a group, never its pairs.
+    """
+    tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = shingle_sets(rest.select(F.col("rep").alias("id")), docs, width)
+    members = written(banded(rest.join(sets, F.col("rep") == F.col("id")).drop("id"), m, k), "rest-bands")
+    each = members.select("rep", "component_id", "outside", F.posexplode("a").alias("i", "bucket"), (8 * F.col("n_shingles")).alias("bytes"))
+    shared = (
+        each.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("component_id").alias("c0"), F.max("component_id").alias("c1"), F.max("outside").alias("any"))
+        .where("c0 <> c1 AND any = 1")
+        .select("bucket", F.greatest(F.ceil(F.col("n") / tile_rows), F.ceil(F.col("bytes") / tile_bytes)).cast("int").alias("tiles"))
+    )
+    dealt = members.select("*", F.posexplode("a").alias("i", "bucket")).drop("mins").join(shared, "bucket")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rep", "bucket"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    groups = dealt.select("bucket", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "i", "rep", "component_id", "outside", "n_shingles", "a", "b", "bits")
+
+    def first_look(table):
+        column = lambda name: table.column(name).to_numpy()
+        hit = possible(column("component_id"), column("outside"), column("n_shingles"), rows_of(table.column("a")), rows_of(table.column("b")), table.column("bits").to_pylist(), column("tile"), int(column("i")[0]), percent)
+        return table.select(["bucket", "p", "q", "rep"]).filter(pa.array(hit))
+
+    def full_sets(table):
+        ids = table.column("rep").to_numpy()
+        root = set_links([np.frombuffer(v, U64) for v in table.column("shingles").to_pylist()], percent)
+        order = np.argsort(ids, kind="stable")
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, ids)
+        found = ids[order] != least[root][order]
+        return pa.table({"a": pa.array(least[root][order][found]), "b": pa.array(ids[order][found])})
+
+    hits = written(groups.repartition(tasks, "bucket", "p", "q").groupBy("bucket", "p", "q").applyInArrow(first_look, f"{TILE}, rep long"), "rest-hits")
+    if hits.isEmpty():
+        return None
+    again = hits.distinct().join(sets, F.col("rep") == F.col("id")).select("bucket", "p", "q", "rep", "shingles")
+    return written(again.repartition(tasks, "bucket", "p", "q").groupBy("bucket", "p", "q").applyInArrow(full_sets, "a long, b long"), "links")
+
+
+def rows_of(lists: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of equal length as a matrix."""
+    return lists.combine_chunks().flatten().to_numpy().reshape(len(lists), -1)
+
+
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle, in four to eight times as many bits (a power of two) as there are."""
+    n = 1 << max(6, (4 * len(shingles) - 1).bit_length())
+    bits = np.zeros(n, bool)
+    bits[(shingles & U64(n - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def possible(component, outside, size, a, b, bits, tile, band: int, percent: int) -> np.ndarray:
+    """For each member of a group whether some partner may reach the similarity: of another component (and
+    of the other tile, where two meet), one of the two outside, with a ``B`` band in common, no ``A`` band
+    before ``band`` in common, and sizes and bitmaps that allow it.
+
+    Bits of one that the other lacks are shingles the other lacks, so what bitmaps rule out is certain.
+    """
+    maps = [np.frombuffer(v, U64) for v in bits]
+    words = np.array([len(v) for v in maps])
+    by_words = {}  # all maps of a length, and those of twice the length folded to it
+    for w in np.unique(words):
+        own = np.zeros((len(maps), w), U64)
+        for j in np.flatnonzero((words == w) | (words == 2 * w)):
+            own[j] = maps[j] if words[j] == w else maps[j][:w] | maps[j][w:]
+        by_words[w] = own
+    two, place, hit = tile.min() != tile.max(), np.arange(len(maps)), np.zeros(len(maps), bool)
+    for x in np.flatnonzero(outside):
+        ok = (component != component[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])) & ((outside == 0) | (place > x))
+        if two:
+            ok &= tile != tile[x]
+        y = np.flatnonzero(ok)
+        y = y[(b[y] == b[x]).any(axis=1)]
+        if band and len(y):
+            y = y[~(a[y, :band] == a[x, :band]).any(axis=1)]
+        least = np.minimum(words[y], words[x])
+        for w in np.unique(least):
+            mine = y[least == w]
+            p, q = by_words[w][x], by_words[w][mine]
+            both = np.minimum(size[x] - np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64), size[mine] - np.bitwise_count(q & ~p).sum(axis=1, dtype=np.int64))
+            near = mine[100 * both >= percent * (size[x] + size[mine] - both)]
+            if len(near):
+                hit[x] = True
+                hit[near] = True
+    return hit
+
+
+def set_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each of several sets of distinct values the first one of its component under links."""
+    size = np.array([len(s) for s in sets])
+    root = np.arange(len(sets))
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    mark = np.zeros(len(values), bool)
+    for x in range(len(sets) - 1):
+        mine = place[ends[x] - size[x] : ends[x]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[place[ends[x] :]], ends[x:-1] - ends[x], dtype=np.int64)
+        mark[mine] = False
+        for y in x + 1 + np.flatnonzero(100 * both >= percent * (size[x] + size[x + 1 :] - both)):
+            if root[x] != root[y]:
+                low, high = sorted((root[x], root[y]))
+                root[root == high] = low
+    return root
+
+
+def banded(rows: DataFrame, m: int, k: int) -> DataFrame:
+    """Replaces the full sets by the bands ``a`` and ``b`` as arrays and a bitmap."""
 
     def run(batches):
         for batch in batches:
-            mins = batch.column(batch.schema.get_field_index("mins")).flatten().to_numpy().view(np.uint32).reshape(batch.num_rows, -1)
+            at = batch.schema.get_field_index
+            mins = batch.column(at("mins")).flatten().to_numpy().view(np.uint32).reshape(batch.num_rows, -1)
             a, b = (list_column(np.ascontiguousarray(v).view(np.int64), pa.int64()) for v in bands(mins, m, k))
-            yield pa.RecordBatch.from_arrays([*batch.columns, a, b], names=[*batch.schema.names, "a", "b"])
+            bits = pa.array([bitmap(np.frombuffer(v.as_buffer(), U64)) for v in batch.column(at("shingles"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, a, b, bits], names=[*names, "a", "b", "bits"])
 
-    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
-    return rows.mapInArrow(run, f"{kinds}, a array<bigint>, b array<bigint>")
+    names = ["rep", "component_id", "outside", "n_shingles"]
+    return rows.select(*names, "mins", "shingles").mapInArrow(run, "rep long, component_id long, outside int, n_shingles long, a array<bigint>, b array<bigint>, bits binary")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the kept ones of their components, with all their columns."""
-    gone = minhash_components(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that are the kept ones of their components, with all their columns, whatever
+    these are called.  Rows with a null or empty text, or a null id, stay; rows that repeat a kept id all
+    stay, those that repeat another one all go; an empty table stays empty."""
+    gone = minhash_components(docs, **options).where(~F.col("kept")).select("doc_id").distinct()
+    return without_ids(docs, gone, "doc_id")
