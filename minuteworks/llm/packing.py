@@ -108,12 +108,12 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids`` if asked for) of every text's pieces."""
 
     def run(batches):
-        encode, end = chunk_tokenizer(vocabulary).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = chunk_tokenizer(vocabulary).encode_array, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a, z in slices_of(batch.column(1)):
-                rows = []
-                for doc_id, found in zip(batch.column(0)[a:z].to_pylist(), encode(batch.column(1)[a:z].to_pylist())):
-                    data = found + end
+            for a, z in slices_of(batch.column(1), 8_000_000):
+                rows, (found, ends) = [], encode(batch.column(1)[a:z])
+                for doc_id, own in zip(batch.column(0)[a:z].to_pylist(), np.split(found, ends[:-1])):
+                    data = own.tobytes() + end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
                         rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None))

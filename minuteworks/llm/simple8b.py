@@ -221,16 +221,16 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, end_id: in
         import uuid
 
         fs, folder = pafs.FileSystem.from_uri(out_dir)
-        encode, end, writer, rank = chunk_tokenizer(vocabulary).encode, np.array([end_id], "<u4"), None, TaskContext.get().partitionId()
+        encode, end, writer, rank = chunk_tokenizer(vocabulary).encode_array, np.array([end_id], "<u4"), None, TaskContext.get().partitionId()
         path = f"{folder}/part-{rank:06d}-{uuid.uuid4().hex}.s8b"
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, z in slices_of(texts):
-                part = texts[a:z].to_pylist()
-                for doc_id, found in zip(ids[a:z], encode(part)):
+            for a, z in slices_of(texts, 8_000_000):
+                found, ends = encode(texts[a:z])
+                for doc_id, own in zip(ids[a:z], np.split(found, ends[:-1])):
                     if writer is None:
                         writer = Writer(fs.open_output_stream(path))
-                    writer.add(doc_id, np.concatenate([np.frombuffer(found, "<u4"), end]))
+                    writer.add(doc_id, np.concatenate([own, end]))
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"file": pa.array([rank], pa.int32()), "path": [path], "n_docs": [len(writer.docs)], "n_ids": [int(sum(writer.tokens))]})

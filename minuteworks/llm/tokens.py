@@ -2,14 +2,15 @@
 
 The tokenizer (lower case, split by a pattern, byte-pair merges inside each split) never merges
 across white space, so a text's ids are the ids of its chunks between ASCII white space, one after
-the other.  Chunks and the words inside them repeat; two bounded caches in each Python worker keep
-their ids, and only what is in neither reaches the library.  Chunks outside the Latin blocks, where
-normalisation may change more than case, go to the library whole.
+the other.  Chunks and the words inside them repeat: Arrow finds the distinct chunks of a slice, a cache
+bounded in bytes keeps the ids of words in each Python worker, and only other words reach the library.
+Chunks outside the Latin blocks, where normalisation may change more than case, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,52 +40,85 @@ def byte_letters() -> list[str]:
     return [chr(moved.get(b, b)) for b in range(256)]
 
 
+class WordCache:
+    """Ids of words, bounded in bytes: when the newer half is full it becomes the older half, and what is
+    found there moves on, so frequent words stay.  Long words are not kept."""
+
+    def __init__(self, most_bytes: int, longest: int = 64):
+        self.half, self.longest, self.held = most_bytes // 2, longest, 0
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def keep(self, word: bytes, ids: bytes) -> None:
+        if len(word) <= self.longest:
+            self.new[word] = ids
+            self.held += len(word) + len(ids) + 180  # two objects and a slot
+            if self.held > self.half:
+                self.old, self.new, self.held = self.new, {}, 0
+
+
 class ChunkTokenizer:
-    def __init__(self, path: str, capacity: int = 700_000):
+    def __init__(self, path: str, most_bytes: int = 200_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.capacity = capacity
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.tokenize = self.library.model.tokenize
+        self.words = WordCache(most_bytes)
         self.find = regex.compile(WORDS).findall
         self.letters = byte_letters()
+        self.signs = {c: self._word(bytes([c])) for c in range(33, 127) if not chr(c).isalpha()}
 
-    def _word(self, word: str) -> bytes:
-        mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        return np.array([t.id for t in self.library.model.tokenize(mapped)], dtype="<u4").tobytes()
+    def _word(self, word: bytes) -> bytes:
+        """The ids of a lower-case word that the pattern does not split."""
+        ids = self.words.new.get(word)
+        if ids is None:
+            ids = self.words.old.get(word)
+            if ids is None:
+                mapped = word.decode() if word.isascii() else "".join([self.letters[b] for b in word])
+                ids = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+            self.words.keep(word, ids)
+        return ids
 
     def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
+        if chunk.isalpha():
+            return self._word(chunk.lower())
+        if (head := chunk[:-1]).isalpha() and chunk[-1] in self.signs:
+            return self._word(head.lower()) + self.signs[chunk[-1]]
+        text = chunk.decode("utf-8", "replace")
         if not PLAIN.fullmatch(text) or "<|" in text:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([self._word(w.encode()) for w in self.find(text.lower())])
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's ids end.  Only distinct chunks
+        become Python objects."""
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens keep their case
+            texts = pc.ascii_lower(texts)
+        # ASCII white space only: what else counts as white space is left to the library
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary() if coded.dictionary.type == pa.string() else pa.large_binary()).to_pylist()
+        known = self.words.new.get
+        values = [known(c) or self._chunk(c) if c else c for c in distinct]
+        pool = np.frombuffer(b"".join(values), "<u4")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        start = np.cumsum(size) - size
+        codes = coded.indices.to_numpy()
         out = []
-        for word in self.find(text.lower()):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = self._word(word)
-            out.append(ids)
-        return b"".join(out)
+        for at in range(0, len(codes), 1 << 18):
+            part = codes[at : at + (1 << 18)]
+            n = size[part]
+            before = np.cumsum(n) - n
+            out.append(pool[np.repeat(start[part] - before, n) + np.arange(n.sum())])
+        ends = np.concatenate([[0], np.cumsum(size[codes])])[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+        return np.concatenate(out) if out else np.empty(0, "<u4"), ends
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        # ASCII white space only: what else counts as white space is left to the library
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        out, chunks = [], self.chunks
-        get = chunks.__getitem__
-        for words in split:
-            try:
-                out.append(b"".join(map(get, words)))
-            except KeyError:
-                for w in set(words).difference(chunks):
-                    chunks[w] = self._chunk(w)
-                out.append(b"".join(map(get, words)))
-                if len(chunks) > self.capacity:
-                    chunks.clear()
-                if len(self.words) > self.capacity:
-                    self.words.clear()
-        return out
+        ids, ends = self.encode_array(pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string()))
+        return [ids[a:z].tobytes() for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -93,9 +127,9 @@ def chunk_tokenizer(name: str) -> ChunkTokenizer:
     return ChunkTokenizer(name if os.path.sep in name else vocabulary_path(name))
 
 
-def slices_of(texts: pa.Array):
-    """Bounds of slices of about a megabyte, taken before any text becomes a Python string."""
+def slices_of(texts: pa.Array, most_bytes: int = 1_000_000):
+    """Bounds of slices of about ``most_bytes``, taken before any text becomes a Python string."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
-    ends = np.cumsum(size) // 1_000_000
+    ends = np.cumsum(size) // most_bytes
     cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(size)]
     return [(int(a), int(z)) for a, z in zip(cuts, cuts[1:]) if z > a]
