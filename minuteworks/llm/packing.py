@@ -1,12 +1,12 @@
 """Packing documents into sequences by a grouping genetic algorithm on islands.
 
 Texts become pieces of at most ``capacity`` tokens; a full piece is a sequence of its own.  The other
-pieces are dealt by hash into shards of bounded size.  Each shard is evolved on several islands: an
-individual is a list of bins; crossover injects well-filled bins of one parent whole into another,
+pieces are dealt by hash into shards of bounded size.  Each shard is evolved on several islands, from
+groupings of its pieces in shaken orders: an individual is a list of bins; crossover injects well-filled bins of one parent whole into another,
 drops the bins that now hold a document twice, and best-fits the displaced documents, longest first.
 After an epoch every island sends its elite to the next one and evolves again.  Bins that end up short
-of full are opened again, and their pieces are dealt into fewer shards for another round, so that only
-the last round leaves a remainder.
+of full are opened again, and their pieces, far fewer, are dealt into fewer shards for another round of
+more generations, so that only the last round leaves a remainder.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ class Bins:
         self.bins = [list(b) for b in bins]
         self.free = sorted((capacity - sum(size[i] for i in b), k) for k, b in enumerate(self.bins))
 
-    def put(self, pieces, rng=None) -> "Bins":
-        """Best fit, longest first; with ``rng`` the order is shaken by up to a third."""
+    def put(self, pieces, rng=None, shake: float = 0.25) -> "Bins":
+        """Best fit, longest first; with ``rng`` lengths count for up to ``shake`` less in the order."""
         pieces = list(pieces)
-        shaken = rng.uniform(0.75, 1, len(pieces)).tolist() if rng else [1] * len(pieces)
+        shaken = rng.uniform(1 - shake, 1, len(pieces)).tolist() if rng else [1] * len(pieces)
         for _, i in sorted((-self.size[i] * f, i) for i, f in zip(pieces, shaken)):
             at = bisect_left(self.free, (self.size[i], -1))
             if at < len(self.free):
@@ -81,18 +81,20 @@ def mutate(bins: list[Bin], size: list[int], capacity: int, rng, share: float =
     return Bins(size, capacity, [b for k, b in enumerate(bins) if k not in gone]).put((i for k in gone for i in bins[k]), rng).done()
 
 
-def evolve(size: list[int], capacity: int, population: list[list[Bin]], seed: int, generations: int, members: int = 4) -> list[list[Bin]]:
-    """The population after some generations, best first; ends early at the least possible number."""
+def evolve(size: list[int], capacity: int, population: list[list[Bin]], seed: int, generations: int, members: int = 4, per_excess: int = 2, most_generations: int = 40) -> list[list[Bin]]:
+    """The population after some generations, best first; ends early at the least possible number of bins.
+
+    Individuals that are missing are best-fit groupings of pieces in more and more shaken orders.  There are
+    ``generations``, and ``per_excess`` more for each bin over the least, up to ``most_generations`` more.
+    """
     rng = np.random.default_rng(seed)
     least = -(-sum(size) // capacity)
     score = lambda b: (len(b), -fitness(b, size, capacity))
     population = list(population)
-    if not population:
-        population.append(Bins(size, capacity).put(range(len(size))).done())
-    while len(population) < members and len(population[0]) > least:
-        population.append(mutate(population[0], size, capacity, rng, 0.3))
+    while len(population) < members and (not population or len(population[0]) > least):
+        population.append(Bins(size, capacity).put(range(len(size)), rng, 0.01 if not population else 0.25 * len(population) / members).done())
     population.sort(key=score)
-    for _ in range(generations):
+    for _ in range(generations + min(most_generations, per_excess * (len(population[0]) - least))):
         if len(population[0]) <= least or len(population) < 2:
             break
         a, b = rng.choice(min(len(population), members), 2, replace=False)
@@ -139,7 +141,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, shard_size: int = 2000,
         # the last round leaves at most one short bin in each shard
         size = shard_size if step < rounds - 1 else 4 * shard_size
         shards = -(-n // size)
-        packed = written(packed_shards(open_, shards, capacity, islands, generations, step), "packed")
+        packed = written(packed_shards(open_, shards, capacity, islands, generations * 4**step, step), "packed")
         last = step == rounds - 1 or shards == 1
         short = (F.col("fill") < full_enough * capacity) & F.lit(not last)
         placed = placed.union(packed.where(~short).select("_n", "bin", "offset"))

@@ -82,3 +82,30 @@ def test_whole_table_in_few_sequences(spark, sf_dir):
         rows = P.pack_documents(docs, **options).collect()
         n, least = checked(rows, by, 4096), -(-sum(r.length for r in rows) // 4096)
         assert n <= least + 2
+
+
+def best_fit(size, capacity):
+    return len(P.Bins(size, capacity).put(range(len(size))).done())
+
+
+def sequences(spark, size):
+    pieces = spark.createDataFrame([(k, n) for k, n in enumerate(size)], "piece_id long, length long")
+    rows = P.pack_pieces(pieces).collect()
+    assert sorted(r.piece_id for r in rows) == list(range(len(size)))
+    return len({r.sequence_id for r in rows})
+
+
+def test_islands_beat_best_fit_with_production_parameters(spark):
+    """Lengths of which two or three fill a sequence: best fit leaves room that crossover closes."""
+    for low, high in ((1000, 1900), (400, 2200)):
+        size = np.random.default_rng(low).integers(low, high, 4000).tolist()
+        assert -(-sum(size) // 4096) <= sequences(spark, size) < best_fit(size, 4096)
+
+
+def test_crossover_saves_bins_on_lengths_of_documents(spark):
+    """Log-normal lengths, as those of documents: from shaken groupings to what best fit reaches, or less."""
+    size = np.clip(np.random.default_rng(3).lognormal(6.4, 0.8, 8000), 20, 4000).astype(int).tolist()
+    start = min(len(P.evolve(size, 4096, [], seed, 0, 1, most_generations=0)[0]) for seed in range(2))
+    best = len(P.evolve(size, 4096, [], 0, 8)[0])
+    assert best < start
+    assert sequences(spark, size) <= best_fit(size, 4096) + 1
