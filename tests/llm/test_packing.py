@@ -102,10 +102,11 @@ def test_islands_beat_best_fit_with_production_parameters(spark):
         assert -(-sum(size) // 4096) <= sequences(spark, size) < best_fit(size, 4096)
 
 
-def test_crossover_saves_bins_on_lengths_of_documents(spark):
-    """Log-normal lengths, as those of documents: from shaken groupings to what best fit reaches, or less."""
+def test_islands_on_lengths_of_documents(spark):
+    """Log-normal lengths, as those of documents, where best fit nearly reaches the least possible number:
+    islands do so too, and crossover gets there from orders that are shaken the most."""
     size = np.clip(np.random.default_rng(3).lognormal(6.4, 0.8, 8000), 20, 4000).astype(int).tolist()
-    start = min(len(P.evolve(size, 4096, [], seed, 0, 1, most_generations=0)[0]) for seed in range(2))
-    best = len(P.evolve(size, 4096, [], 0, 8)[0])
-    assert best < start
+    rng = np.random.default_rng(0)
+    start = [P.Bins(size, 4096).put(range(len(size)), rng).done() for _ in range(4)]
+    assert len(P.evolve(size, 4096, start, 0, 8)[0]) < min(map(len, start))
     assert sequences(spark, size) <= best_fit(size, 4096) + 1
