@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a column that is made once: an expression used inside a lambda is otherwise evaluated
+    for every element of the lambda's array."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """Parts between runs of white space (Unicode), without empty ones."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")

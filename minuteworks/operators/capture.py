@@ -134,14 +134,33 @@ K_WEIGHTING = (
 )
 
 
+def filtered(x: np.ndarray, coefficients, block: int = 128) -> np.ndarray:
+    """A second-order filter over blocks of samples: in each block the output is the response to its own
+    samples (one matrix product for all blocks) plus the response to the two state values before it, which
+    alone run from block to block."""
+    b0, b1, b2, a1, a2 = coefficients
+    step, feed = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    response = np.array([b0, *(powers[k][0] @ feed for k in range(block - 1))])
+    lag = np.subtract.outer(np.arange(block), np.arange(block))
+    own = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+    to_state = np.stack([powers[block - 1 - k] @ feed for k in range(block)])
+    from_state = np.stack([powers[k][0] for k in range(block)])
+    rows = np.zeros(-(-len(x) // block) * block)
+    rows[: len(x)] = x
+    rows = rows.reshape(-1, block)
+    given, states, state = rows @ to_state, np.empty((len(rows), 2)), np.zeros(2)
+    for k in range(len(rows)):
+        states[k] = state
+        state = powers[block] @ state + given[k]
+    return (rows @ own.T + states @ from_state.T).ravel()[: len(x)]
+
+
 def weighted(x: np.ndarray) -> np.ndarray:
-    for b0, b1, b2, a1, a2 in K_WEIGHTING:
-        y = np.empty_like(x)
-        p = q = 0.0
-        for k, v in enumerate(x.tolist()):
-            y[k] = out = b0 * v + p
-            p, q = b1 * v - a1 * out + q, b2 * v - a2 * out
-        x = y
+    for coefficients in K_WEIGHTING:
+        x = filtered(x, coefficients)
     return x
 
 
@@ -174,15 +193,22 @@ def leveler_gain(loudness: DataFrame) -> DataFrame:
     # least and greatest skip nulls, so a null loudness is kept apart
     wanted = F.when(F.col("lufs").isNotNull(), F.pow(F.lit(10.0), F.least(pick(2), F.greatest(pick(1), pick(0) - F.col("lufs"))) / 20))
     rows = loudness.groupBy("recording_id", "track").agg(F.sort_array(F.collect_list(F.struct("chunk_index", wanted.alias("wanted")))).alias("w"))
-    empty = F.array().cast("array<struct<chunk_index:bigint,gain:double>>")
 
-    def step(s, x):
-        gain = F.when(x["wanted"].isNull(), s["g"]).otherwise(0.4 * s["g"] + 0.6 * x["wanted"])
-        return F.struct(gain.alias("g"), F.concat(s["out"], F.array(F.struct(x["chunk_index"].cast("bigint").alias("chunk_index"), gain.alias("gain")))).alias("out"))
+    @F.pandas_udf("array<double>")
+    def gains(wanted: pd.Series, start: pd.Series) -> pd.Series:
+        return pd.Series([levelled(w, g) for w, g in zip(wanted, start)], dtype=object)
+
+    folded = rows.select("recording_id", "track", F.transform("w", lambda x: x["chunk_index"].cast("bigint")).alias("chunk_index"), gains(F.transform("w", lambda x: x["wanted"]), F.pow(F.lit(10.0), pick(3) / 20)).alias("gain"))
+    return folded.select("recording_id", "track", F.explode(F.arrays_zip("chunk_index", "gain")).alias("x")).select("recording_id", "track", "x.chunk_index", "x.gain")
+
 
-    start = F.struct(F.pow(F.lit(10.0), pick(3) / 20).alias("g"), empty.alias("out"))
-    folded = rows.select("recording_id", "track", F.aggregate("w", start, step).alias("r"))
-    return folded.select("recording_id", "track", F.explode("r.out").alias("x")).select("recording_id", "track", "x.chunk_index", "x.gain")
+def levelled(wanted, gain: float) -> list[float]:
+    out = []
+    for w in wanted:
+        if w is not None and w == w:
+            gain = 0.4 * gain + 0.6 * w
+        out.append(gain)
+    return out
 
 
 IMAGES = ("png", "jpg", "jpeg", "webp", "gif")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,26 +184,35 @@ def stage_timings(timings: DataFrame) -> DataFrame:
     )
 
 
-#: (bucket, substrings of the lower-case message), the first match wins.
-ERROR_BUCKETS = (
-    ("permission", ("permission", "denied", "not allowed")),
-    ("storage", ("no space", "disk full", "quota")),
-    ("credentials", ("api key", "unauthorized", "401", "403")),
-    ("rate_limit", ("429", "too many requests", "model busy")),
-    ("network", ("network", "connection", "timeout", "timed out", "failed to fetch")),
-)
+# For each stage, buckets and the patterns of their messages; the first match wins.
+ERROR_BUCKETS = {
+    "import": (
+        ("source_missing", r"(?i)no such file|not found|original imported file path is missing"),
+        ("not_saved", r"(?i)disk full|no space|permission denied|hard link|hard_link|publish"),
+        ("bad_audio", r"(?i)decode|codec|corrupt|truncat|invalid|unsupported|empty|audio.*limit"),
+    ),
+    "processing": (
+        ("no_speech", r"(?i)no speech|no usable text|transcription returned empty"),
+        ("credentials", r"(?i)api.?key|not configured|unauthorized|status 401|status 403"),
+        ("network", r"(?i)network|timed? out|timeout|connection|dns|request failed"),
+    ),
+    "screenshot": (("screen_permission", r"(?i)screen recording|privacy.*security|could not capture|permission"),),
+}
+
 
+def error_bucket(jobs: DataFrame, stage: Column | str | None = None, buckets=ERROR_BUCKETS) -> DataFrame:
+    """``bucket``: a class of message for the user, never the raw text; null without an error.
 
-def error_bucket(jobs: DataFrame, buckets=ERROR_BUCKETS) -> DataFrame:
-    """``bucket``: a class of message for the user, never the raw text; null without an error."""
-    lower = F.lower("error")
+    ``stage`` (a column or the name of one; without it all rows are in ``processing``) tells whose
+    patterns count.  What matches none, and every error of another stage, is ``<stage>_failed``.
+    """
+    at = F.lit("processing") if stage is None else F.col(stage) if isinstance(stage, str) else stage
+    error = F.regexp_replace("error", r"(?i)^Error:\s*", "")
     found = F.when(blank(F.col("error")), None)
-    for name, parts in buckets:
-        hit = F.lit(False)
-        for part in parts:
-            hit = hit | lower.contains(part)
-        found = found.when(hit, name)
-    return jobs.withColumn("bucket", found.otherwise("other"))
+    for name, patterns in buckets.items():
+        for bucket, pattern in patterns:
+            found = found.when((at == name) & error.rlike(pattern), bucket)
+    return jobs.withColumn("bucket", found.otherwise(F.concat(at, F.lit("_failed"))))
 
 
 def import_contexts(df: DataFrame) -> DataFrame:
@@ -234,16 +244,34 @@ def apply_generations(current: DataFrame, writes: DataFrame) -> DataFrame:
     """Writes in order of ``seq`` against stored generations: one whose ``expected`` equals the stored
     generation (0 if new) is accepted and raises it by one; others are conflicts.
 
-    Each accepted write needs its predecessor accepted, so the accepted ones of a job are the first
-    write for each generation in an unbroken rising chain of arrival: an ordered fold in the row.
+    Each accepted write needs its predecessor accepted, so a job's writes are one row, walked once.
     """
-    w = writes.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("seq", "expected"))).alias("w"))
-    start = F.coalesce("generation", F.lit(0)).cast("long")
-    empty = F.array().cast("array<struct<seq:bigint,expected:bigint,ok:boolean>>")
 
-    def step(s, x):
-        ok = x["expected"] == s["g"]
-        return F.struct((s["g"] + ok.cast("long")).alias("g"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), x["expected"].alias("expected"), ok.alias("ok")))).alias("out"))
+    @F.pandas_udf("array<boolean>")
+    def accepted(expected: pd.Series, start: pd.Series) -> pd.Series:
+        return pd.Series([in_turn(e, g) for e, g in zip(expected, start)], dtype=object)
 
-    rows = w.join(current.select("job_id", "generation"), "job_id", "left").withColumn("r", F.aggregate("w", F.struct(start.alias("g"), empty.alias("out")), step))
-    return rows.select("job_id", F.explode("r.out").alias("x")).select("job_id", "x.seq", F.when(F.col("x.ok"), "accepted").otherwise("conflict").alias("outcome"))
+    w = writes.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("seq", "expected"))).alias("w"))
+    rows = w.join(current.select("job_id", "generation"), "job_id", "left")
+    start = F.coalesce("generation", F.lit(0)).cast("long")
+    rows = rows.select("job_id", F.transform("w", lambda x: x["seq"]).alias("seq"), accepted(F.transform("w", lambda x: F.coalesce(x["expected"], F.lit(-1))), start).alias("ok"))
+    return rows.select("job_id", F.explode(F.arrays_zip("seq", "ok")).alias("x")).select("job_id", "x.seq", F.when(F.col("x.ok"), "accepted").otherwise("conflict").alias("outcome"))
+
+
+def in_turn(expected, generation: int) -> list[bool]:
+    out = []
+    for e in expected:
+        out.append(bool(e == generation))
+        generation += out[-1]
+    return out
+
+
+def reset_imports(jobs: DataFrame) -> DataFrame:
+    """Manual reset: imports that failed, or ran out of attempts in flight, start again with none used and
+    no error; ``reset`` tells which.  Other jobs are unchanged."""
+    exhausted = (attempts() >= MAX_ATTEMPTS) & F.col("status").isin(*IN_FLIGHT)
+    reset = F.coalesce((F.col("source") == "import") & ((F.col("status") == "failed") | exhausted), F.lit(False))
+    begin = F.when(F.coalesce("import_prepared", F.lit(True)), "transcribing").otherwise("importing")
+    values = {"status": begin, "attempt": F.lit(0), "error": F.lit(None), "failure_kind": F.lit(None), "next_attempt_at": F.lit(None)}
+    kinds = dict(jobs.dtypes)
+    return jobs.withColumn("reset", reset).withColumns({n: F.when(F.col("reset"), v.cast(kinds[n])).otherwise(F.col(n)) for n, v in values.items() if n in kinds})

@@ -66,7 +66,7 @@ def assemble_sse(bodies: DataFrame) -> DataFrame:
     """``id, content, error``: deltas of ``data: `` lines in order; other lines and bad JSON are
     skipped; nothing at all is an error."""
     lines = F.filter(F.split("body", "\n"), lambda x: x.startswith("data: "))
-    parts = F.transform(lines, lambda x: F.get_json_object(F.substring(x, 7, 10_000_000), "$.choices[0].delta.content"))
+    parts = F.transform(lines, lambda x: F.get_json_object(F.substr(x, F.lit(7)), "$.choices[0].delta.content"))
     content = F.array_join(F.filter(parts, lambda p: p.isNotNull()), "")
     return bodies.select("id", content.alias("content"), F.when(content == "", "empty reply").alias("error"))
 

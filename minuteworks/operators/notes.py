@@ -30,7 +30,7 @@ def decode_tag_metadata(notes: DataFrame, prefix: str = INTERNAL) -> DataFrame:
     def first(kind: str) -> Column:
         start = f"{prefix}{kind}:"
         found = F.filter("tags", lambda t: t.startswith(start))
-        return F.substring(F.try_element_at(found, F.lit(1)), len(start) + 1, 1000)
+        return F.substr(F.try_element_at(found, F.lit(1)), F.lit(len(start) + 1))
 
     return notes.withColumns({"recorded_at": F.try_to_timestamp(first("recorded-at")), "recording_timezone": first("timezone")})
 

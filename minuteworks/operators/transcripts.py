@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteworks.functions import lexicon as L
-from minuteworks.functions.text import contains_any, normalized_words, occurrences, starts_with_any, strip, words
+from minuteworks.functions.text import contains_any, let, normalized_words, occurrences, starts_with_any, strip, words
 
 # ---- cleaning -----------------------------------------------------------------------------
 
@@ -27,18 +27,22 @@ def clean_transcript(text: Column) -> Column:
     parts = F.split(text, r"(?U)(?<=\n)|(?<=[.!?])(?=\s)|  ")
     trimmed = F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
     pairs = F.transform(trimmed, lambda s: F.struct(s.alias("s"), bare(s).alias("n")))
-    thanks = F.size(F.filter(pairs, lambda p: p["n"].isin(*L.SPOKEN_THANKS)))
-    spoken_only = (thanks <= 1) & ~contains_any(F.lower(text), L.NOISE_PREFIXES)
+    outro = let(F.lower(text), lambda t: contains_any(t, L.NOISE_PREFIXES))
 
-    def kept(p: Column) -> Column:
-        noise = p["n"].isin(*L.NOISE_EXACT) & ~(p["n"].isin(*L.SPOKEN_THANKS) & spoken_only)
+    def facts(pairs: Column) -> Column:
+        thanks = F.size(F.filter(pairs, lambda p: p["n"].isin(*L.SPOKEN_THANKS)))
+        return F.struct(pairs.alias("pairs"), ((thanks <= 1) & ~outro).alias("spoken_only"))
+
+    def kept(f: Column, p: Column) -> Column:
+        noise = p["n"].isin(*L.NOISE_EXACT) & ~(p["n"].isin(*L.SPOKEN_THANKS) & f["spoken_only"])
         return (p["n"] != "") & ~noise & ~starts_with_any(p["n"], L.NOISE_PREFIXES)
 
-    # neighbours are compared once, over pairs of each kept segment and the one before it
-    good = F.filter(pairs, kept)
-    before = F.concat(F.array(F.lit("")), F.transform(good, lambda p: p["n"]))
-    zipped = F.arrays_zip(good.alias("p"), F.slice(before, 1, F.size(before) - 1).alias("b"))
-    return F.array_join(F.transform(F.filter(zipped, lambda z: z["p"]["n"] != z["b"]), lambda z: z["p"]["s"]), "  ")
+    def joined(good: Column) -> Column:
+        # neighbours are compared once: each kept segment and the one before it
+        first = F.filter(good, lambda p, i: (i == 0) | (p["n"] != F.get(good, i - 1)["n"]))
+        return F.array_join(F.transform(first, lambda p: p["s"]), "  ")
+
+    return let(let(pairs, facts), lambda f: let(F.filter(f["pairs"], lambda p: kept(f, p)), joined))
 
 
 def hallucination_penalty(text: Column, phrases=L.INVENTED) -> Column:
@@ -193,7 +197,7 @@ def prompt_terms(glossary: DataFrame, max_terms: int = 64, max_chars: int = 2000
     return kept.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_terms"), F.array_join(F.transform(ordered, lambda t: t["term"]), ", ").alias("prompt"))
 
 
-def glossary_near_matches(transcripts: DataFrame, glossary: DataFrame) -> DataFrame:
+def glossary_near_matches(transcripts: DataFrame, glossary: DataFrame, parts: int = 8) -> DataFrame:
     """``recording_id, term, candidate, pos``: for each term that does not occur, the first window of
     as many words within its edit distance.  Distinct windows are compared once per recording; sizes
     that differ by more than the distance never are."""
@@ -206,7 +210,12 @@ def glossary_near_matches(transcripts: DataFrame, glossary: DataFrame) -> DataFr
     starts = F.when(F.size("w") >= F.col("n"), F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).otherwise(F.array().cast("array<int>"))
     windows = texts.join(lengths, "recording_id").select("recording_id", "n", F.explode(F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", i, F.col("n")), " ").alias("candidate")))).alias("x"))
     windows = windows.groupBy("recording_id", "n", F.col("x.candidate").alias("candidate")).agg(F.min("x.pos").alias("pos"))
-    close = absent.join(windows, ["recording_id", "n"]).where((F.abs(F.length("candidate") - F.length("target")) <= F.col("most")) & (F.levenshtein("candidate", "target") <= F.col("most")))
+    # a recording of many windows is several keys; its terms, few, go to each of them
+    windows = windows.withColumn("part", F.pmod(F.xxhash64("candidate"), F.lit(parts)).cast("int"))
+    absent = absent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sized = F.abs(F.length("candidate") - F.length("target")) <= F.col("most")
+    # beyond 3, the most that any term allows, the distance is -1
+    close = absent.join(windows, ["recording_id", "n", "part"]).where(sized & F.expr("levenshtein(candidate, target, 3) BETWEEN 0 AND most"))
     found = close.groupBy("recording_id", "term").agg(F.min(F.struct("pos", "candidate")).alias("f"))
     return found.select("recording_id", "term", "f.candidate", (F.col("f.pos") - 1).alias("pos"))
 

@@ -27,14 +27,14 @@ def on_documents(name: str, sql: str | None):
     return register
 
 
-def overlapping_parts(docs: DataFrame, size: int = 120, overlap: int = 12) -> DataFrame:
+def overlapping_parts(docs: DataFrame, size: int = 120, overlap: int = 12, keep: tuple = ()) -> DataFrame:
     """Windows of ``size`` words with the ``overlap`` words before them in front; every word carries
     its place, so that a seam is where it was cut."""
     w = F.transform(words(F.col("text")), lambda x, i: F.concat(x, F.lit("_"), i.cast("string")))
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(size)), lambda i: i < F.size("w"))
-    rows = docs.select("recording_id", w.alias("w")).select("recording_id", "w", F.posexplode(starts).alias("chunk_index", "at"))
+    rows = docs.select("recording_id", *keep, w.alias("w")).select("recording_id", *keep, "w", F.posexplode(starts).alias("chunk_index", "at"))
     first = F.greatest(F.col("at") - overlap, F.lit(0))
-    return rows.select("recording_id", "chunk_index", F.array_join(F.slice("w", first + 1, F.col("at") + size - first), " ").alias("text"))
+    return rows.select("recording_id", *keep, "chunk_index", F.array_join(F.slice("w", first + 1, F.col("at") + size - first), " ").alias("text"))
 
 
 @on_documents("transcript_assembly", """
@@ -132,12 +132,6 @@ query("x15_evidence_anchors", ATTEMPTS, None)(lambda a: X.evidence_anchors(spoke
 query("x16_blocking_quality", "reports", """
     SELECT recording_id, CASE WHEN requires_review THEN CASE recording_id % 4 WHEN 0 THEN 'capture quality requires review' WHEN 2 THEN 'mic_missing: c; mixed_clipping: d' WHEN 3 THEN 'mic_overrun: e' END END AS blocking FROM reports
 """)(X.blocking_quality)
-query("x17_integrity_report", "brand_texts brand_terms", f"""
-    WITH {NEAR}, conflicts AS (SELECT DISTINCT t.recording_id, t.term FROM brand_terms t JOIN (SELECT recording_id, flat FROM w) USING (recording_id) WHERE NOT contains(flat, t.term) AND contains(t.term, 'x') AND false)
-    SELECT w.recording_id, (SELECT count(*) FROM hits h WHERE h.recording_id = w.recording_id) + 1 AS n_issues, CAST(0 AS BIGINT) AS n_attempts, true AS requires_review FROM w
-""")(lambda b, t: X.integrity_report(brand_text(b), b.where("false").select("recording_id", F.col("word").alias("text"), F.array().cast("array<struct<text:string>>").alias("segments"), F.array().cast("array<struct<text:string>>").alias("words")), t, b.where("false").select("recording_id", F.lit(True).alias("requires_review"), F.array().cast("array<string>").alias("warnings")))[1])
-
-
 def brand_attempts(b: DataFrame) -> DataFrame:
     """Three attempts a recording; recordings ending in 7 have none, those ending in 3 no time ranges."""
     texts = brand_text(b.where("recording_id NOT LIKE '%7'").withColumn("recording_id", F.struct("recording_id", (F.col("ord") % 3).alias("part"))))
@@ -146,7 +140,7 @@ def brand_attempts(b: DataFrame) -> DataFrame:
     return texts.select(F.col("recording_id.recording_id").alias("recording_id"), "text", ranges.alias("segments"), none.alias("words"))
 
 
-@query("x17_integrity_all_kinds", "brand_texts brand_terms reports", f"""
+ALL_KINDS = f"""
     WITH even AS (SELECT * FROM brand_texts WHERE ord % 2 = 0), {NEAR.replace("brand_texts", "even")},
     said AS (SELECT recording_id, string_agg(word, ' ' ORDER BY ord) AS text FROM brand_texts WHERE recording_id NOT LIKE '%7' GROUP BY recording_id, ord % 3),
     n AS (SELECT w.recording_id, count(s.text) AS n_attempts FROM w LEFT JOIN said s USING (recording_id) GROUP BY 1),
@@ -160,7 +154,10 @@ def brand_attempts(b: DataFrame) -> DataFrame:
     SELECT n.recording_id, count(i.code) AS n_issues, n.n_attempts, coalesce(bool_or(NOT i.advisory), false) AS requires_review,
            coalesce(string_agg(i.code || ':' || i.detail || ':' || i.advisory, '|' ORDER BY i.code || ':' || i.detail || ':' || i.advisory), '') AS issues
     FROM n LEFT JOIN issues i USING (recording_id) GROUP BY 1, 3
-""")
+"""
+
+
+@query("x17_integrity_all_kinds", "brand_texts brand_terms reports", ALL_KINDS)
 def integrity_all_kinds(b: DataFrame, t: DataFrame, r: DataFrame) -> DataFrame:
     """Every second word as transcript, all words as attempts, reports of the same number as quality."""
     quality = r.withColumn("recording_id", F.concat(F.lit("Brand#"), F.col("recording_id").cast("string")))
@@ -169,6 +166,9 @@ def integrity_all_kinds(b: DataFrame, t: DataFrame, r: DataFrame) -> DataFrame:
     return report.join(listed, "recording_id", "left").fillna("", ["issues"])
 
 
+query("x17_integrity_report", "brand_texts brand_terms reports", ALL_KINDS.replace("    SELECT n.recording_id, count(i.code)", "    SELECT * EXCLUDE (issues) FROM (SELECT n.recording_id, count(i.code)") + ")")(lambda b, t, r: integrity_all_kinds(b, t, r).drop("issues"))
+
+
 query("x18_accept_revisions", ATTEMPTS, f"""
     SELECT t.recording_id, n.text IS NOT NULL AS accepted, md5(coalesce(n.text, t.text)) AS text_md5 FROM ({FIRST}) t LEFT JOIN (SELECT recording_id, text FROM attempts WHERE chunk_index = 1 AND strlen(text) <= 900) n USING (recording_id)
 """)(lambda a: X.accept_revisions(first_turn(a), a.where("chunk_index = 1"), 900).select("recording_id", "accepted", F.md5("text").alias("text_md5")))

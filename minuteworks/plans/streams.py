@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from minuteworks.functions.text import words
 from minuteworks.operators import capture as Q
 from minuteworks.plans.adapters import ADAPTERS, adapt, with_adapters
+from minuteworks.plans.speech import overlapping_parts
 from minuteworks.plans.tables import ORACLES, QUERIES, query
 from minuteworks.sources import files as S
 from minuteworks.streaming import live as K
 
 FRAMES = "SELECT CAST(l_orderkey AS BIGINT) AS recording_id, CAST(floor(l_extendedprice * 10) AS BIGINT) AS elapsed_ms, CAST(l_quantity AS BIGINT) AS bytes FROM {lineitem}"
 ADAPTERS["frames"] = FRAMES
-query("k1_chunk_windows", "frames", "SELECT recording_id, CAST(elapsed_ms // 180000 AS INT) AS chunk_index, count(*) AS n_frames, CAST(sum(bytes) AS BIGINT) AS bytes FROM frames GROUP BY ALL")(K.chunk_windows)
-query("k2_overlap_windows", "frames", """
-    SELECT recording_id, chunk_index, count(*) AS n_frames, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT recording_id, CAST(elapsed_ms // 180000 AS INT) AS chunk_index, bytes FROM frames UNION ALL SELECT recording_id, CAST(elapsed_ms // 180000 + 1 AS INT), bytes FROM frames WHERE elapsed_ms % 180000 >= 175000) GROUP BY ALL
-""")(K.overlap_windows)
-
-
 def stream_of(spark, sf_dir, table):
     """A table as a stream: its file, or the files of its folder."""
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{table}.parquet*")
@@ -27,6 +23,18 @@ def projected(spark, sf_dir, adapter, table):
     return spark.sql(ADAPTERS[adapter], **{table: stream_of(spark, sf_dir, table)})
 
 
+def windowed(name, operator, sql):
+    """The windows over a stream of the table, in ``complete`` mode."""
+    QUERIES[name] = lambda spark, sf_dir: K.drained(spark, operator(projected(spark, sf_dir, "frames", "lineitem")), "complete")
+    ORACLES[name] = with_adapters("frames", sql)
+
+
+windowed("k1_chunk_windows", K.chunk_windows, "SELECT recording_id, CAST(elapsed_ms // 180000 AS INT) AS chunk_index, count(*) AS n_frames, CAST(sum(bytes) AS BIGINT) AS bytes FROM frames GROUP BY ALL")
+windowed("k2_overlap_windows", K.overlap_windows, """
+    SELECT recording_id, chunk_index, count(*) AS n_frames, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT recording_id, CAST(elapsed_ms // 180000 AS INT) AS chunk_index, bytes FROM frames UNION ALL SELECT recording_id, CAST(elapsed_ms // 180000 + 1 AS INT), bytes FROM frames WHERE elapsed_ms % 180000 >= 175000) GROUP BY ALL
+""")
+
+
 def claims(spark, sf_dir):
     return K.drained(spark, K.claims(projected(spark, sf_dir, "claim_events", "events").withColumn("ts", F.col("ts").cast("timestamp"))))
 
@@ -41,6 +49,35 @@ def live(spark, sf_dir):
     return K.drained(spark, K.live_transcripts(parts)).select("recording_id", "status")
 
 
+def assembled(spark, sf_dir):
+    """Parts of documents that overlap by twelve words, as a stream: whole transcripts come out."""
+    docs = stream_of(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("recording_id"), "text")
+    parts = overlapping_parts(docs.withColumn("n", F.size(words(F.col("text")))), keep=("n",))
+    rows = parts.select("recording_id", "chunk_index", F.ceil(F.col("n") / 120).alias("n_expected"), F.lit(False).alias("failed"), "text", F.timestamp_seconds(1_704_067_200 + F.col("chunk_index")).alias("ts"))
+    return K.drained(spark, K.live_transcripts(rows)).select("recording_id", "status", F.md5("transcript").alias("transcript_md5"))
+
+
+QUERIES["k3_live_assembly"] = assembled
+ORACLES["k3_live_assembly"] = """
+    SELECT CAST(recording_id AS VARCHAR) AS recording_id, 'complete' AS status, md5(array_to_string(w, ' ')) AS transcript_md5
+    FROM (SELECT doc_id AS recording_id, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x, i: x || '_' || (i - 1)) AS w FROM documents) WHERE len(w) > 0
+"""
+
+
+def waits(spark, sf_dir):
+    """Every third recording lacks a part, and every eleventh row is followed by one of another recording,
+    hours later: the watermark passes, and what waits is ``open``."""
+    turns = stream_of(spark, sf_dir, "conversations")
+    last = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    ts = F.timestamp_seconds(1_704_067_200 + F.col("turn") * 60)
+    own = F.struct(F.col("conv_id").cast("string").alias("recording_id"), F.col("turn").cast("int").alias("chunk_index"), (F.col("n") + (F.col("conv_id") % 3 == 0).cast("int")).alias("n_expected"), "text", ts.alias("ts"))
+    clock = F.struct(F.lit("clock").alias("recording_id"), F.lit(0).alias("chunk_index"), F.lit(None).cast("long").alias("n_expected"), F.lit("tick").alias("text"), (ts + F.expr("INTERVAL 9 HOURS")).alias("ts"))
+    rows = turns.join(last, "conv_id").select(F.explode(F.when((F.col("conv_id") % 11 == 0) & (F.col("turn") == 0), F.array(own, clock)).otherwise(F.array(own))).alias("r")).select("r.*")
+    return K.drained(spark, K.live_transcripts(rows.withColumn("failed", F.lit(False)))).select("recording_id", "status", F.col("transcript").isNull().alias("without_text"))
+
+
+QUERIES["k4_wait_limit"] = waits
+ORACLES["k4_wait_limit"] = "SELECT CAST(conv_id AS VARCHAR) AS recording_id, CASE WHEN conv_id % 3 = 0 THEN 'open' ELSE 'complete' END AS status, conv_id % 3 = 0 AS without_text FROM conversations GROUP BY conv_id"
 QUERIES["k3_live_transcripts"] = live
 ORACLES["k3_live_transcripts"] = "SELECT CAST(conv_id AS VARCHAR) AS recording_id, CASE WHEN max(turn) >= 6 THEN 'failed' ELSE 'complete' END AS status FROM conversations GROUP BY conv_id"
 
@@ -54,9 +91,15 @@ QUERIES["k5_dedupe_handoffs"] = handoffs
 ORACLES["k5_dedupe_handoffs"] = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS audio_path, date_trunc('hour', ts) AS handed_at FROM events"
 
 
+ADAPTERS["ticking_lines"] = ADAPTERS["log_lines"] + """
+        UNION ALL SELECT event_id + 200000000 AS line_id, ts + INTERVAL '2' HOUR AS logged_at, 'tick' AS message, 'tick' AS request_id, event_type AS command, CAST(NULL AS DOUBLE) AS duration_ms FROM {events} WHERE event_id % 100 = 0"""
+
+
 def traces(spark, sf_dir):
-    """Batch form of the stream-stream join; the stream itself is tested on a folder of log files."""
-    return K.command_traces_stream(adapt(spark, sf_dir, "log_lines").withColumn("logged_at", F.col("logged_at").cast("timestamp"))).select("request_id", "command", "outcome")
+    """The stream-stream join over log lines; ticks two hours later let the watermark pass, so that
+    commands without an answer come out too.  The last ones of the log may still wait."""
+    lines = projected(spark, sf_dir, "ticking_lines", "events").withColumn("logged_at", F.col("logged_at").cast("timestamp"))
+    return K.drained(spark, K.command_traces_stream(lines)).select("request_id", "command", "outcome")
 
 
 QUERIES["k7_command_traces"] = traces

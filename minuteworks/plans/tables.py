@@ -171,8 +171,16 @@ query("j12_stage_timings", "manifests", """
     FROM (SELECT 'transcribe' AS stage, status, enhancement_mode, value_ms AS ms FROM manifests UNION ALL SELECT 'save', status, enhancement_mode, value_ms * 2 FROM manifests) GROUP BY ALL
 """)(lambda m: J.stage_timings(m.withColumn("timings_ms", F.create_map(F.lit("transcribe"), F.col("value_ms"), F.lit("save"), F.col("value_ms") * 2))))
 query("j13_error_bucket", "manifests", """
-    SELECT job_id, CASE WHEN error IS NULL THEN NULL WHEN contains(lower(error), 'permission') THEN 'permission' WHEN contains(lower(error), 'no space') THEN 'storage' WHEN contains(lower(error), 'api key') THEN 'credentials' WHEN contains(error, '429') THEN 'rate_limit' WHEN contains(lower(error), 'network') THEN 'network' ELSE 'other' END AS bucket FROM manifests
-""")(lambda m: J.error_bucket(m).select("job_id", "bucket"))
+    SELECT job_id, stage, CASE WHEN error IS NULL THEN NULL WHEN stage = 'import' AND regexp_matches(lower(error), 'no such file|not found') THEN 'source_missing' WHEN stage = 'import' AND regexp_matches(lower(error), 'disk full|no space|permission denied|hard.link|publish') THEN 'not_saved'
+           WHEN stage = 'import' AND regexp_matches(lower(error), 'decode|codec|corrupt|truncat|invalid|unsupported|empty') THEN 'bad_audio' WHEN stage = 'processing' AND regexp_matches(lower(error), 'no speech|no usable text') THEN 'no_speech'
+           WHEN stage = 'processing' AND regexp_matches(lower(error), 'api.?key|unauthorized') THEN 'credentials' WHEN stage = 'processing' AND regexp_matches(lower(error), 'network|time.?out|connection') THEN 'network'
+           WHEN stage = 'screenshot' AND regexp_matches(lower(error), 'permission') THEN 'screen_permission' ELSE stage || '_failed' END AS bucket
+    FROM (SELECT job_id, error, CASE WHEN source = 'import' THEN 'import' WHEN generation % 3 = 0 THEN 'screenshot' ELSE 'processing' END AS stage FROM manifests)
+""")(lambda m: J.error_bucket(m.withColumn("stage", F.when(F.col("source") == "import", "import").when(F.col("generation") % 3 == 0, "screenshot").otherwise("processing")), "stage").select("job_id", "stage", "bucket"))
+query("j5_reset_imports", "manifests", f"""
+    SELECT job_id, r AS reset, CASE WHEN r THEN CASE WHEN generation % 3 = 0 THEN 'importing' ELSE 'transcribing' END ELSE status END AS status, CASE WHEN r THEN 0 ELSE attempt END AS attempt, CASE WHEN r THEN NULL ELSE error END AS error
+    FROM (SELECT *, source = 'import' AND (status = 'failed' OR coalesce(attempt, 0) >= {J.MAX_ATTEMPTS} AND status IN ({", ".join(f"'{s}'" for s in J.IN_FLIGHT)})) AS r FROM manifests)
+""")(lambda m: J.reset_imports(m.withColumn("import_prepared", F.col("generation") % 3 != 0)).select("job_id", "reset", "status", "attempt", "error"))
 query("j14_import_times", "notes", """
     SELECT id, CASE WHEN id % 5 = 0 THEN 'local_time' WHEN id % 7 = 0 THEN 'timezone' WHEN id % 11 = 0 THEN 'local_time' END AS error,
            CASE WHEN id % 5 = 0 OR id % 7 = 0 OR id % 11 = 0 THEN NULL ELSE (strftime(created_at, '%Y-%m-%d %H:%M:00')::TIMESTAMP AT TIME ZONE 'Asia/Jakarta') AT TIME ZONE 'UTC' END AS recorded_at FROM notes

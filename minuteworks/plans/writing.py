@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from minuteworks.functions import lexicon as L
 from minuteworks.functions.text import token_bound
 from minuteworks.operators import drafts as D
 from minuteworks.plans.speech import on_documents
@@ -20,7 +23,12 @@ on_documents("g1_budget", """
       SELECT note_id, c - greatest(512, c // 10) - greatest(1024, least(8000, c // 5)) AS rest, greatest(512, least(4096, o, c // 4)) AS sout, greatest(512, least(8192, o, c // 4)) AS gout
       FROM (SELECT doc_id AS note_id, greatest(4096, doc_id * 700) AS c, doc_id * 90 AS o FROM documents))
 """)(lambda d: D.budget(note(d).select("note_id", (F.col("note_id") * 700).alias("context_tokens"), (F.col("note_id") * 90).alias("output_tokens"))).select("note_id", "max_source_tokens", "max_reduce_tokens"))
-on_documents("g2_section_key", None)(lambda d: note(d).select("note_id", D.section_key(F.lit("m"), F.lit("en"), F.col("text")).alias("section_key")))
+UTF8 = """flatten(list_transform(list_transform(string_split(t, ''), lambda c: CAST(unicode(c) AS UBIGINT)), lambda u: CASE WHEN u < 128 THEN [u] WHEN u < 2048 THEN [192 + u // 64, 128 + u % 64] WHEN u < 65536 THEN [224 + u // 4096, 128 + u // 64 % 64, 128 + u % 64] ELSE [240 + u // 262144, 128 + u // 4096 % 64, 128 + u // 64 % 64, 128 + u % 64] END))"""
+on_documents("g2_section_key", f"""
+    SELECT note_id, ltrim(array_to_string(list_transform([60466176, 1679616, 46656, 1296, 36, 1], lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', n // p % 36 + 1, 1)), ''), '0') || '-' || lpad(lower(to_hex(h)), 8, '0') AS section_key FROM (
+      SELECT note_id, length(t) + len(list_filter(string_split(t, ''), lambda c: unicode(c) > 65535)) AS n, list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), {UTF8}), lambda h, b: CAST(xor(h, CAST(b AS UBIGINT)) * 16777619 % 4294967296 AS UBIGINT)) AS h
+      FROM (SELECT doc_id AS note_id, 'm' || chr(0) || 'en' || chr(0) || text AS t FROM documents WHERE text IS NOT NULL))
+""")(lambda d: note(d.where("text IS NOT NULL")).select("note_id", D.section_key(F.lit("m"), F.lit("en"), F.col("text")).alias("section_key")))
 on_documents("g3_split_sections", "SELECT doc_id AS note_id, md5(text) AS text_md5, length(text) AS n_chars, true AS in_budget FROM documents WHERE text <> ''")(
     lambda d: D.split_sections(note(d), 600).groupBy("note_id").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]), "")).alias("text_md5"), F.max("end_char").alias("n_chars"), F.bool_and(F.col("tokens") <= 600).alias("in_budget"))
 )
@@ -32,7 +40,16 @@ on_documents("g4_pack_batches", f"""
 on_documents("g5_section_cache", f"""
     SELECT note_id, index, CASE WHEN index % 4 = 0 OR index % 4 = 2 AND index % 5 <> 0 THEN 'cached ' || index END AS markdown FROM ({LINES})
 """)(lambda d: (lambda s: D.cached_sections(s.select("note_id", "index", F.col("index").alias("section_id"), F.md5("text").alias("source_hash"), F.lit("v1").alias("stage_key")), s.where("index % 2 = 0").select("note_id", F.col("index").alias("section_id"), F.col("index").alias("updated_at"), F.md5("text").alias("source_hash"), F.lit("v1").alias("stage_key"), F.when((F.col("index") % 4 == 2) & (F.col("index") % 5 == 0), "failed").otherwise("complete").alias("status"), F.concat(F.lit("cached "), F.col("index").cast("string")).alias("markdown"))))(lines_of(d)).select("note_id", "index", "markdown"))
-on_documents("g6_tree_reduce", None)(lambda d: D.tree_reduce(lines_of(d), 2000, lambda texts: " ".join(t[:200] for t in texts)[:600]))
+def signs(texts: list[str]) -> str:
+    """Characters that are no blanks, of all texts; reduced texts carry their number on."""
+    total = 0
+    for t in texts:
+        done = re.fullmatch("§([0-9]+)", t)
+        total += int(done[1]) if done else len(re.sub(r"\s+", "", re.sub(r"\APART [0-9]+\n", "", t)))
+    return f"§{total}"
+
+
+on_documents("g6_tree_reduce", "SELECT doc_id AS note_id, '§' || length(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\pZ]', '', 'g')) AS text FROM documents WHERE text IS NOT NULL")(lambda d: D.tree_reduce(lines_of(d), 2000, signs))
 on_documents("g7_compose_notes", f"""
     SELECT note_id, md5('# Note ' || note_id || chr(10) || chr(10) || '## Detailed Discussion' || coalesce(string_agg(chr(10) || chr(10) || trim(text), '' ORDER BY index) FILTER (trim(text) <> ''), '')) AS text_md5, bool_and(trim(text) <> '' AND index % 40 <> 39) AS usable FROM ({LINES}) GROUP BY note_id
 """)(lambda d: D.compose_notes(note(d).select("note_id", F.concat(F.lit("# Note "), F.col("note_id").cast("string")).alias("front")), lines_of(d).select("note_id", "index", F.col("text").alias("markdown"), (F.col("index") % 40 == 39).alias("is_degraded"))).select("note_id", F.md5("markdown").alias("text_md5"), "usable"))
@@ -46,9 +63,25 @@ TRIMMED = "SELECT doc_id AS note_id, md5(trim(text)) AS text_md5 FROM documents"
 on_documents("g9_strip_transcript", TRIMMED)(lambda d: md5_of(D.strip_sections(put(d, "## 2. Complete Transcript\nsaid\n### deeper\nmore\n# ", "\n### Transcript Lengkap\nx\n#### y").withColumn("text", F.regexp_replace("text", r"\n# ", "\n## Kept\n")), "transcript").withColumn("text", F.regexp_replace("text", r"^## Kept\n", ""))))
 on_documents("g9_strip_placeholders", TRIMMED)(lambda d: md5_of(D.strip_sections(put(d, "", "\n\n## Decisions\n\n## Action Items\n\nNo action items were found."), "placeholder")))
 on_documents("g10_strip_commentary", "SELECT doc_id AS note_id, md5(regexp_replace(text, '\\s+$', '')) AS text_md5 FROM documents")(lambda d: md5_of(D.strip_commentary(put(d, "Note: the audio quality was poor.\n\n", "\n\nSome parts of the recording were unclear.\n\n(Note: made by hand)\n\n(NB: again)\n"))))
-on_documents("g11_extractive_note", None)(lambda d: D.extractive_note(note(d).withColumn("title", F.lit("Notes"))))
+EVEN = "CASE WHEN len({0}) <= {1} THEN {0} ELSE list_transform(range({1}), lambda i: {0}[CAST(floor(i * (len({0}) - 1) / ({1} - 1) + 0.5) AS BIGINT) + 1]) END"
+BULLETS = "CASE WHEN len({1}) > 0 THEN '## {0}' || chr(10) || chr(10) || array_to_string(list_transform({1}, lambda x: '- ' || x), chr(10)) END"
+in_words = lambda pattern: re.sub(r"\(\?<!\[A-Za-z0-9_\]\)|\(\?!\[A-Za-z0-9_\]\)", r"\\b", pattern)
+
+
+def extractive_sql(language: str) -> str:
+    warning, summary, points, actions = L.EXTRACTIVE_LABELS[language]
+    return f"""
+    WITH a AS (SELECT doc_id AS note_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 20 AND NOT regexp_matches(x, '{in_words(L.FILLER)}')) AS s FROM documents WHERE text IS NOT NULL),
+      b AS (SELECT note_id, s, list_transform(s, lambda x: lower(x)) AS f FROM a), c AS (SELECT note_id, list_filter(s, lambda x, i: list_position(f, f[i]) = i) AS s FROM b), d AS (SELECT note_id, s, list_filter(s, lambda x: regexp_matches(x, '{in_words(L.ACTION_WORDS)}')) AS found FROM c),
+      e AS (SELECT note_id, s, {EVEN.format("found", 10)} AS actions FROM d), f AS (SELECT note_id, actions, list_filter(s, lambda x: NOT list_contains(actions, x)) AS others FROM e), g AS (SELECT note_id, actions, others[1 : least(3, greatest(1, len(others) - 1))] AS summary, others[least(3, greatest(1, len(others) - 1)) + 1 :] AS rest FROM f), h AS (SELECT *, {EVEN.format("rest", 8)} AS points FROM g)
+    SELECT note_id, md5(array_to_string(list_filter(['# Notes', '{warning}', CASE WHEN len(summary) > 0 THEN '## {summary}' || chr(10) || chr(10) || array_to_string(summary, ' ') END, {BULLETS.format(points, "points")}, {BULLETS.format(actions, "actions")}], lambda x: x IS NOT NULL), chr(10) || chr(10))) AS markdown_md5 FROM h
+    """
+
+
+for language, name in (("en", "g11_extractive_note"), ("id", "g11_extractive_note_id")):
+    on_documents(name, extractive_sql(language))(lambda d, language=language: D.extractive_note(note(d.where("text IS NOT NULL")).withColumn("title", F.lit("Notes")), language).select("note_id", F.md5("markdown").alias("markdown_md5")))
 on_documents("g12_degraded_notes", "SELECT doc_id AS note_id, doc_id % 2 = 0 AS extractive, doc_id % 3 = 0 AS pending FROM documents")(
-    lambda d: D.is_pending(note(d).select("note_id", F.lit("T").alias("title"), F.when(F.col("note_id") % 3 == 0, "# T\n\nwait").otherwise(F.col("text")).alias("content"), F.concat("text", F.when(F.col("note_id") % 2 == 0, f"\n{D.WARNING}").otherwise("\nAI formatting was unavailable")).alias("body")), "wait").select("note_id", D.is_extractive(F.col("body")).alias("extractive"), "pending")
+    lambda d: D.is_pending(note(d).select("note_id", F.lit("T").alias("title"), F.when(F.col("note_id") % 3 == 0, "# T\n\nwait").otherwise(F.col("text")).alias("content"), F.concat("text", F.when(F.col("note_id") % 2 == 0, f"\n{L.EXTRACTIVE_LABELS["en"][0]}").otherwise("\nAI formatting was unavailable")).alias("body")), "wait").select("note_id", D.is_extractive(F.col("body")).alias("extractive"), "pending")
 )
 
 
@@ -97,7 +130,7 @@ on_documents("g19_title_evidence", None)(lambda d: D.title_evidence(note(d).sele
 BAD_END = "(^|[^A-Za-z0-9_])(dan|atau|dengan|untuk|tentang|terkait|mengenai|mencakup|meliputi|berdasarkan|melalui|serta|and|or|with|for|about|including|based on|through)\\s*$"
 on_documents("g20_useful_title", f"""
     SELECT note_id, length(t) BETWEEN 6 AND 90 AND NOT regexp_matches(lower(t), '{BAD_END}') AND NOT regexp_matches(t, '[.?!]\\s*$') AND NOT regexp_matches(lower(t), '^(kok|nah|jadi|terus|lalu|tadi)([^a-z0-9_]|$)') AND len(g) >= 2 AND len(g) * 2 >= len(w) AS useful FROM (
-      SELECT note_id, t, w, list_filter(w, lambda x: list_contains(src, x)) AS g FROM (SELECT note_id, t, src, list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_-]+'), lambda x: length(x) >= 4 AND x NOT IN ({", ".join(f"'{w}'" for w in D.STOP_WORDS)})) AS w
+      SELECT note_id, t, w, list_filter(w, lambda x: list_contains(src, x)) AS g FROM (SELECT note_id, t, src, list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_-]+'), lambda x: length(x) >= 4 AND x NOT IN ({", ".join(f"'{w}'" for w in L.TITLE_STOP_WORDS)})) AS w
       FROM (SELECT doc_id AS note_id, trim(regexp_replace(substring(text, 1, 60), '\\s+', ' ', 'g')) AS t, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+') AS src FROM documents)))
 """)(lambda d: note(d).select("note_id", D.useful_title(F.substring("text", 1, 60), F.col("text")).alias("useful")))
 on_documents("g21_derive_titles", None)(

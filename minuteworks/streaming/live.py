@@ -132,8 +132,12 @@ def command_traces_stream(logs: DataFrame, wait: str = "10 minutes") -> DataFram
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and returns what it wrote, from a folder that driver and
-    executors share."""
+    executors share.  In ``complete`` mode each micro-batch replaces the result whole."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out"))
+    else:
+        writer = writer.format("parquet").option("path", f"{path}/out")
+    writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

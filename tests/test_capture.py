@@ -52,3 +52,20 @@ def test_gain(spark):
     first = 0.4 * 10 ** (-9 / 20) + 0.6
     assert got[("microphone", 0)] == pytest.approx(first) and got[("microphone", 1)] == pytest.approx(first)
     assert got[("system", 0)] == pytest.approx(0.4 * 10 ** (3 / 20) + 0.6 * 10 ** (18 / 20))
+
+
+def test_filter_blocks_against_the_recurrence():
+    import numpy as np
+
+    from minuteworks.operators import capture as Q
+
+    x = np.random.default_rng(0).normal(size=1000)
+    for c in Q.K_WEIGHTING:
+        b0, b1, b2, a1, a2 = c
+        want, p, q = [], 0.0, 0.0
+        for v in x:
+            y = b0 * v + p
+            p, q = b1 * v - a1 * y + q, b2 * v - a2 * y
+            want.append(y)
+        assert np.allclose(Q.filtered(x, c), want, rtol=1e-9, atol=1e-12)
+    assert len(Q.filtered(x[:0], Q.K_WEIGHTING[0])) == 0

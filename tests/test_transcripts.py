@@ -99,3 +99,16 @@ def test_integrity(spark):
     issues, report = X.integrity_report(texts, attempts, terms, quality)
     assert sorted((r.recording_id, r.code) for r in issues.collect()) == [("a", "missing_timestamps"), ("b", "capture_quality"), ("b", "missing_provenance")]
     assert {r.recording_id: r.requires_review for r in report.collect()} == {"a": False, "b": True}
+
+
+def test_ten_thousand_segments(spark):
+    """Facts about the whole text are made once, not for each segment."""
+    import time
+
+    from minuteworks.operators import transcripts as X
+
+    text = "  ".join(f"Terima kasih. Segment {k} is here." for k in range(5_000))
+    df = spark.createDataFrame([(text,)], "text string")
+    began = time.time()
+    got = df.select(X.clean_transcript(F.col("text")).alias("t")).first().t
+    assert got.count("Segment") == 5_000 and "Terima" not in got and time.time() - began < 20
