@@ -6,7 +6,8 @@ meet.  Of two tiles that do, leading components are multiplied first; what the r
 by the product of the norms of the rest, and rows and columns that cannot reach the threshold any more
 drop out.  What is left is computed from the original vectors in double precision.
 
-A pair of tiles returns, for each vector with links, how many and one edge to its local component, so
+Tiles meet twice: first as sketches, leading components and the norm of the rest as 32-bit floats; then
+only the vectors that the sketches left over meet whole.  A pair of tiles returns, for each vector with links, how many and one edge to its local component, so
 output follows the vectors, not the pairs.  Equal vectors are one, counted as many times.
 """
 
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from minuteworks.llm.common import written
 from minuteworks.llm.graph import connected_components
 
-#: Rounding in bounds is far below this.
-SLACK = 1e-9
+#: Rounding in bounds is far below this, for 64-bit and 32-bit floats.
+SLACK, SKETCH_SLACK = 1e-9, 1e-5
 STAGES = (8, 16, 32)
+SKETCH = 16
 
 
 def prepared(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -37,9 +39,9 @@ def prepared(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 x = None
                 if v.is_valid and i is not None and v.values.null_count == 0:
                     x = v.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0
-                    with np.errstate(over="ignore"):
-                        norm = np.sqrt(x @ x)
-                    x = x if len(x) and np.isfinite(norm) and norm > 0 else None
+                    most = np.abs(x).max(initial=0.0)
+                    # scaled by a power of two, which is exact, so that squares stay in range
+                    x = np.ldexp(x, -int(np.frexp(most)[1])) if np.isfinite(most) and most > 0 else None
                 out.append(x)
             yield pa.RecordBatch.from_arrays([ids, pa.array([None if x is None else len(x) for x in out], pa.int32()), pa.array([None if x is None else x.tobytes() for x in out], pa.binary())], names=["vec_id", "dim", "vec"])
 
@@ -129,6 +131,28 @@ def links_between(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray,
                 yield rows[i], cols[j]
 
 
+def sketches(rotated: np.ndarray) -> np.ndarray:
+    """Leading components, and the norm of what follows the first 8 and what follows all of them."""
+    norm = lambda at: np.sqrt((rotated[:, at:] ** 2).sum(axis=1))[:, None]
+    lead = rotated[:, :SKETCH]
+    lead = np.hstack([lead, np.zeros((len(lead), SKETCH - lead.shape[1]))])
+    return np.hstack([lead, norm(8), norm(SKETCH)]).astype("<f4")
+
+
+def left_over(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two tiles' sketches may reach the threshold with some row of the other tile."""
+    own, other = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    for start in range(0, len(x), 1024):
+        rows, cols = np.arange(start, min(start + 1024, len(x))), np.arange(len(y))
+        for upto, norm in ((8, SKETCH), (SKETCH, SKETCH + 1)):
+            alive = x[rows, :upto] @ y[cols, :upto].T + np.outer(x[rows, norm], y[cols, norm]) >= threshold - SKETCH_SLACK
+            rows, cols = rows[alive.any(axis=1)], cols[alive.any(axis=0)]
+            if not len(rows):
+                break
+        own[rows] = other[cols] = True
+    return own, other
+
+
 def local_roots(n: int, links) -> np.ndarray:
     """For each node the smallest node of its component under the links."""
     root = np.arange(n)
@@ -189,42 +213,56 @@ def compare_tiles(spark, mine: DataFrame, cells: Cells, threshold: float, tile_r
         own = shared.value
         for batch in batches:
             if batch.num_rows:
-                x = np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in batch.column(2)])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.of(unit(x) @ own.axes).astype(np.int32))], names=["rep", "times", "vec", "cell"])
+                x = unit(np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in batch.column(2)])) @ own.axes
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([v.tobytes() for v in sketches(x)], pa.binary()), pa.array(own.of(x).astype(np.int32))], names=["rep", "times", "vec", "sketch", "cell"])
 
-    placed = written(mine.select("rep", "times", "vec").mapInArrow(assign, "rep long, times long, vec binary, cell int"), "placed-vectors")
+    numbered = mine.select("rep", "times", "vec").mapInArrow(assign, "rep long, times long, vec binary, sketch binary, cell int")
+    # a number for each class, fixed by writing: an id may repeat with different vectors
+    placed = written(numbered.withColumn("n", F.monotonically_increasing_id()), "placed-vectors")
     # at most most_cells rows each
     parts = {r.cell: -(-r["count"] // tile_rows) for r in placed.groupBy("cell").count().collect()}
-    tiles_of = F.broadcast(spark.createDataFrame([(c, n) for c, n in parts.items()], "of int, n int"))
+    tiles_of = F.broadcast(spark.createDataFrame(list(parts.items()), "of int, tiles int"))
     partners = [(c, d, parts[d]) for c, near in enumerate(cells.partners(threshold)) for d in near if c in parts and d in parts]
     pairs = [(c, d, n, "a") for c, d, n in partners] + [(d, c, parts[c], "b") for c, d, _ in partners]
     near = F.broadcast(spark.createDataFrame(pairs, "of int, other int, others int, side string"))  # most_cells squared at most
-    tiles = placed.join(tiles_of, F.col("cell") == F.col("of")).select("cell", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int").alias("sub"), "rep", "times", "vec")
-    packed = tiles.groupBy("cell", "sub").agg(F.collect_list(F.struct("rep", "times", "vec")).alias("rows"))  # about tile_rows
+    tiles = placed.join(tiles_of, F.col("cell") == F.col("of")).select("cell", F.pmod(F.xxhash64("n"), F.col("tiles")).cast("int").alias("sub"), "n", "sketch")
+    packed = tiles.groupBy("cell", "sub").agg(F.collect_list(F.struct("n", "sketch")).alias("rows"))  # about tile_rows
     spread = packed.join(near, F.col("cell") == F.col("of")).select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("osub"))
     me, you = F.struct("cell", "sub"), F.struct(F.col("other").alias("cell"), F.col("osub").alias("sub"))
     # a tile meets another once, and itself once
     spread = spread.where(F.when(F.col("cell") == F.col("other"), F.when(F.col("side") == "a", F.col("sub") <= F.col("osub")).otherwise(F.col("sub") > F.col("osub"))).otherwise(True))
     left = F.col("side") == "a"
     keyed = spread.select(F.when(left, me).otherwise(you).alias("first"), F.when(left, you).otherwise(me).alias("second"), left.alias("is_first"), "rows")
+    pair = "first struct<cell: int, sub: int>, second struct<cell: int, sub: int>"
     axes = cells.axes
 
-    def compare(table):
+    def first_look(table):
         sides = {}
         for flag, entries in zip(table.column("is_first").to_pylist(), table.column("rows").combine_chunks()):
             e = entries.values
-            x = np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in e.field("vec")])
-            sides[flag] = (e.field("rep").to_numpy(), e.field("times").to_numpy(), unit(x))
-        ids, times, x = sides[True]
-        same = False not in sides
-        ids2, times2, y = (ids, times, x) if same else sides[False]
-        n, shift = len(ids), 0 if same else len(ids)
-        every = ids if same else np.concatenate([ids, ids2])
+            sides[flag] = e.field("n").to_numpy(), np.stack([np.frombuffer(v.as_buffer(), "<f4") for v in e.field("sketch")])
+        own, other = left_over(sides[True][1], sides.get(False, sides[True])[1], threshold)
+        if False not in sides:
+            own, other = own | other, other[:0]
+        ids = np.concatenate([sides[True][0][own], *([sides[False][0][other]] if False in sides else [])])
+        flags = np.arange(len(ids)) < own.sum()
+        same_pair = lambda name: pa.chunked_array([table.column(name).combine_chunks().take(pa.array(np.zeros(len(ids), np.int64)))])
+        return pa.table({"first": same_pair("first"), "second": same_pair("second"), "is_first": pa.array(flags), "n": pa.array(ids)})
+
+    def compare(table):
+        flags = table.column("is_first").to_numpy()
+        every, times = table.column("rep").to_numpy(), table.column("times").to_numpy()
+        order = np.argsort(~flags, kind="stable")
+        every, times, n = every[order], times[order], int(flags.sum())
+        x = unit(np.stack([np.frombuffer(v, "<f8") for v in table.column("vec").to_pylist()])[order])
+        same = n == len(every)
+        shift, y = (0, x) if same else (n, x[n:])
+        x = x[:n]
         count, links = np.zeros(len(every), np.int64), []
         for i, j in links_between(x, y, x @ axes, y @ axes, threshold):
             if same:
                 i, j = i[i < j], j[i < j]
-            np.add.at(count, i, times2[j])
+            np.add.at(count, i, times[j + shift])
             np.add.at(count, j + shift, times[i])
             links.append((i, j + shift))
         order = np.argsort(every, kind="stable")
@@ -234,4 +272,7 @@ def compare_tiles(spark, mine: DataFrame, cells: Cells, threshold: float, tile_r
         has = np.flatnonzero(count)
         return pa.table({"id": pa.array(every[has]), "root": pa.array(roots[has]), "links": pa.array(count[has])})
 
-    return keyed.groupBy("first", "second").applyInArrow(compare, "id long, root long, links long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    over = written(keyed.repartition(tasks, "first", "second").groupBy("first", "second").applyInArrow(first_look, f"{pair}, is_first boolean, n long"), "vectors-left")
+    whole = over.join(placed.select("n", "rep", "times", "vec"), "n")
+    return whole.repartition(tasks, "first", "second").groupBy("first", "second").applyInArrow(compare, "id long, root long, links long")

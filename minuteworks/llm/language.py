@@ -6,13 +6,16 @@ times the bits to name a place in that sample, over the text's length, estimate
 that language.  The language with the least wins.
 
 The automata become one transition table whose failing transitions already start the next phrase,
-so all texts of a batch walk through all languages together with NumPy.
+so all texts of a slice walk through all languages together with NumPy.  The most frequent letters of
+the sample have a symbol of their own; every other letter is spelled by five symbols, the digits of
+its number, so large scripts stay apart while the table stays narrow.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +27,21 @@ from minuteworks.llm.common import text_or_empty
 from minuteworks.llm.tokens import slices_of
 
 LETTER = re.compile(r"[^\W\d_]")
-SPACE, OTHER, BREAK, FIRST = 0, 1, 2, 3
+SPACE, BREAK, DIGIT, FIRST, SPELLED = 0, 1, 2, 18, 255
+DIGITS = 5
 FLAG = 1 << 30
 
 
+@lru_cache(maxsize=1)
+def letter_points() -> np.ndarray:
+    """Whether each code point is a letter."""
+    every = "".join(map(chr, range(0x110000)))
+    found = np.zeros(0x110000, bool)
+    for m in re.finditer(r"[^\W\d_]+", every):
+        found[m.start() : m.end()] = True
+    return found
+
+
 def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
     """Transitions of the suffix automaton of ``codes``, a row per state, -1 for none."""
     nxt, link, length, last = [[-1] * symbols], [-1], [0], 0
@@ -63,19 +77,19 @@ class CrossParser:
     def __init__(self, alphabet: str, sample: dict[str, bytes]):
         self.alphabet, self.languages = alphabet, sorted(sample)
         self.width = FIRST + len(alphabet)
-        self.code = np.full(0x110000, OTHER, np.uint8)
-        self.code[[c for c in range(0x3001) if not LETTER.match(chr(c))]] = SPACE
+        self.code = np.where(letter_points(), SPELLED, SPACE).astype(np.uint8)
         for k, c in enumerate(alphabet):
             self.code[ord(c)] = FIRST + k
         tables, self.roots, base = [], [], 0
         for name in self.languages:
             table = suffix_automaton(list(sample[name]), self.width)
-            root = table[0].copy()
-            # a failing transition ends the phrase; the next one begins with the same letter
-            again = np.where(root >= 0, root, 0)
-            again[OTHER] = 0
-            table = np.where(table >= 0, table + base, (again + base) | FLAG)
-            table[:, OTHER] = base | FLAG
+            root, alone = table[0].copy(), len(table)
+            # a failing transition ends the phrase; the next one begins with the same symbol, and is that
+            # symbol alone (the last state) if the sample lacks it
+            again = np.where(root >= 0, root, alone) + base
+            table = np.where(table >= 0, table + base, again | FLAG)
+            table[0] = again
+            table = np.vstack([table, again | FLAG])
             tables.append(table)
             self.roots.append(base)
             base += len(table)
@@ -84,7 +98,16 @@ class CrossParser:
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-        return self.code[points]
+        codes = self.code[points]
+        spelled = codes == SPELLED
+        if not spelled.any():
+            return codes
+        size = np.where(spelled, DIGITS, 1)
+        out = np.repeat(codes, size)
+        at, rest = (np.cumsum(size) - size)[spelled], points[spelled]
+        for d in range(DIGITS):
+            out[at + d] = DIGIT + (rest >> np.uint32(4 * (DIGITS - 1 - d)) & np.uint32(15))
+        return out
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each coded text under each language."""
@@ -137,58 +160,75 @@ def parser(alphabet: str, sample: tuple[tuple[str, bytes], ...]) -> CrossParser:
     return CrossParser(alphabet, dict(sample))
 
 
-def sample_texts(docs: DataFrame, held_out, most_docs: int = 48, most_chars: int = 40_000) -> dict[str, str]:
-    """For each language at most ``most_docs`` labelled rows (one for each of as many parts of the
-    hashed ids), cut to ``most_chars`` characters together: the bounded sample that is learned from."""
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-    chosen = rows.groupBy("lang", F.pmod("h", F.lit(most_docs)).alias("part")).agg(F.min(F.struct("h", "doc_id")).alias("first"))
-    ids = F.broadcast(chosen.select(F.col("first.doc_id").alias("id"), F.col("lang").alias("of")))  # most_docs per language
-    each = most_chars // most_docs * 2
-    found = docs.join(ids, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of"))).select("lang", "doc_id", F.substring(text_or_empty(), 1, each).alias("text")).distinct().collect()
-    texts: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (r.lang, r.doc_id)):
-        texts.setdefault(r.lang, []).append(r.text)
-    return {lang: "\x02".join(parts)[:most_chars] for lang, parts in texts.items() if any(LETTER.search(t) for t in parts)}
-
-
-def learned(texts: dict[str, str], letters: int = 61) -> tuple[str, tuple[tuple[str, bytes], ...]]:
-    """The alphabet (the ``letters`` most frequent ones) and the coded sample of each language."""
-    counts: dict[str, int] = {}
-    for text in texts.values():
-        for c in text.lower():
-            if LETTER.match(c):
-                counts[c] = counts.get(c, 0) + 1
+def sample_texts(docs: DataFrame, held_out, most_docs: int = 48, most_chars: int = 40_000) -> dict[str, list[str]]:
+    """For each language whole texts of at most ``most_docs`` labelled rows: the bounded sample that is
+    learned from.
+
+    Each of ``most_docs`` parts of the hashed ids offers a row, one of at most ``2 * most_chars / most_docs``
+    characters if it has any.  The rows are taken in the order of their hashes, each whole, while they have
+    at most ``most_chars`` characters together; one that would not fit is passed over.  A language whose
+    rows all are longer learns from the shortest offered one.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out).select("lang", F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("h"), F.char_length(text_or_empty()).alias("n"))
+    rows = rows.where("n > 0").withColumn("long", F.col("n") > 2 * most_chars // most_docs)
+    offered = rows.groupBy("lang", F.pmod("h", F.lit(most_docs)).alias("part")).agg(F.min(F.struct("long", "h", "id", "n")).alias("first"))
+    by_lang: dict[str, list] = {}
+    for r in offered.select("lang", "first.*").collect():  # most_docs for each language
+        by_lang.setdefault(r.lang, []).append(r)
+    chosen = []
+    for lang, mine in by_lang.items():
+        taken = 0
+        for r in sorted(mine, key=lambda r: (r.long, r.h, r.n)):
+            if taken + r.n <= most_chars:
+                chosen.append((lang, r.h))
+                taken += r.n
+        if not taken:
+            chosen.append((lang, min(mine, key=lambda r: (r.n, r.h)).h))
+    if not chosen:
+        return {}
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_of string, _h long"))
+    texts = docs.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    found = texts.join(wanted, (F.col("h") == F.col("_h")) & (F.col("lang") == F.col("_of"))).select("lang", "h", "text").distinct().collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r.lang, r.h)):
+        out.setdefault(r.lang, []).append(r.text)
+    return {lang: parts for lang, parts in out.items() if any(LETTER.search(t) for t in parts)}
+
+
+def learned(texts: dict[str, list[str]], letters: int = 61) -> tuple[str, tuple[tuple[str, bytes], ...]]:
+    """The letters with a symbol of their own (the ``letters`` most frequent ones) and the coded sample of
+    each language."""
+    counts = Counter(c for parts in texts.values() for text in parts for c in text.lower() if LETTER.match(c))
     alphabet = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:letters]))
     coder = CrossParser(alphabet, {})
-    sample = {}
-    for lang, text in texts.items():
-        # documents are told apart, so that no phrase runs from one into the next
-        parts = [coder.codes(t).tobytes() for t in text.split("\x02")]
-        sample[lang] = bytes([BREAK]).join(parts).replace(bytes([OTHER]), bytes([BREAK]))
+    # documents are told apart, so that no phrase runs from one into the next
+    sample = {lang: bytes([BREAK]).join(coder.codes(t).tobytes() for t in parts) for lang, parts in texts.items()}
     return alphabet, tuple(sorted(sample.items()))
 
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def identify_language(docs: DataFrame) -> DataFrame:
+def identify_language(docs: DataFrame, most_docs: int = 48, most_chars: int = 40_000) -> DataFrame:
     """A row per document: ``doc_id, held_out, lang_pred, score``.
 
-    Learns from rows with a language whose ``crc32`` of the id modulo 4 is not 2 and predicts all
+    Learns from a sample of at most ``most_docs`` whole rows and about ``most_chars`` characters for each
+    language (see :func:`sample_texts`), of rows with a language whose ``crc32`` of the id modulo 4 is not 2 and predicts all
     rows from their text alone.  A text that is null or has no letter is ``und`` with score 0, as is
     every text if there is nothing to learn from.  The score is how much more the second language
     needs (0 to 1; 1 with one language).  Equal languages: the first by name.  Ids may repeat; a null
     id is not held out; other columns are ignored; an empty table gives an empty result.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    # bounded: most_chars for each language
-    shared = docs.sparkSession.sparkContext.broadcast(learned(sample_texts(docs, held_out)))
+    shared = docs.sparkSession.sparkContext.broadcast(learned(sample_texts(docs, held_out, most_docs, most_chars)))
 
     def predict(batches):
         own = parser(*shared.value)
         for batch in batches:
-            found = own.predict(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            for a, z in slices_of(batch.column(2), 4_000_000):
+                part = batch.slice(a, z - a)
+                found = own.predict(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_or_empty().alias("text"))
     return rows.mapInArrow(predict, RESULT)

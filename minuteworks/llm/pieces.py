@@ -127,7 +127,7 @@ class Normalizer:
 
 
 class PieceCoder:
-    def __init__(self, path: str, capacity: int = 500_000):
+    def __init__(self, path: str, most_bytes: int = 160_000_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -139,14 +139,21 @@ class PieceCoder:
         byte, user = 6, 4
         self.bytes_of = np.array([1 if p.type == byte else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.by_word = self.normalize.prefix and not self.normalize.rules.units and not self.normalize.squeeze and model.trainer_spec.byte_fallback and not any(p.type == user or re.search(f"[^{MARK}]{MARK}", p.piece) for p in model.pieces)
-        self.capacity, self.known = capacity, {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > self.capacity:
-            self.known.clear()
-        new = list(set(words).difference(self.known))
-        for w, ids in zip(new, self.library.encode(new, num_threads=1)):
-            self.known[w] = " ".join(map(str, ids)), np.array(ids, "<u4").tobytes()
+        self.most_bytes, self.held, self.known = most_bytes, 0, {}
+
+    def _learn(self, words: set[str]) -> dict[str, tuple[str, bytes]]:
+        """The ids of words that are not known; those that are not long become known."""
+        new = {}
+        for w, ids in zip(words, self.library.encode(list(words), num_threads=1)):
+            # one mark alone: the library returns nothing for an empty text
+            ids = ids if w else [self.library.piece_to_id(MARK)]
+            found = new[w] = " ".join(map(str, ids)), np.array(ids, "<u4").tobytes()
+            if len(w) <= 64:
+                self.known[w] = found
+                self.held += len(w) + len(found[0]) + len(found[1]) + 250  # four objects and a slot
+        if self.held > self.most_bytes:
+            self.known, self.held = {}, 0
+        return new
 
     def ids(self, text: str) -> tuple[np.ndarray, str]:
         """The ids, and the same as decimal numbers joined by one space."""
@@ -159,15 +166,10 @@ class PieceCoder:
         words = text.split(" ")
         if "" in words or MARK in text:
             words = [w[1:] for w in WORD.findall(MARK + text.replace(" ", MARK))]
-            if "" in words:  # one mark alone: the library returns nothing for an empty text
-                self.known[""] = str(i := self.library.piece_to_id(MARK)), np.array([i], "<u4").tobytes()
-        try:
-            found = [self.known[w] for w in words]
-        except KeyError:
-            self._learn(words)
-            if "" in words:
-                self.known[""] = str(i := self.library.piece_to_id(MARK)), np.array([i], "<u4").tobytes()
-            found = [self.known[w] for w in words]
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = self._learn({w for w, f in zip(words, found) if f is None})
+            found = [f or new[w] for w, f in zip(words, found)]
         return np.frombuffer(b"".join([f[1] for f in found]), "<u4"), " ".join([f[0] for f in found])
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

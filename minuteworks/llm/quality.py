@@ -171,8 +171,9 @@ def train(docs: DataFrame, grades: DataFrame, most_per_grade: int = 3000) -> Ord
 
     def extract(batches):
         for batch in batches:
-            found = [features(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "grade", "found"])
+            for a, z in slices_of(batch.column(2)):
+                found = [features(t).tobytes() for t in batch.column(2)[a:z].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], batch.column(1)[a:z], pa.array(found, pa.binary())], names=["doc_id", "grade", "found"])
 
     got = sorted(map(tuple, rows.mapInArrow(extract, "doc_id long, grade int, found binary").toLocalIterator()))
     return fit([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got], np.int64))
@@ -202,7 +203,9 @@ def with_scores(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5, i
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text reaches ``least_tail``, with all their columns, in one pass."""
+    """The rows of ``docs`` whose text reaches ``least_tail``, with all their columns, in one pass.  Null
+    texts are scored as empty ones; ids do not matter, so repeated and null ones are rows like others; an
+    empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.thresholds))
     names = docs.columns
     text_at = names.index("text")

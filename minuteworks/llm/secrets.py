@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from hashlib import sha256
 from itertools import accumulate
@@ -114,6 +115,19 @@ def random_stretches(run: str, count_tokens, max_ratio: float, min_length: int)
     return [without_readable_ends(run, a, z, count_tokens, max_ratio, min_length) for a, z in joined_up]
 
 
+class Cover:
+    """Whether a span lies inside one of some spans: sorted by start, with the furthest end so far."""
+
+    def __init__(self, spans):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((z for _, z in spans), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return k > 0 and end <= self.ends[k - 1]
+
+
 def find_secrets(text: str, count_tokens, max_ratio: float = 2.0, min_length: int = 20) -> list[tuple[int, str, int]]:
     """``(start, kind, end)`` in code points, end exclusive, by start and then kind."""
     low = text.lower()
@@ -125,10 +139,9 @@ def find_secrets(text: str, count_tokens, max_ratio: float = 2.0, min_length: in
         if "AKIA" in run:
             found += [(at + m.start(), "access", at + m.end()) for m in ACCESS.finditer(run) if len(m[0]) >= 18]
         found += [(at + m.start(), "hex", at + m.end()) for m in HEX.finditer(run) if len(m[0]) >= 16]
-    by_pattern = list(found)
+    within = Cover((a, z) for a, _, z in found)
     for at, run in runs:
         run = run.rstrip("=")
-        within = lambda start, end: any(a <= start and end <= z for a, _, z in by_pattern)
         if len(run) >= min_length and not is_identifier(run) and not within(at, at + len(run)):
             whole = len(run) / count_tokens(run) < max_ratio
             parts = [(0, len(run))] if whole else random_stretches(run, count_tokens, max_ratio, min_length)

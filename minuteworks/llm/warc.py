@@ -92,7 +92,7 @@ class Tail:
     """The bytes of a file from a place on, read as they are asked for."""
 
     def __init__(self, file, start: int, size: int, step: int = 1 << 20):
-        self.file, self.start, self.size, self.step, self.data = file, start, size, step, b""
+        self.file, self.start, self.size, self.step, self.data = file, start, size, step, bytearray()
 
     def grow(self) -> bool:
         at = self.start + len(self.data)
@@ -100,8 +100,13 @@ class Tail:
         self.data += more
         return bool(more)
 
-    def drop(self, n: int) -> None:
-        self.data, self.start = self.data[n:], self.start + n
+    def forget(self, n: int) -> int:
+        """Lets go of what stands before ``n``, once it is worth the move; returns where ``n`` is now."""
+        if n < self.step:
+            return n
+        del self.data[:n]
+        self.start += n
+        return 0
 
 
 def member(tail: Tail, at: int) -> tuple[bytes, int] | None:
@@ -130,23 +135,23 @@ def member(tail: Tail, at: int) -> tuple[bytes, int] | None:
 
 def records_in(file, size: int, start: int, end: int):
     """``(offset, record)`` for the records of a file that start in ``[start, end)``."""
-    tail = Tail(file, start, size)
-    while tail.start < end:
-        at = tail.data.find(MAGIC)
-        if at < 0:
-            tail.drop(max(0, len(tail.data) - 2))
+    tail, at = Tail(file, start, size), 0
+    while tail.start + at < end:
+        found = tail.data.find(MAGIC, at)
+        if found < 0:
+            at = tail.forget(max(at, len(tail.data) - 2))
             if not tail.grow():
                 return
             continue
-        tail.drop(at)
-        if tail.start >= end:
+        at = found
+        if tail.start + at >= end:
             return
-        found = member(tail, 0)
-        if found is None:
-            tail.drop(1)
+        whole = member(tail, at)
+        if whole is None:
+            at += 1
             continue
-        yield tail.start, found[0]
-        tail.drop(found[1])
+        yield tail.start + at, whole[0]
+        at = tail.forget(whole[1])
 
 
 def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:

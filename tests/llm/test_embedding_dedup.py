@@ -53,3 +53,9 @@ def test_empty_null_and_repeated_ids(spark):
 def test_whole_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     assert got(E.near_vectors(df)) == brute([(r.vec_id, r.embedding) for r in df.collect()])
+
+
+def test_norms_out_of_range(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [5e-324, 5e-324]), (6, [1.0, -1.0]), (7, [1.7e308, -1.7e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(E.near_vectors(df)) == {**{i: (4, 1, i == 1) for i in range(1, 6)}, 6: (1, 6, True), 7: (1, 6, False)}

@@ -85,3 +85,39 @@ def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert got(M.minhash_components(docs, width=2)) == brute(rows, 2)
+
+
+def test_tiles_of_a_hot_bucket_lose_no_link(spark, monkeypatch):
+    """Many edits of one text, most of them near 0.8: tiles of three rows find what a comparison of all finds."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.integers(0, 120, rng.integers(5, 14)):
+            copy[at] = f"e{rng.integers(40)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, seen = M.links_of_rest, []
+
+    def in_small_tiles(*args):
+        seen.append(whole(*args, tile_rows=3))
+        return seen[-1]
+
+    monkeypatch.setattr(M, "links_of_rest", in_small_tiles)
+    got_small = got(M.minhash_components(docs, width=2))
+    assert got_small == brute(rows, 2) and len(seen) == 1
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(12)
+    for n in (1, 3, 40, 500, 1100):
+        one = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        other = np.unique(np.concatenate([one[: -(-9 * len(one) // 10)], rng.integers(0, 1 << 62, n // 10).astype(np.uint64)]))
+        sets, size = [one, other], np.array([len(one), len(other)])
+        both = len(np.intersect1d(one, other))
+        near = 100 * both >= 80 * (size.sum() - both)
+        zero = np.zeros((2, 2), np.int64)
+        hit = M.possible(np.array([1, 2]), np.array([1, 1]), size, zero, zero, [M.bitmap(s) for s in sets], np.zeros(2, int), 0, 80)
+        assert hit.all() or not near
+        assert (M.set_links(sets, 80).tolist() == [0, 0]) == near

@@ -40,3 +40,38 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert out.columns == docs.columns
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert len(C.STAGES) == 5
+
+
+ROWS = [
+    (1, "plain words of a fair text " * 20, "en", "a", 1, "x", "y"),
+    (1, "plain words of a fair text " * 20, "en", "a", 1, "x", "y"),
+    (2, None, None, None, None, None, None),
+    (None, "plain words of a fair text " * 20, "en", "a", 1, "x", "y"),
+    (3, "", "en", "a", 0, "x", "y"),
+    (4, "one two three four five six seven eight", "en", "a", 1, "x", "y"),
+    (4, "token=abcdefghijklmnop0123", "en", "a", 1, "x", "y"),
+    (5, "one two three four five six seven  EIGHT", "en", "a", 1, "x", "y"),
+]
+
+
+def stage_input(spark, columns="_dropped string, _gone string"):
+    return spark.createDataFrame(ROWS, f"doc_id long, text string, lang string, source string, n_chars int, {columns}")
+
+
+def test_stages_take_nulls_repeats_and_any_columns(spark, sf_dir):
+    """Null ids and texts, empty texts, repeated rows and ids, and names that operators use inside."""
+    for columns in ("_dropped string, _gone string", "id string, key string", "of string, rep string", "h string, rank string", "kept string, length string"):
+        docs = stage_input(spark, columns)
+        left = {name: stage(spark, docs, sf_dir) for name, stage in C.STAGES}
+        for name, _ in C.STAGES[:-1]:
+            assert left[name].columns == docs.columns
+        rows = lambda name: sorted(((r.doc_id, r.text) for r in left[name].collect()), key=str)
+        both = sorted(((r[0], r[1]) for r in ROWS), key=str)
+        assert set(rows("quality")) <= set(both)
+        # equal texts: doc 1 twice (its id is the smallest), the null id stays, of null and empty text the smaller id
+        assert rows("exact_dedup") == sorted([r for r in both if r != (3, "")], key=str)
+        # 4 and 5 are one set of words: all rows of 4 stay, 5 goes; blank ones and the null id stay
+        assert rows("minhash_dedup") == sorted([r for r in both if r[0] != 5], key=str)
+        assert len(rows("secrets")) == len(ROWS) and (4, "[secret]") in rows("secrets") and (2, None) in rows("secrets")
+        packed = left["packing"].collect()
+        assert len(packed) == len(ROWS) and {r.doc_id for r in packed} == {1, 2, 3, 4, 5, None}

@@ -1,6 +1,8 @@
 import re
 from hashlib import sha256
 
+import numpy as np
+
 from minuteworks.llm import secrets as X
 
 RANDOM = "q7Zt0PxL2vWk9RbN4mHs8YdF"
@@ -74,3 +76,12 @@ def test_random_strings_behind_readable_text():
                 assert spans and min(s[0] for s in spans) <= len(front) and max(s[2] for s in spans) >= len(front + key), (front, key, back)
     for plain in ("/documents/reports/annual/customer/invoice/overview", "/reports/2024-01-01/12-30-45/overview/download"):
         assert X.find_secrets(plain, count) == []
+
+
+def test_cover_against_all_spans():
+    rng = np.random.default_rng(0)
+    spans = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 200, 60), rng.integers(1, 30, 60))]
+    inside = X.Cover(spans)
+    for a, n in zip(rng.integers(0, 220, 500).tolist(), rng.integers(1, 20, 500).tolist()):
+        assert inside(a, a + n) == any(s <= a and a + n <= z for s, z in spans)
+    assert not X.Cover([])(0, 1)
