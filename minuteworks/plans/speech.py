@@ -128,7 +128,18 @@ def with_ranges(a: DataFrame) -> DataFrame:
 
 
 spoken = lambda a: a.groupBy("recording_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
-query("x15_evidence_anchors", ATTEMPTS, None)(lambda a: X.evidence_anchors(spoken(a), with_ranges(a), X.revisions(spoken(a), a).select(F.col("recording_id").alias("r"), "revision_id").withColumnRenamed("r", "recording_id")))
+query("x15_evidence_anchors", ATTEMPTS, """
+    WITH whole AS (SELECT recording_id, string_agg(text, chr(10) ORDER BY chunk_index) AS t, sha256(string_agg(text, chr(10) ORDER BY chunk_index)) AS sha, string_agg(audio_sha256, ':' ORDER BY chunk_index, created_at, attempt_name) AS h FROM attempts GROUP BY 1),
+      cut AS (SELECT recording_id, chunk_index, created_at, attempt_name, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS s FROM attempts WHERE chunk_index % 5 <> 4),
+      r AS (SELECT recording_id, chunk_index, i - 1 AS i, created_at, attempt_name, regexp_replace(s[i], '^\\s+|\\s+$', '', 'g') AS text FROM cut, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) u),
+      l AS (SELECT recording_id, list({'t': text, 'c': CAST(0 AS BIGINT), 'o': chunk_index || ':' || i} ORDER BY chunk_index, created_at, attempt_name, i) AS l FROM r GROUP BY 1),
+      f AS (SELECT recording_id, unnest(string_split(rtrim(list_reduce(list_prepend({'t': '', 'c': CAST(0 AS BIGINT), 'o': ''}, l), lambda a, x: {'t': '',
+          'c': CASE WHEN x.t <> '' AND contains(substr(t, a.c + 1), x.t) THEN a.c + strpos(substr(t, a.c + 1), x.t) - 1 + length(x.t) ELSE a.c END,
+          'o': a.o || x.o || ':' || CASE WHEN x.t <> '' AND contains(substr(t, a.c + 1), x.t) THEN CAST(a.c + strpos(substr(t, a.c + 1), x.t) - 1 AS VARCHAR) ELSE '' END || ','}).o, ','), ',')) AS o FROM l JOIN whole USING (recording_id))
+    SELECT r.recording_id, r.chunk_index, CAST(r.i AS INT) AS i, r.i * 2.5::DOUBLE AS start_s, r.i * 2.5::DOUBLE + 2 AS end_s, r.text, CAST(nullif(split_part(o, ':', 3), '') AS INT) AS char_start, CAST(nullif(split_part(o, ':', 3), '') AS INT) + CAST(length(r.text) AS INT) AS char_end,
+           sha256(sha256(w.sha || ':' || w.h) || ':' || r.chunk_index || ':' || r.i || ':' || printf('%.3f', r.i * 2.5::DOUBLE) || ':' || printf('%.3f', r.i * 2.5::DOUBLE + 2)) AS evidence_id
+    FROM f JOIN r ON r.recording_id = f.recording_id AND r.chunk_index = CAST(split_part(o, ':', 1) AS INT) AND r.i = CAST(split_part(o, ':', 2) AS BIGINT) JOIN whole w ON w.recording_id = r.recording_id
+""")(lambda a: X.evidence_anchors(spoken(a), with_ranges(a), X.revisions(spoken(a), a).select(F.col("recording_id").alias("r"), "revision_id").withColumnRenamed("r", "recording_id")))
 query("x16_blocking_quality", "reports", """
     SELECT recording_id, CASE WHEN requires_review THEN CASE recording_id % 4 WHEN 0 THEN 'capture quality requires review' WHEN 2 THEN 'mic_missing: c; mixed_clipping: d' WHEN 3 THEN 'mic_overrun: e' END END AS blocking FROM reports
 """)(X.blocking_quality)

@@ -40,6 +40,14 @@ def claims(spark, sf_dir):
 
 
 QUERIES["k6_claims"] = claims
+ORACLES["k6_claims"] = with_adapters("claim_events", """
+    SELECT path, CAST(split_part(o, ':', 1) AS BIGINT) AS seq, e.action, e.run_id, split_part(o, ':', 2) AS outcome FROM (
+      SELECT path, unnest(string_split(rtrim(list_reduce(list_prepend({'run': '', 'act': '', 'out': ''}, l), lambda a, x: {
+          'run': CASE WHEN trim(x.run) = '' THEN a.run WHEN x.act = 'claim' THEN CASE WHEN a.run = '' THEN x.run ELSE a.run END WHEN a.run = x.run THEN '' ELSE a.run END, 'act': '',
+          'out': a.out || x.out || ':' || CASE WHEN trim(x.run) = '' THEN 'invalid' WHEN x.act = 'claim' THEN CASE WHEN a.run IN ('', x.run) THEN 'accepted' ELSE 'rejected' END WHEN a.run = x.run THEN 'released' ELSE 'ignored' END || ','}).out, ','), ',')) AS o
+      FROM (SELECT path, list({'run': run_id, 'act': action, 'out': CAST(seq AS VARCHAR)} ORDER BY ts, seq) AS l FROM claim_events GROUP BY path)) r
+    JOIN claim_events e USING (path) WHERE e.seq = CAST(split_part(o, ':', 1) AS BIGINT)
+""")
 
 
 def live(spark, sf_dir):
@@ -115,5 +123,10 @@ query("s4_parse_response", "turns", "SELECT conv_id, turn, CASE turn % 4 WHEN 1
     lambda t: S.parse_asr_response(t.select("conv_id", "turn", F.concat(F.lit("{"), F.when(F.col("turn") % 4 != 1, F.concat(F.lit('"text":"'), "role", F.lit('"'))).otherwise('"x":1'), F.when(F.col("turn") % 4 == 2, ',"segments":[{"id":1,"text":"a"}]').when(F.col("turn") % 4 == 3, ',"segments":[{"id":1,"start":0,"end":1,"text":"a"}]').otherwise(""), F.lit("}")).alias("json")), "json").select("conv_id", "turn", "error", "text", F.size(F.filter("segments", lambda s: s["start"].isNotNull())).alias("n_ok"))
 )
 ADAPTERS["binary_chunks"] = "SELECT page_id AS recording_id, html FROM {pages}"
-query("q3_pcm_levels", "binary_chunks", None)(lambda p: Q.pcm_levels(p.select("recording_id", F.encode("html", "UTF-8").alias("content"))).withColumns({c: F.round(c, 6) for c in ("clipped_ratio", "rms_dbfs")}))
+query("q3_pcm_levels", "binary_chunks", """
+    SELECT recording_id, round(coalesce(list_avg(list_transform(v, lambda x: CASE WHEN abs(x) >= 32700 THEN 1.0 ELSE 0.0 END)), 0), 6) AS clipped_ratio,
+           round(CASE WHEN list_sum(list_transform(v, lambda x: x * x)) > 0 THEN greatest(10 * log10(list_avg(list_transform(v, lambda x: (x / 32768.0::DOUBLE) * (x / 32768.0::DOUBLE)))), -120) ELSE -120 END, 6) AS rms_dbfs
+    FROM (SELECT recording_id, list_transform(list_transform(range(len(h) // 4), lambda i: CAST('0x' || substr(h, 4 * i + 3, 2) || substr(h, 4 * i + 1, 2) AS INT)), lambda x: CAST(CASE WHEN x > 32767 THEN x - 65536 ELSE x END AS DOUBLE)) AS v
+          FROM (SELECT recording_id, hex(encode(html)) AS h FROM binary_chunks))
+""")(lambda p: Q.pcm_levels(p.select("recording_id", F.encode("html", "UTF-8").alias("content"))).withColumns({c: F.round(c, 6) for c in ("clipped_ratio", "rms_dbfs")}))
 query("q10_chunk_loudness", "binary_chunks", None)(lambda p: Q.chunk_loudness(p.select("recording_id", F.encode(F.repeat("html", F.lit(4)), "UTF-8").alias("content"))).withColumn("lufs", F.round("lufs", 6)))

@@ -89,9 +89,12 @@ def assets_of(d):
     return d.select("recording_id", F.explode(F.array(*[F.struct((F.col("recording_id") * k % 1000).alias("elapsed_ms"), F.lit(f"s{k}.png").alias("path")) for k in (3, 7, 11)])).alias("a")).select("recording_id", "a.*")
 
 
-on_documents("g13_insert_markers", "SELECT doc_id AS recording_id, 3 AS n_markers, md5(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS words_md5 FROM documents")(
-    lambda d: D.insert_markers(d.withColumn("duration_ms", F.lit(1000)), assets_of(d)).select("recording_id", F.size(D.markers(F.col("text"))).alias("n_markers"), F.md5(F.trim(F.regexp_replace(F.regexp_replace("text", D.L.MARKER, " "), r"\s+", " "))).alias("words_md5"))
-)
+on_documents("g13_insert_markers", """
+    WITH a AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w, list_sort([{'e': doc_id * 3 % 1000, 'p': 's3.png'}, {'e': doc_id * 7 % 1000, 'p': 's7.png'}, {'e': doc_id * 11 % 1000, 'p': 's11.png'}]) AS m FROM documents WHERE text IS NOT NULL),
+      b AS (SELECT doc_id, text, w, list_transform(m, lambda x: CAST(least(floor(x.e / 1000 * len(w) + 0.5), len(w)) AS BIGINT)) AS pl FROM a)
+    SELECT doc_id AS recording_id, 3 AS n_markers, md5(CASE WHEN len(w) = 0 THEN regexp_replace(text || chr(10) || chr(10) || '[[ASSET_1]]' || chr(10) || '[[ASSET_2]]' || chr(10) || '[[ASSET_3]]', '^\\s+', '') ELSE
+      regexp_replace(regexp_replace(regexp_replace(array_to_string(w[1 : pl[1]], ' ') || ' @1@ ' || array_to_string(w[pl[1] + 1 : pl[2]], ' ') || ' @2@ ' || array_to_string(w[pl[2] + 1 : pl[3]], ' ') || ' @3@ ' || array_to_string(w[pl[3] + 1 :], ' '), ' @([123])@', chr(10) || chr(10) || '[[ASSET_\\1]]' || chr(10) || chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') END) AS text_md5 FROM b
+""")(lambda d: D.insert_markers(d.where("text IS NOT NULL").withColumn("duration_ms", F.lit(1000)), assets_of(d)).select("recording_id", F.size(D.markers(F.col("text"))).alias("n_markers"), F.md5("text").alias("text_md5")))
 on_documents("g14_apply_markers", """
     SELECT doc_id AS note_id, md5('![Screenshot 01:05](a.png) ' || text || '  [[ASSET_9]]' || chr(10) || chr(10) || '## Screenshots' || chr(10) || chr(10) || '![Screenshot 02:00](b.png)' || chr(10)) AS text_md5 FROM documents
 """)(lambda d: md5_of(D.apply_markers(put(d, "[[ASSET_1]] ", " [[ASSET_1]] [[ASSET_9]]"), note(d).select("note_id", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit("a.png").alias("path"), F.lit(65_000).alias("elapsed_ms")), F.struct(F.lit(2).alias("n"), F.lit("b.png").alias("path"), F.lit(120_999).alias("elapsed_ms")))).alias("a")).select("note_id", "a.*"))))
@@ -133,6 +136,14 @@ on_documents("g20_useful_title", f"""
       SELECT note_id, t, w, list_filter(w, lambda x: list_contains(src, x)) AS g FROM (SELECT note_id, t, src, list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_-]+'), lambda x: length(x) >= 4 AND x NOT IN ({", ".join(f"'{w}'" for w in L.TITLE_STOP_WORDS)})) AS w
       FROM (SELECT doc_id AS note_id, trim(regexp_replace(substring(text, 1, 60), '\\s+', ' ', 'g')) AS t, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+') AS src FROM documents)))
 """)(lambda d: note(d).select("note_id", D.useful_title(F.substring("text", 1, 60), F.col("text")).alias("useful")))
+USEFUL = ORACLES["g20_useful_title"]
+on_documents("g15_titles_and_expansion", f"""
+    SELECT note_id, 'weak_title' AS code FROM ({USEFUL}) WHERE note_id % 2 = 0 AND NOT useful
+    UNION ALL SELECT doc_id, 'excessive_expansion' FROM (SELECT doc_id, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_-]+')) AS n, len(regexp_extract_all(substring(text, 1, 50), '[\\p{{L}}\\p{{N}}_-]+')) AS m FROM documents WHERE doc_id % 2 = 1) WHERE n >= 300 AND n > 3 * greatest(m, 1)
+""")(lambda d: D.note_issues(note(d.where("text IS NOT NULL")).select(
+    "note_id", F.when(F.col("note_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 50)).alias("source"),
+    F.when(F.col("note_id") % 2 == 0, F.concat(F.lit("# "), F.regexp_replace(F.substring("text", 1, 60), r"\s+", " "), F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("generated"), F.lit(False).alias("is_truncated"), (F.col("note_id") % 2 == 0).alias("require_title"),
+)).where("code IN ('weak_title', 'excessive_expansion')"))
 on_documents("g21_derive_titles", None)(
     lambda d: D.derive_titles(note(d).select("note_id", F.concat(F.lit("# "), F.substring("text", 1, 60), F.lit("\n\nbody")).alias("markdown"), F.col("text").alias("transcript"), F.lit("Fallback").alias("fallback"), F.lit(None).cast("timestamp").alias("given_at"), F.lit(None).cast("timestamp").alias("manifest_at"), F.lit("C:\\a\\recording-2024-03-05T10-20-30-000Z.mp3").alias("path"), F.lit(None).cast("timestamp").alias("created_at"), F.lit("UTC").alias("timezone"), F.when(F.col("note_id") % 2 == 0, "id").otherwise("en").alias("language")))
 )
