@@ -117,7 +117,7 @@ def telling(rows: list[np.ndarray], grades: np.ndarray, least_z: float, least_do
     return buckets[found & (by_grade.sum(0) >= least_docs)]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, least_z: float = 6.0, least_docs: int = 5, ridge: float = 1e-4, steps: int = 300, rate: float = 0.05) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, least_z: float = 6.0, least_docs: int = 5, ridge: float = 1e-4, steps: int = 1000, rate: float = 0.05) -> OrdinalModel:
     """Maximum likelihood with a ridge by full-batch Adam on the buckets of :func:`telling`.  Without
     rows, or with one grade only, every row scores 0."""
     top = int(grades.max(initial=0))

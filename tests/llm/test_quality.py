@@ -47,9 +47,8 @@ def test_held_out_grades(spark):
     model = Q.train(docs, rated.where("doc_id % 2 = 0"))
     got = Q.with_scores(docs.join(rated.where("doc_id % 2 = 1"), "doc_id"), model).join(rated, "doc_id").collect()
     kept = {g: np.mean([r.kept for r in got if r.grade == g]) for g in range(3)}
-    # the share of fair rows kept, less three standard errors of a share near 0.98 among them
-    fair = sum(r.grade == 2 for r in got)
-    assert kept[2] > 0.98 - 3 * (0.98 * 0.02 / fair) ** 0.5 and kept[0] < 0.03 and kept[1] < 0.6
+    # of 1,546 fair rows eight are dropped, most of them of one or two words; three standard errors are nine more
+    assert kept[2] > 0.985 and kept[0] < 0.03 and kept[1] < 0.3
 
 
 def test_keep_good_keeps_columns(spark):
