@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ADAPTERS: dict[str, str] = {
     "notes": """
-        SELECT doc_id AS id, source AS user_id, substring(text, 1, 60) AS title, text AS content,
+        SELECT doc_id AS id, source AS user_id, split_part(text, '.', 1) AS title, text AS content,
                split(concat(lang, ',', source, ',internal-job:', CAST(doc_id % 97 AS STRING),
                      CASE WHEN doc_id % 3 = 0 THEN ',internal-recorded-at:2024-03-05T08:30:00Z,internal-timezone:Europe/Oslo' ELSE '' END), ',') AS tags,
                doc_id % 5 = 0 AS is_favorite, doc_id % 7 = 0 AS is_archived, doc_id % 11 = 0 AS is_deleted,
@@ -30,7 +30,7 @@ ADAPTERS: dict[str, str] = {
         FROM {documents} WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""",
     "note_requests": """
         SELECT doc_id AS request_id, source AS user_id, concat('job-', CAST(doc_id % 300 AS STRING)) AS job_id,
-               CASE WHEN doc_id % 13 = 0 THEN '  ' WHEN doc_id % 17 = 0 THEN substring(text, 1, 300) ELSE concat('  ', substring(text, 1, 40)) END AS title,
+               CASE WHEN doc_id % 13 = 0 THEN '  ' WHEN doc_id % 17 = 0 THEN text ELSE concat('  ', split_part(text, '.', 1)) END AS title,
                CASE WHEN doc_id % 19 = 0 THEN '' ELSE 'Europe/Oslo' END AS timezone,
                CASE WHEN doc_id % 23 = 0 THEN 'yesterday' ELSE '2024-03-05T08:30:00Z' END AS recorded_at
         FROM {documents}""",
@@ -103,7 +103,7 @@ ADAPTERS: dict[str, str] = {
     "usage_lines": """
         SELECT event_id, ts AS logged_at, concat('{{"model":"m', CAST(event_id % 3 AS STRING), '","promptTokens":', CAST(event_id % 900 AS STRING), ',"completionTokens":', CAST(event_id % 70 AS STRING),
                ',"estimatedCostUsd":', CAST(event_id % 8 AS STRING), '.25,"continuations":', CAST(event_id % 2 AS STRING), ',"queueWaitMs":', CAST(event_id % 50 AS STRING), ',"isFallback":', CASE WHEN event_id % 4 = 0 THEN 'true' ELSE 'false' END, '}}') AS message
-        FROM {events} WHERE event_type IN ('click', 'view')""",
+        FROM {events}""",
     "quality_windows": """
         SELECT CAST(l_orderkey AS STRING) AS recording_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS chunk_index,
                CAST(l_discount AS FLOAT) AS mic_clipped_ratio, CAST(l_tax / 4 AS FLOAT) AS mixed_clipped_ratio,

@@ -112,11 +112,11 @@ query("x13_glossary_conflicts", "brand_texts brand_terms", """
     SELECT DISTINCT t.recording_id, t.term FROM brand_terms t WHERE NOT contains((SELECT string_agg(word, ' ' ORDER BY ord) FROM brand_texts b WHERE b.recording_id = t.recording_id AND ord % 2 = 0), t.term)
       AND contains((SELECT string_agg(word, ' ' ORDER BY ord) FROM brand_texts b WHERE b.recording_id = t.recording_id), t.term)
 """)(lambda b, t: X.glossary_conflicts(brand_text(b.where("ord % 2 = 0")), brand_text(b), t))
-FIRST = "SELECT DISTINCT ON (recording_id) recording_id, text FROM attempts ORDER BY recording_id, chunk_index"
-first_turn = lambda a: a.groupBy("recording_id").agg(F.min_by("text", "chunk_index").alias("text"))
+WHOLE = "SELECT recording_id, string_agg(text, chr(10) ORDER BY chunk_index) AS text FROM attempts GROUP BY recording_id"
+spoken = lambda a: a.groupBy("recording_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
 query("x14_revisions", ATTEMPTS, f"""
-    SELECT recording_id, sha256(t.text) AS transcript_sha256, sha256(sha256(t.text) || ':' || h) AS revision_id FROM ({FIRST}) t JOIN (SELECT recording_id, string_agg(audio_sha256, ':' ORDER BY chunk_index, created_at, attempt_name) AS h FROM attempts GROUP BY 1) USING (recording_id)
-""")(lambda a: X.revisions(first_turn(a), a))
+    SELECT recording_id, sha256(t.text) AS transcript_sha256, sha256(sha256(t.text) || ':' || h) AS revision_id FROM ({WHOLE}) t JOIN (SELECT recording_id, string_agg(audio_sha256, ':' ORDER BY chunk_index, created_at, attempt_name) AS h FROM attempts GROUP BY 1) USING (recording_id)
+""")(lambda a: X.revisions(spoken(a), a))
 
 
 def with_ranges(a: DataFrame) -> DataFrame:
@@ -127,7 +127,6 @@ def with_ranges(a: DataFrame) -> DataFrame:
     return a.withColumns({"segments": F.when(F.col("chunk_index") % 5 == 4, none).otherwise(ranges), "words": none})
 
 
-spoken = lambda a: a.groupBy("recording_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
 query("x15_evidence_anchors", ATTEMPTS, """
     WITH whole AS (SELECT recording_id, string_agg(text, chr(10) ORDER BY chunk_index) AS t, sha256(string_agg(text, chr(10) ORDER BY chunk_index)) AS sha, string_agg(audio_sha256, ':' ORDER BY chunk_index, created_at, attempt_name) AS h FROM attempts GROUP BY 1),
       cut AS (SELECT recording_id, chunk_index, created_at, attempt_name, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS s FROM attempts WHERE chunk_index % 5 <> 4),
@@ -181,5 +180,5 @@ query("x17_integrity_report", "brand_texts brand_terms reports", ALL_KINDS.repla
 
 
 query("x18_accept_revisions", ATTEMPTS, f"""
-    SELECT t.recording_id, n.text IS NOT NULL AS accepted, md5(coalesce(n.text, t.text)) AS text_md5 FROM ({FIRST}) t LEFT JOIN (SELECT recording_id, text FROM attempts WHERE chunk_index = 1 AND strlen(text) <= 900) n USING (recording_id)
-""")(lambda a: X.accept_revisions(first_turn(a), a.where("chunk_index = 1"), 900).select("recording_id", "accepted", F.md5("text").alias("text_md5")))
+    SELECT t.recording_id, n.text IS NOT NULL AS accepted, md5(coalesce(n.text, t.text)) AS text_md5 FROM ({WHOLE}) t LEFT JOIN (SELECT recording_id, text FROM attempts WHERE chunk_index = 1 AND strlen(text) <= 900) n USING (recording_id)
+""")(lambda a: X.accept_revisions(spoken(a), a.where("chunk_index = 1"), 900).select("recording_id", "accepted", F.md5("text").alias("text_md5")))

@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     local folder made, one for each Spark context."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_minuteworks_shared", None)
+    if not path and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not path:
         path = context._minuteworks_shared = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     if context.getCheckpointDir() is None:
