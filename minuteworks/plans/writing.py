@@ -117,19 +117,43 @@ on_documents("g15_note_issues", ISSUES)(lambda d: D.note_issues(edited(d)))
 on_documents("g16_quality_gate", f"SELECT note_id, bool_or(code NOT IN ('too_many_action_items', 'oversized_action_item')) AS blocked, bool_or(code IN ('empty', 'truncated', 'marker_mismatch')) AS use_fallback FROM ({ISSUES}) GROUP BY 1")(lambda d: D.quality_gate(D.note_issues(edited(d))))
 
 
+quoted = lambda items: ", ".join(f"'{w}'" for w in items)
+
+
 def structured_rows(d):
-    """Notes made of the document's own sentences; some with a defect."""
+    """Notes made of the document's own sentences, with a title of their words; some with a defect."""
     s = F.filter(F.split("text", r"(?<=[.!?])\s+|\n"), lambda x: F.length(x).between(20, 200))
     rows = note(d).select("note_id", F.col("text").alias("source"), s.alias("s")).where(F.size("s") >= 3)
-    title = F.regexp_replace(F.substring(F.element_at("s", 1), 1, 60), r"[^\p{L}\p{N} ]+", "")
+    told = lambda k: F.slice(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.element_at("s", k)), F.lit(D.WORD), F.lit(0)), lambda w: w.rlike(r"^\p{L}{5,}$") & ~w.isin(*L.TOPIC_STOP_WORDS, *L.TITLE_STOP_WORDS))), 1, 2)
+    rows = rows.withColumns({"one": told(1), "two": told(2)})
+    title = F.when((F.size("one") == 2) & (F.size("two") == 2), F.concat(F.lit("Plan "), F.array_join(F.concat("one", "two"), " "), F.lit(" agreed"))).otherwise("")
     action = F.struct(F.element_at("s", 3).alias("action"), F.when(F.col("note_id") % 5 == 0, "Nobody Known").otherwise("unassigned").alias("owner"), F.lit("not specified").alias("deadline"), F.when(F.col("note_id") % 7 == 0, "never said so").otherwise(F.element_at("s", 2)).alias("evidence"))
     whole = F.struct(title.alias("title"), F.array(F.element_at("s", 1), F.element_at("s", 2)).alias("title_evidence"), F.element_at("s", 2).alias("summary"), F.slice("s", 1, 2).alias("key_points"), F.slice("s", 3, 1).alias("decisions"), F.array(action).alias("action_items"))
     return rows.select("note_id", "source", F.to_json(whole).alias("raw_json"), F.lit("en").alias("language"))
 
 
-on_documents("g17_validate_structured", None)(lambda d: D.validate_structured(structured_rows(d)).select("note_id", "error"))
-on_documents("g18_render_structured", None)(lambda d: D.render_structured(D.validate_structured(structured_rows(d))))
-on_documents("g19_title_evidence", None)(lambda d: D.title_evidence(note(d).select("note_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("source"))))
+def told_sql(k: int) -> str:
+    found = f"list_filter(regexp_extract_all(lower(s[{k}]), '[\\p{{L}}\\p{{N}}_-]+'), lambda w: regexp_full_match(w, '\\p{{L}}{{5,}}') AND w NOT IN ({quoted((*L.TOPIC_STOP_WORDS, *L.TITLE_STOP_WORDS))}))"
+    return f"list_filter({found}, lambda w, i: list_position({found}, w) = i)[1 : 2]"
+
+
+STRUCTURED = f"""
+    SELECT note_id, s, 'Plan ' || array_to_string(list_concat(one, two), ' ') || ' agreed' AS title,
+           CASE WHEN len(one) < 2 OR len(two) < 2 THEN 'title' WHEN lower(regexp_replace(s[1], '\\s+', ' ', 'g')) = lower(regexp_replace(s[2], '\\s+', ' ', 'g')) THEN 'title_evidence' WHEN note_id % 7 = 0 THEN 'action_evidence' WHEN note_id % 5 = 0 THEN 'action_owner' END AS error
+    FROM (SELECT note_id, s, {told_sql(1)} AS one, {told_sql(2)} AS two FROM (SELECT doc_id AS note_id, list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\x01|\\n'), lambda x: length(x) BETWEEN 20 AND 200) AS s FROM documents) WHERE len(s) >= 3)"""
+CELL = "trim(regexp_replace(replace(replace(s[3], chr(92), chr(92) || chr(92)), '|', chr(92) || '|'), '\\s+', ' ', 'g'))"
+on_documents("g17_validate_structured", f"SELECT note_id, error FROM ({STRUCTURED})")(lambda d: D.validate_structured(structured_rows(d)).select("note_id", "error"))
+on_documents("g18_render_structured", f"""
+    SELECT note_id, md5('# ' || title || '¶¶## Summary¶¶' || s[2] || '¶¶## Key Points¶¶- ' || s[1] || '¶- ' || s[2] || '¶¶## Decisions¶¶- ' || s[3] || '¶¶## Action Items¶¶| Action | Owner | Deadline |¶| --- | --- | --- |¶| ' || {CELL} || ' | unassigned | not specified |') AS text_md5 FROM ({STRUCTURED}) WHERE error IS NULL
+""".replace("¶", "' || chr(10) || '"))(lambda d: D.render_structured(D.validate_structured(structured_rows(d)).where("error IS NULL")).select("note_id", F.md5("markdown").alias("text_md5")))
+on_documents("g19_title_evidence", f"""
+    WITH a AS (SELECT doc_id AS note_id, text, split_part(text, '.', 1) AS title FROM documents WHERE text IS NOT NULL),
+      b AS (SELECT *, list_transform(regexp_extract_all(title, '\\b[A-Z]{{2,}}\\b'), lambda x: lower(x)) AS acronyms, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_-]+') AS found, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_-]+|[^\\p{{L}}\\p{{N}}_-]+') AS runs FROM a),
+      c AS (SELECT note_id, text, list_filter(found, lambda w, i: (length(w) >= 4 OR list_contains(acronyms, w)) AND w NOT IN ({quoted(L.TOPIC_STOP_WORDS)}) AND list_position(found, w) = i) AS topics, list_transform(runs, lambda r: lower(r)) AS low, list_transform(runs, lambda r: length(r)) AS size FROM b),
+      d AS (SELECT note_id, text, list_transform(topics, lambda w: {{'w': w, 'at': coalesce(1 + coalesce(list_sum(size[1 : list_position(low, w) - 1]), 0), 0)}}) AS x FROM c),
+      e AS (SELECT note_id, x, list_filter(list_transform(list_filter(x, lambda s: s.at > 0), lambda s: regexp_replace(regexp_extract(substr(text, CAST(s.at AS BIGINT), 120), '^([^\\r\\n]*)', 1), '^\\s+|\\s+$', '', 'g')), lambda s: length(s) >= 8) AS cut FROM d)
+    SELECT note_id, array_to_string(list_filter(cut, lambda s, i: list_position(cut, s) = i)[1 : 3], '|') AS spans, array_to_string(list_transform(list_filter(x, lambda s: s.at = 0), lambda s: s.w), '|') AS absent FROM e
+""")(lambda d: D.title_evidence(note(d.where("text IS NOT NULL")).select("note_id", F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.col("text").alias("source"))).select("note_id", F.array_join("spans", "|").alias("spans"), F.array_join("absent", "|").alias("absent")))
 BAD_END = "(^|[^A-Za-z0-9_])(dan|atau|dengan|untuk|tentang|terkait|mengenai|mencakup|meliputi|berdasarkan|melalui|serta|and|or|with|for|about|including|based on|through)\\s*$"
 on_documents("g20_useful_title", f"""
     SELECT note_id, length(t) BETWEEN 6 AND 90 AND NOT regexp_matches(lower(t), '{BAD_END}') AND NOT regexp_matches(t, '[.?!]\\s*$') AND NOT regexp_matches(lower(t), '^(kok|nah|jadi|terus|lalu|tadi)([^a-z0-9_]|$)') AND len(g) >= 2 AND len(g) * 2 >= len(w) AS useful FROM (
@@ -144,10 +168,28 @@ on_documents("g15_titles_and_expansion", f"""
     "note_id", F.when(F.col("note_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 50)).alias("source"),
     F.when(F.col("note_id") % 2 == 0, F.concat(F.lit("# "), F.regexp_replace(F.substring("text", 1, 60), r"\s+", " "), F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("generated"), F.lit(False).alias("is_truncated"), (F.col("note_id") % 2 == 0).alias("require_title"),
 )).where("code IN ('weak_title', 'excessive_expansion')"))
-on_documents("g21_derive_titles", None)(
-    lambda d: D.derive_titles(note(d).select("note_id", F.concat(F.lit("# "), F.substring("text", 1, 60), F.lit("\n\nbody")).alias("markdown"), F.col("text").alias("transcript"), F.lit("Fallback").alias("fallback"), F.lit(None).cast("timestamp").alias("given_at"), F.lit(None).cast("timestamp").alias("manifest_at"), F.lit("C:\\a\\recording-2024-03-05T10-20-30-000Z.mp3").alias("path"), F.lit(None).cast("timestamp").alias("created_at"), F.lit("UTC").alias("timezone"), F.when(F.col("note_id") % 2 == 0, "id").otherwise("en").alias("language")))
+on_documents("g21_derive_titles", f"""
+    SELECT note_id, final_title, md5(CASE WHEN t = '' THEN '# ' || final_title || chr(10) || chr(10) || '# ' || chr(10) || chr(10) || 'body' ELSE '# ' || final_title || chr(10) || chr(10) || 'body' END) AS text_md5 FROM (
+      SELECT note_id, t, CASE WHEN useful THEN trim(replace(t, '**', '')) WHEN note_id % 2 = 0 THEN 'Catatan Rekaman' ELSE 'Recording Notes' END || ' — ' || CASE WHEN note_id % 2 = 0 THEN '5 Maret 2024' ELSE 'March 5, 2024' END AS final_title
+      FROM ({USEFUL}) JOIN (SELECT doc_id AS note_id, trim(regexp_replace(substring(text, 1, 60), '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL) USING (note_id))
+""")(
+    lambda d: D.derive_titles(note(d.where("text IS NOT NULL")).select("note_id", F.concat(F.lit("# "), F.trim(F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")), F.lit("\n\nbody")).alias("markdown"), F.col("text").alias("transcript"), F.lit("Fallback").alias("fallback"), F.lit(None).cast("timestamp").alias("given_at"), F.lit(None).cast("timestamp").alias("manifest_at"), F.lit("C:\\a\\recording-2024-03-05T10-20-30-000Z.mp3").alias("path"), F.lit(None).cast("timestamp").alias("created_at"), F.lit("UTC").alias("timezone"), F.when(F.col("note_id") % 2 == 0, "id").otherwise("en").alias("language"))).select("note_id", "final_title", F.md5("markdown").alias("text_md5"))
 )
-on_documents("g22_anchors", None)(lambda d: note(d).select("note_id", D.anchors(F.col("text")).alias("anchors"), D.missing_anchors(F.col("text"), F.substring("text", 1, 500)).alias("missing")))
+
+
+def anchors_sql(text: str) -> str:
+    """Numbers, then acronyms, first occurrences in order.  Separators are doubled, so that each number
+    has its own on both sides, as there is no look-around."""
+    unlisted = f"regexp_replace(regexp_replace({text}, '(?im)^\\s*(?:[-*+]\\s*)?\\d+(?:[.,]\\d+)*([.)]\\s)', ' \\1', 'g'), '(?im)^(?:\\s*(?:#{{1,6}}\\s*)?(?:part|section|chapter|item)\\s*)\\d+(?:[.,]\\d+)*([\\s:.)-]*)$', ' \\1', 'g')"
+    numbers = f"regexp_extract_all(regexp_replace({unlisted}, '([^\\p{{L}}\\p{{N}}_.,%])', '\\1\\1', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}_])(\\d+(?:[.,]\\d+)*(?:%|m|km)?)(?:$|[^\\p{{L}}\\p{{N}}_])', 1)"
+    acronyms = f"list_filter(regexp_extract_all({text}, '\\b[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)*\\b'), lambda a: length(replace(a, '-', '')) >= 2 AND a NOT IN ({quoted(L.STRUCTURAL)}))"
+    return f"list_concat({numbers}, {acronyms})"
+
+
+on_documents("g22_anchors", f"""
+    WITH a AS (SELECT doc_id AS note_id, {anchors_sql("text")} AS own, {anchors_sql("replace(replace(text, '1', ''), 'A', '')")} AS other FROM documents WHERE text IS NOT NULL)
+    SELECT note_id, array_to_string(list_filter(own, lambda x, i: list_position(own, x) = i), '|') AS anchors, array_to_string(list_filter(own, lambda x, i: list_position(own, x) = i AND NOT list_contains(other, x)), '|') AS missing FROM a
+""")(lambda d: note(d.where("text IS NOT NULL")).select("note_id", F.array_join(D.anchors(F.col("text")), "|").alias("anchors"), F.array_join(D.missing_anchors(F.col("text"), F.translate("text", "1A", "")), "|").alias("missing")))
 QUERIES["g23_links"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.array_join(D.links(F.concat(F.lit("see "), "url", F.lit(". and "), "url", F.lit(" (www.example.org/x?y)"))), " ").alias("links"))
 ORACLES["g23_links"] = "SELECT page_id, regexp_replace(url, '[.,!?;:]+$', '') || ' www.example.org/x?y' AS links FROM pages"
 on_documents("g24_validate_rewrite", """
