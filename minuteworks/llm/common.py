@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,17 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
         gone += "_"
     ids = ids.toDF(gone)
     return docs.join(ids, docs[id_col] == ids[gone], "left_anti")
+
+
+@contextmanager
+def small_batches(spark, rows: int = 1000):
+    """Arrow batches of at most ``rows`` rows in what runs inside: texts and shingle sets are long, and each
+    of an executor's workers holds a batch of them outside the heap.  The setting is the session's, as
+    Spark has none for a query; rows come out the same with any size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before) if int(before) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

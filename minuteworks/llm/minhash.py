@@ -23,7 +23,6 @@ Pairs inside one component need no further look: they cannot change the componen
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from minuteworks.llm.common import text_or_empty, without_ids, written
+from minuteworks.llm.common import small_batches, text_or_empty, without_ids, written
 from minuteworks.llm.graph import connected_components, with_components
 from minuteworks.llm.tokens import slices_of
 
@@ -179,19 +178,6 @@ def similar_enough(percent: int, least_share: float, n: int):
     )
 
 
-@contextmanager
-def small_batches(spark, rows: int = 1000):
-    """Arrow batches of at most ``rows`` rows: texts and shingle sets are long, and each of an executor's
-    workers holds a batch of them outside the heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before) if int(before) > 0 else rows)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, m: int = 12, k: int = 3, least_share: float = 0.6) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minuteworks.llm.common import text_or_empty, written
+from minuteworks.llm.common import small_batches, text_or_empty, written
 from minuteworks.llm.tokens import chunk_tokenizer, slices_of
 
 Bin = tuple[int, ...]
@@ -112,7 +112,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with
     def run(batches):
         encode, end = chunk_tokenizer(vocabulary).encode_array, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a, z in slices_of(batch.column(1), 8_000_000):
+            for a, z in slices_of(batch.column(1), 2_000_000):
                 rows, (found, ends) = [], encode(batch.column(1)[a:z])
                 for doc_id, own in zip(batch.column(0)[a:z].to_pylist(), np.split(found, ends[:-1])):
                     data = own.tobytes() + end
@@ -195,7 +195,9 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
     """A row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A null text is an empty one and has the end id only; only documents longer than ``capacity`` are
-    cut; repeated and null ids have their own pieces; other columns are ignored; an empty table gives
+    cut, and a text without a blank is one chunk for the tokenizer, however long; repeated and null ids
+    have their own pieces; other columns are ignored; an empty table gives
     an empty result.
     """
-    return pack_pieces(pieces_of(docs, vocabulary, end_id, capacity), capacity, **options)
+    with small_batches(docs.sparkSession):
+        return pack_pieces(pieces_of(docs, vocabulary, end_id, capacity), capacity, **options)

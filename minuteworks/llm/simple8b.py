@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from minuteworks.llm.common import scratch_path, text_or_empty, written
+from minuteworks.llm.common import scratch_path, small_batches, text_or_empty, written
 from minuteworks.llm.tokens import chunk_tokenizer, slices_of
 
 MAGIC = b"S8BTOK01"
@@ -225,7 +225,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, end_id: in
         path = f"{folder}/part-{rank:06d}-{uuid.uuid4().hex}.s8b"
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, z in slices_of(texts, 8_000_000):
+            for a, z in slices_of(texts, 2_000_000):
                 found, ends = encode(texts[a:z])
                 for doc_id, own in zip(ids[a:z], np.split(found, ends[:-1])):
                     if writer is None:
@@ -235,7 +235,8 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str, end_id: in
             writer.close()
             yield pa.RecordBatch.from_pydict({"file": pa.array([rank], pa.int32()), "path": [path], "n_docs": [len(writer.docs)], "n_ids": [int(sum(writer.tokens))]})
 
-    return written(ranged.mapInArrow(write, FILES), "token-files")
+    with small_batches(docs.sparkSession):
+        return written(ranged.mapInArrow(write, FILES), "token-files")
 
 
 def read_token_files(files: DataFrame, out_dir: str, ids_at_once: int = 4_000_000) -> DataFrame:

@@ -58,7 +58,7 @@ class WordCache:
 
 
 class ChunkTokenizer:
-    def __init__(self, path: str, most_bytes: int = 200_000_000):
+    def __init__(self, path: str, most_bytes: int = 60_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
