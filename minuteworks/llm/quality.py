@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minuteworks.llm.common import text_or_empty
+from minuteworks.llm.common import text_or_empty, written
 from minuteworks.llm.tokens import slices_of
 
 BUCKETS = 1 << 26
@@ -117,6 +117,20 @@ def telling(rows: list[np.ndarray], grades: np.ndarray, least_z: float, least_do
     return buckets[found & (by_grade.sum(0) >= least_docs)]
 
 
+def neighbour_sums(size: np.ndarray):
+    """A function that sums the next ``size[0]`` values, the ``size[1]`` after them, and so on."""
+    some = size > 0
+    starts = (np.cumsum(size) - size)[some]
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(size))
+        if len(starts):
+            out[some] = np.add.reduceat(values, starts)
+        return out
+
+    return sums
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, least_z: float = 6.0, least_docs: int = 5, ridge: float = 1e-4, steps: int = 1000, rate: float = 0.05) -> OrdinalModel:
     """Maximum likelihood with a ridge by full-batch Adam on the buckets of :func:`telling`.  Without
     rows, or with one grade only, every row scores 0."""
@@ -129,12 +143,16 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least_z: float = 6.0, least_
     parts = [np.flatnonzero(np.isin(buckets, r, assume_unique=True)) for r in rows]
     index, size = np.concatenate(parts), np.array([len(p) for p in parts])
     doc = np.repeat(np.arange(len(rows)), size)
+    # sums over rows and over buckets are sums of neighbours: by row as they are, by bucket in this order
+    by_bucket = doc[np.argsort(index, kind="stable")]
+    row_sums = neighbour_sums(size)
+    bucket_sums = neighbour_sums(np.bincount(index, minlength=len(buckets)))
     above = (grades[:, None] >= np.arange(1, top + 1)[None, :]).astype(float)
     share = np.full(len(rows), 1 / len(rows))
     w, t = np.zeros(len(buckets)), np.linspace(-1, 1, top) if top > 1 else np.zeros(1)
     m, v = np.zeros(len(w) + top), np.zeros(len(w) + top)
     for step in range(1, steps + 1):
-        score = np.bincount(doc, weights=w[index], minlength=len(rows))
+        score = row_sums(w[index])
         tail = sigmoid(score[:, None] - t[None, :])
         # P(grade = g) = tail_g - tail_(g+1); its log's slope by the score is 1 - tail_g - tail_(g+1)
         padded = np.hstack([np.ones((len(rows), 1)), tail, np.zeros((len(rows), 1))])
@@ -146,7 +164,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least_z: float = 6.0, least_
         for k in range(top):
             edge = tail[:, k] * (1 - tail[:, k]) / chance * share
             g_t[k] = (edge * (grades == k + 1)).sum() - (edge * (grades == k)).sum()
-        g_w = -np.bincount(index, weights=slope[doc], minlength=len(w)) + ridge * w
+        g_w = -bucket_sums(slope[by_bucket]) + ridge * w
         g = np.concatenate([g_w, g_t])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -175,7 +193,8 @@ def train(docs: DataFrame, grades: DataFrame, most_per_grade: int = 3000) -> Ord
                 found = [features(t).tobytes() for t in batch.column(2)[a:z].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], batch.column(1)[a:z], pa.array(found, pa.binary())], names=["doc_id", "grade", "found"])
 
-    got = sorted(map(tuple, rows.mapInArrow(extract, "doc_id long, grade int, found binary").toLocalIterator()))
+    # made by all tasks at once and written; the driver then reads part by part
+    got = sorted(map(tuple, written(rows.mapInArrow(extract, "doc_id long, grade int, found binary"), "rated-features").toLocalIterator()))
     return fit([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got], np.int64))
 
 
