@@ -83,10 +83,14 @@ query("x4_hallucination_penalty", "raw_text", "SELECT recording_id, CAST(" + " +
     lambda r: r.select("recording_id", X.hallucination_penalty(F.col("text")).alias("penalty"))
 )
 on_documents("x5_meaningful_words", f"SELECT recording_id, CAST(len(list_filter({NORM.format('text')}, lambda w: length(w) >= 2)) AS INT) AS n_words FROM ({DOCS})")(lambda d: d.select("recording_id", meaningful_word_count(F.col("text")).alias("n_words")))
-query("x6_arbitrate_tracks", "attempts brand_terms", None)(
-    lambda a, t: X.arbitrate_tracks(
-        a.select("recording_id", "chunk_index", F.col("text").alias("mixed"), F.when(F.col("chunk_index") % 3 != 0, F.concat("text", F.lit(" small ring"))).alias("microphone")),
-        a.select("recording_id", F.explode(F.array(F.lit("small ring"), F.array_join(F.slice(words(F.col("text")), 2, 2), " "))).alias("term")).distinct(),
+MIXED = "SELECT recording_id || '/' || chunk_index AS key, text || ' smal golden ring.' AS text FROM attempts"
+query("x6_arbitrate_tracks", ATTEMPTS, f"""
+    SELECT recording_id, chunk_index, CASE WHEN chunk_index % 3 = 0 THEN text ELSE replace(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' '), 'smal golden ring', 'small golden ring') END AS text
+    FROM (SELECT CAST(split_part(key, '/', 1) AS BIGINT) AS recording_id, CAST(split_part(key, '/', 2) AS INT) AS chunk_index, text FROM ({clean_sql(MIXED)}))
+""")(
+    lambda a: X.arbitrate_tracks(
+        a.select("recording_id", "chunk_index", F.concat("text", F.lit(" smal golden ring.")).alias("mixed"), F.when(F.col("chunk_index") % 3 != 0, F.concat("text", F.lit(" small golden ring."))).alias("microphone")),
+        a.select("recording_id", F.explode(F.array(F.lit("small golden ring"), F.array_join(F.slice(words(F.col("text")), 2, 2), " "))).alias("term")).distinct(),
     )
 )
 query("x8_concat_parts", ATTEMPTS, f"""
