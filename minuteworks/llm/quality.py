@@ -104,10 +104,14 @@ def sigmoid(x):
 def telling(rows: list[np.ndarray], grades: np.ndarray, least_z: float, least_docs: int) -> np.ndarray:
     """The buckets whose share of rows differs between the grades above and below some threshold by
     ``least_z`` standard errors; chance words are not among them, so the fit cannot learn rows by heart."""
-    buckets, place = np.unique(np.concatenate(rows), return_inverse=True)
-    grade = np.repeat(grades, [len(r) for r in rows])
     n = np.bincount(grades)
-    by_grade = np.stack([np.bincount(place[grade == g], minlength=len(buckets)) for g in range(len(n))])
+    # grade by grade, so that no more than one grade's features are sorted at once
+    empty = np.empty(0, np.int32)
+    each = [np.unique(np.concatenate([empty, *(r for r, own in zip(rows, grades) if own == g)]), return_counts=True) for g in range(len(n))]
+    buckets = np.unique(np.concatenate([b for b, _ in each]))
+    by_grade = np.zeros((len(n), len(buckets)), np.int64)
+    for g, (mine, count) in enumerate(each):
+        by_grade[g, np.searchsorted(buckets, mine)] = count
     found = np.zeros(len(buckets), bool)
     for k in range(1, len(n)):
         low, high = by_grade[:k].sum(0), by_grade[k:].sum(0)
