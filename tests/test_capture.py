@@ -69,3 +69,30 @@ def test_filter_blocks_against_the_recurrence():
             want.append(y)
         assert np.allclose(Q.filtered(x, c), want, rtol=1e-9, atol=1e-12)
     assert len(Q.filtered(x[:0], Q.K_WEIGHTING[0])) == 0
+
+
+def test_loudness_against_the_recurrence(spark):
+    """Whole values of chunks: noise, a quiet one, silence, and one that is too short."""
+    import math
+
+    import numpy as np
+
+    from minuteworks.operators import capture as Q
+
+    rng = np.random.default_rng(1)
+    chunks = [rng.normal(0, 4000, 6000), rng.normal(0, 30, 9000), np.zeros(6000), rng.normal(0, 4000, 4000), np.concatenate([np.zeros(5000), rng.normal(0, 4000, 1000)])]
+    chunks = [np.clip(c, -32768, 32767).astype("<i2") for c in chunks]
+    got = {r.chunk_index: r.lufs for r in Q.chunk_loudness(spark.createDataFrame([(k, bytearray(c.tobytes() + b"x")) for k, c in enumerate(chunks)], "chunk_index int, content binary")).collect()}
+    for k, c in enumerate(chunks):
+        x = [v / 32768 for v in c.tolist()]
+        for b0, b1, b2, a1, a2 in Q.K_WEIGHTING:
+            out, p, q = [], 0.0, 0.0
+            for v in x:
+                y = b0 * v + p
+                p, q = b1 * v - a1 * y + q, b2 * v - a2 * y
+                out.append(y)
+            x = out
+        active = [v * v for v in x if abs(v) > 3e-4]
+        power = sum(active) / len(active) if len(x) >= 4800 and len(active) >= 2400 else 0.0
+        want = -0.691 + 10 * math.log10(power) if power > 1e-12 else None
+        assert (got[k] is None) == (want is None) and (want is None or abs(got[k] - want) < 1e-9)
