@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from minuteworks.llm.common import table
 from minuteworks.llm.embedding_dedup import near_vectors
 from minuteworks.llm.exact_dedup import exact_dedup
+from minuteworks.llm.filter_audit import filter_audit
 from minuteworks.llm.language import identify_language
 from minuteworks.llm.minhash import minhash_components
 from minuteworks.llm.packing import pack_documents
@@ -57,6 +58,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
@@ -69,6 +74,48 @@ SELECT doc_id,
 FROM d
 """
 
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), tests AS (
+  SELECT d.doc_id, part,
+         len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         d.doc_id > min(d.doc_id) OVER (PARTITION BY t) AS e,
+         coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+  FROM words d LEFT JOIN labels l ON l.doc_id = d.doc_id
+), fails AS (
+  SELECT part, good, toxic, f.letter, f.bad, a::INT + b::INT + c::INT + d::INT + e::INT AS n_bad,
+         concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END,
+                CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS mask
+  FROM tests, LATERAL (VALUES ('A', a), ('B', b), ('C', c), ('D', d), ('E', e)) f(letter, bad)
+), masks AS (
+  SELECT part, mask, letter, bad, n_bad, count(*) AS docs, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM fails GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (
+  SELECT m.part, o.filter_order, k.step,
+         sum(docs) FILTER (WHERE NOT gone AND NOT bad) AS kept, sum(docs) FILTER (WHERE NOT gone AND bad) AS removed,
+         sum(docs) FILTER (WHERE gone AND bad) AS redundant, sum(docs) FILTER (WHERE bad AND n_bad = 1) AS unique_fails,
+         sum(good) FILTER (WHERE NOT gone AND bad) AS good_lost, sum(toxic) FILTER (WHERE NOT gone AND bad) AS toxic_lost
+  FROM orders o, (SELECT unnest(range(1, 6)) AS step) k,
+       LATERAL (SELECT *, len(mask) > 0 AND len(replace(translate(mask, left(o.filter_order, (k.step - 1)::INT), ''), ' ', '')) < len(mask) AS gone
+                FROM masks WHERE letter = substr(o.filter_order, k.step, 1)) m
+  GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)), 0)::BIGINT AS shapley
+FROM steps
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -80,5 +127,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
+    "op11_filter_audit": op11_filter_audit,
 }
-ORACLES = {"op8_exact_dedup": OP8_SQL}
+ORACLES = {"op8_exact_dedup": OP8_SQL, "op11_filter_audit": OP11_SQL}
