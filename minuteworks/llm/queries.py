@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from minuteworks.llm.byte_bpe import byte_digests
 from minuteworks.llm.common import table
 from minuteworks.llm.embedding_dedup import near_vectors
 from minuteworks.llm.exact_dedup import exact_dedup
@@ -62,6 +63,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_digests(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
@@ -128,5 +133,6 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
     "op11_filter_audit": op11_filter_audit,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLES = {"op8_exact_dedup": OP8_SQL, "op11_filter_audit": OP11_SQL}
