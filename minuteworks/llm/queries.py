@@ -13,6 +13,7 @@ from minuteworks.llm.language import identify_language
 from minuteworks.llm.minhash import minhash_components
 from minuteworks.llm.packing import pack_documents
 from minuteworks.llm.pieces import piece_digests
+from minuteworks.llm.prefix_trie import conversation_trie
 from minuteworks.llm.quality import quality_scores
 from minuteworks.llm.secrets import scan_secrets
 from minuteworks.llm.simple8b import token_files
@@ -67,6 +68,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
@@ -121,6 +126,37 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
 FROM steps
 """
 
+OP13_SQL = r"""
+WITH own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+  SELECT *, conv_id - conv_id % 100 AS base,
+         (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::UBIGINT)),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)),
+          4294967295::UBIGINT) % 6)::INT AS h
+  FROM own
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.base
+), begun AS (
+  SELECT conv_id, d, turns[1:d] AS p, len(turns) AS n FROM rebuilt, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)
+), nodes AS (
+  SELECT p, d, min(conv_id) AS conv, count(*) AS n_convs, coalesce(length(any_value(p[d].text)), 0) AS size,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends
+  FROM begun GROUP BY p, d
+), above AS (SELECT b.conv_id, b.d, n.conv FROM begun b JOIN nodes n ON n.p = b.p AND n.d = b.d),
+linked AS (SELECT n.*, a.conv AS parent FROM nodes n LEFT JOIN above a ON a.conv_id = n.conv AND a.d = n.d - 1),
+children AS (SELECT parent AS conv, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT l.*, coalesce(c.n_children, 0) AS n_children FROM linked l LEFT JOIN children c ON c.conv = l.conv AND c.d = l.d),
+sums AS (
+  SELECT a.conv, a.d, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.size) AS saved
+  FROM full_nodes f JOIN above a ON a.conv_id = f.conv AND a.d <= f.d GROUP BY a.conv, a.d
+)
+SELECT f.conv AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN sums s ON s.conv = f.conv AND s.d = f.d
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -134,5 +170,6 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_filter_audit": op11_filter_audit,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES = {"op8_exact_dedup": OP8_SQL, "op11_filter_audit": OP11_SQL}
+ORACLES = {"op8_exact_dedup": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_prefix_trie": OP13_SQL}
