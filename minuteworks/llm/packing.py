@@ -81,18 +81,19 @@ def mutate(bins: list[Bin], size: list[int], capacity: int, rng, share: float =
     return Bins(size, capacity, [b for k, b in enumerate(bins) if k not in gone]).put((i for k in gone for i in bins[k]), rng).done()
 
 
-def evolve(size: list[int], capacity: int, population: list[list[Bin]], seed: int, generations: int, members: int = 4, per_excess: int = 2, most_generations: int = 40) -> list[list[Bin]]:
+def evolve(size: list[int], capacity: int, population: list[list[Bin]], seed: int, generations: int, members: int = 4, per_excess: int = 10, most_generations: int = 40) -> list[list[Bin]]:
     """The population after some generations, best first; ends early at the least possible number of bins.
 
-    Individuals that are missing are best-fit groupings of pieces in more and more shaken orders.  There are
+    Individuals that are missing are best-fit groupings of pieces in shaken orders, far from the best one, so
+    that crossover has different bins to choose from.  There are
     ``generations``, and ``per_excess`` more for each bin over the least, up to ``most_generations`` more.
     """
     rng = np.random.default_rng(seed)
     least = -(-sum(size) // capacity)
     score = lambda b: (len(b), -fitness(b, size, capacity))
     population = list(population)
-    while len(population) < members and (not population or len(population[0]) > least):
-        population.append(Bins(size, capacity).put(range(len(size)), rng, 0.01 if not population else 0.25 * len(population) / members).done())
+    while len(population) < members:
+        population.append(Bins(size, capacity).put(range(len(size)), rng, 0.25 + 0.3 * len(population) / members).done())
     population.sort(key=score)
     for _ in range(generations + min(most_generations, per_excess * (len(population[0]) - least))):
         if len(population[0]) <= least or len(population) < 2:

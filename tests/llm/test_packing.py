@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -110,3 +111,32 @@ def test_islands_on_lengths_of_documents(spark):
     start = [P.Bins(size, 4096).put(range(len(size)), rng).done() for _ in range(4)]
     assert len(P.evolve(size, 4096, start, 0, 8)[0]) < min(map(len, start))
     assert sequences(spark, size) <= best_fit(size, 4096) + 1
+
+
+def test_crossover_reaches_the_bound_on_lengths_of_the_table(monkeypatch):
+    """On shards of lengths of ``documents``, islands start from shaken groupings over the least number of
+    bins; crossover alone, without mutation, and the migration of elites bring them down."""
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    lengths = [n for n in (len(t) // 3 + 1 for t in texts) if n < 4096]
+    crossed, plain = [], P.crossover
+
+    def counted(*args):
+        crossed.append(1)
+        return plain(*args)
+
+    monkeypatch.setattr(P, "crossover", counted)
+    monkeypatch.setattr(P, "mutate", lambda bins, *rest: bins)
+
+    def excess(generations):
+        out = 0
+        for k in range(5):
+            size = lengths[k::5]
+            islands = [P.evolve(size, 4096, [], 10 * k + i, generations, most_generations=5 * generations) for i in range(2)]
+            if generations:
+                islands = [P.evolve(size, 4096, [islands[1 - i][0], *islands[i]], 10 * k + i + 5, generations) for i in range(2)]
+            out += sum(len(p[0]) for p in islands) - 2 * -(-sum(size) // 4096)
+        return out
+
+    start = excess(0)
+    assert not crossed
+    assert excess(8) < start and crossed
