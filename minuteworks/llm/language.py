@@ -26,20 +26,22 @@ from pyspark.sql import functions as F
 from minuteworks.llm.common import text_or_empty
 from minuteworks.llm.tokens import slices_of
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and a few numbers that ``\\w`` takes for them; :func:`has_letter` tells these apart.
+LETTER_LIKE = re.compile(r"[^\W\d_]")
 SPACE, BREAK, DIGIT, FIRST, SPELLED = 0, 1, 2, 18, 255
 DIGITS = 5
 FLAG = 1 << 30
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode category L)."""
+    return any(m[0].isalpha() for m in LETTER_LIKE.finditer(text))
+
+
 @lru_cache(maxsize=1)
 def letter_points() -> np.ndarray:
     """Whether each code point is a letter."""
-    every = "".join(map(chr, range(0x110000)))
-    found = np.zeros(0x110000, bool)
-    for m in re.finditer(r"[^\W\d_]+", every):
-        found[m.start() : m.end()] = True
-    return found
+    return np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
 
 
 def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
@@ -143,7 +145,7 @@ class CrossParser:
         return out
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        named = [k for k, t in enumerate(texts) if LETTER.search(t)] if self.languages else []
+        named = [k for k, t in enumerate(texts) if has_letter(t)] if self.languages else []
         out = [("und", 0.0)] * len(texts)
         if named:
             coded = [self.codes(texts[k]) for k in named]
@@ -160,48 +162,58 @@ def parser(alphabet: str, sample: tuple[tuple[str, bytes], ...]) -> CrossParser:
     return CrossParser(alphabet, dict(sample))
 
 
-def sample_texts(docs: DataFrame, held_out, most_docs: int = 48, most_chars: int = 40_000) -> dict[str, list[str]]:
-    """For each language whole texts of at most ``most_docs`` labelled rows: the bounded sample that is
-    learned from.
+def fair_shares(sizes: list[int], most: int) -> list[int]:
+    """How much each may have of ``most`` together: what small ones leave goes to the others in equal parts."""
+    out, left = [0] * len(sizes), most
+    order = sorted(range(len(sizes)), key=lambda k: sizes[k])
+    for done, k in enumerate(order):
+        out[k] = min(sizes[k], left // (len(sizes) - done))
+        left -= out[k]
+    return out
+
+
+def sample_texts(docs: DataFrame, held_out, most_docs: int = 48, most_chars: int = 40_000, passage: int = 200) -> dict[str, list[str]]:
+    """For each language passages of at most ``most_docs`` labelled rows: the bounded sample that is learned
+    from.
 
-    Each of ``most_docs`` parts of the hashed ids offers a row, one of at most ``2 * most_chars / most_docs``
-    characters if it has any.  The rows are taken in the order of their hashes, each whole, while they have
-    at most ``most_chars`` characters together; one that would not fit is passed over.  A language whose
-    rows all are longer learns from the shortest offered one.
+    Rows are drawn by the hash of their id and text alone: each of ``most_docs`` parts of the hashes offers
+    the row with the least one.  An automaton holds about ``most_chars`` characters, which the rows share
+    fairly: a short row teaches whole, a longer one by passages of about ``passage`` characters that are
+    spread evenly over all of it, so rows of any length teach.
     """
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out).select("lang", F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("h"), F.char_length(text_or_empty()).alias("n"))
-    rows = rows.where("n > 0").withColumn("long", F.col("n") > 2 * most_chars // most_docs)
-    offered = rows.groupBy("lang", F.pmod("h", F.lit(most_docs)).alias("part")).agg(F.min(F.struct("long", "h", "id", "n")).alias("first"))
+    n = F.char_length(text_or_empty())
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out).select("lang", F.xxhash64("doc_id", "text").alias("h"), n.alias("n")).where("n > 0")
+    offered = rows.groupBy("lang", F.pmod("h", F.lit(most_docs)).alias("part")).agg(F.min(F.struct("h", "n")).alias("first"))
     by_lang: dict[str, list] = {}
     for r in offered.select("lang", "first.*").collect():  # most_docs for each language
         by_lang.setdefault(r.lang, []).append(r)
     chosen = []
-    for lang, mine in by_lang.items():
-        taken = 0
-        for r in sorted(mine, key=lambda r: (r.long, r.h, r.n)):
-            if taken + r.n <= most_chars:
-                chosen.append((lang, r.h))
-                taken += r.n
-        if not taken:
-            chosen.append((lang, min(mine, key=lambda r: (r.n, r.h)).h))
+    for lang, mine in sorted(by_lang.items()):
+        mine.sort(key=lambda r: r.h)
+        for r, share in zip(mine, fair_shares([r.n for r in mine], most_chars)):
+            if share:
+                chosen.append((lang, r.h, 1 if share == r.n else max(1, share // passage), share))
     if not chosen:
         return {}
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_of string, _h long"))
-    texts = docs.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    found = texts.join(wanted, (F.col("h") == F.col("_h")) & (F.col("lang") == F.col("_of"))).select("lang", "h", "text").distinct().collect()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_of string, _h long, pieces int, share int"))
+    texts = docs.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text", n.alias("n"))
+    size = (F.col("share") / F.col("pieces")).cast("int")
+    step = (F.col("n") - size) / F.greatest(F.col("pieces") - 1, F.lit(1))
+    cut = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.substring("text", (k * step).cast("int") + 1, size))
+    found = texts.join(wanted, (F.col("h") == F.col("_h")) & (F.col("lang") == F.col("_of"))).select("lang", "h", cut.alias("parts")).distinct().collect()
     out: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.h)):
-        out.setdefault(r.lang, []).append(r.text)
-    return {lang: parts for lang, parts in out.items() if any(LETTER.search(t) for t in parts)}
+        out.setdefault(r.lang, []).extend(r.parts)
+    return {lang: parts for lang, parts in out.items() if any(map(has_letter, parts))}
 
 
 def learned(texts: dict[str, list[str]], letters: int = 61) -> tuple[str, tuple[tuple[str, bytes], ...]]:
     """The letters with a symbol of their own (the ``letters`` most frequent ones) and the coded sample of
     each language."""
-    counts = Counter(c for parts in texts.values() for text in parts for c in text.lower() if LETTER.match(c))
+    counts = Counter(c for parts in texts.values() for text in parts for c in text.lower() if c.isalpha())
     alphabet = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:letters]))
     coder = CrossParser(alphabet, {})
-    # documents are told apart, so that no phrase runs from one into the next
+    # passages are told apart, so that no phrase runs from one into the next
     sample = {lang: bytes([BREAK]).join(coder.codes(t).tobytes() for t in parts) for lang, parts in texts.items()}
     return alphabet, tuple(sorted(sample.items()))
 
@@ -212,8 +224,8 @@ RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 def identify_language(docs: DataFrame, most_docs: int = 48, most_chars: int = 40_000) -> DataFrame:
     """A row per document: ``doc_id, held_out, lang_pred, score``.
 
-    Learns from a sample of at most ``most_docs`` whole rows and about ``most_chars`` characters for each
-    language (see :func:`sample_texts`), of rows with a language whose ``crc32`` of the id modulo 4 is not 2 and predicts all
+    Learns from at most ``most_docs`` rows and ``most_chars`` characters for each language (see
+    :func:`sample_texts`), of rows with a language whose ``crc32`` of the id modulo 4 is not 2 and predicts all
     rows from their text alone.  A text that is null or has no letter is ``und`` with score 0, as is
     every text if there is nothing to learn from.  The score is how much more the second language
     needs (0 to 1; 1 with one language).  Equal languages: the first by name.  Ids may repeat; a null
