@@ -12,8 +12,14 @@ from minuteworks.plans.tables import ORACLES, QUERIES, query
 from minuteworks.sources import files as S
 from minuteworks.streaming import live as K
 
-FRAMES = "SELECT CAST(l_orderkey AS BIGINT) AS recording_id, CAST(floor(l_extendedprice * 10) AS BIGINT) AS elapsed_ms, CAST(l_quantity AS BIGINT) AS bytes FROM {lineitem}"
+FRAMES = """SELECT CAST(l_orderkey AS BIGINT) AS recording_id, TIMESTAMP '2024-01-01 00:00:00' + CAST(l_orderkey % 1000 AS INT) * INTERVAL '1' MINUTE AS started_at,
+               CAST(floor(l_extendedprice * 10) AS BIGINT) AS elapsed_ms, CAST(l_quantity AS BIGINT) AS bytes FROM {lineitem}"""
 ADAPTERS["frames"] = FRAMES
+#: The same, and a tick a day later for every hundredth order, so that the last chunks come out too.
+ADAPTERS["ticking_frames"] = FRAMES + """
+        UNION ALL SELECT CAST(NULL AS BIGINT) AS recording_id, TIMESTAMP '2024-01-02 20:00:00' AS started_at, CAST(0 AS BIGINT) AS elapsed_ms, CAST(0 AS BIGINT) AS bytes FROM {lineitem} WHERE l_orderkey % 100 = 1 AND l_linenumber = 1"""
+
+
 def stream_of(spark, sf_dir, table):
     """A table as a stream: its file, or the files of its folder."""
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{table}.parquet*")
@@ -24,8 +30,13 @@ def projected(spark, sf_dir, adapter, table):
 
 
 def windowed(name, operator, sql):
-    """The windows over a stream of the table, in ``complete`` mode."""
-    QUERIES[name] = lambda spark, sf_dir: K.drained(spark, operator(projected(spark, sf_dir, "frames", "lineitem")), "complete")
+    """The windows over a stream of the table, in append mode: each comes out when it is closed."""
+
+    def run(spark, sf_dir):
+        frames = projected(spark, sf_dir, "ticking_frames", "lineitem")
+        return K.drained(spark, operator(frames.withColumn("started_at", F.col("started_at").cast("timestamp"))))
+
+    QUERIES[name] = run
     ORACLES[name] = with_adapters("frames", sql)
 
 
@@ -50,53 +61,99 @@ ORACLES["k6_claims"] = with_adapters("claim_events", """
 """)
 
 
-def live(spark, sf_dir):
-    turns = stream_of(spark, sf_dir, "conversations")
+def turn_parts(spark, sf_dir, turns, expected):
+    """Turns of conversations as parts of a recording; ``expected`` makes their number of the turns'."""
     last = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    parts = turns.join(last, "conv_id").select(F.col("conv_id").cast("string").alias("recording_id"), F.col("turn").cast("int").alias("chunk_index"), F.col("n").alias("n_expected"), (F.col("turn") == 6).alias("failed"), "text", F.timestamp_seconds(1_704_067_200 + F.col("turn") * 60).alias("ts"))
-    return K.drained(spark, K.live_transcripts(parts)).select("recording_id", "status")
+    ts = F.timestamp_seconds(1_704_067_200 + F.col("turn") * 60)
+    return turns.join(last, "conv_id").select("conv_id", F.col("conv_id").cast("string").alias("recording_id"), F.col("turn").cast("int").alias("chunk_index"), expected.alias("n_expected"), (F.col("turn") == 6).alias("failed"), "text", ts.alias("ts"))
+
+
+def live(spark, sf_dir):
+    parts = turn_parts(spark, sf_dir, stream_of(spark, sf_dir, "conversations"), F.col("n")).drop("conv_id")
+    return K.drained(spark, K.live_transcripts(parts)).select("recording_id", "status", "n_parts")
+
+
+def word_parts(docs):
+    """Parts of 120 words that repeat the twelve words before them."""
+    parts = overlapping_parts(docs.withColumn("n", F.size(words(F.col("text")))), keep=("n",))
+    return parts.select("recording_id", "chunk_index", F.ceil(F.col("n") / 120).alias("n_expected"), F.lit(False).alias("failed"), "text", F.timestamp_seconds(1_704_067_200 + F.col("chunk_index")).alias("ts"))
 
 
 def assembled(spark, sf_dir):
     """Parts of documents that overlap by twelve words, as a stream: whole transcripts come out."""
-    docs = stream_of(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("recording_id"), "text")
-    parts = overlapping_parts(docs.withColumn("n", F.size(words(F.col("text")))), keep=("n",))
-    rows = parts.select("recording_id", "chunk_index", F.ceil(F.col("n") / 120).alias("n_expected"), F.lit(False).alias("failed"), "text", F.timestamp_seconds(1_704_067_200 + F.col("chunk_index")).alias("ts"))
+    rows = word_parts(stream_of(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("recording_id"), "text"))
     return K.drained(spark, K.live_transcripts(rows)).select("recording_id", "status", F.md5("transcript").alias("transcript_md5"))
 
 
 QUERIES["k3_live_assembly"] = assembled
-ORACLES["k3_live_assembly"] = """
-    SELECT CAST(recording_id AS VARCHAR) AS recording_id, 'complete' AS status, md5(array_to_string(w, ' ')) AS transcript_md5
-    FROM (SELECT doc_id AS recording_id, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x, i: x || '_' || (i - 1)) AS w FROM documents) WHERE len(w) > 0
-"""
+NUMBERED = """
+    SELECT CAST(doc_id AS VARCHAR) AS recording_id, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x, i: x || '_' || (i - 1)) AS w FROM documents"""
+ORACLES["k3_live_assembly"] = f"SELECT recording_id, 'complete' AS status, md5(array_to_string(w, ' ')) AS transcript_md5 FROM ({NUMBERED}) WHERE len(w) > 0"
+
+
+def clock():
+    """A part of another recording, hours later: the watermark passes all that waits."""
+    return F.struct(F.lit("clock").alias("recording_id"), F.lit(0).alias("chunk_index"), F.lit(1).cast("long").alias("n_expected"), F.lit(True).alias("failed"), F.lit("tick").alias("text"), F.timestamp_seconds(F.lit(1_704_067_200 + 9 * 3600)).alias("ts"))
+
+
+def ticking(parts, when):
+    columns = ["recording_id", "chunk_index", "n_expected", "failed", "text", "ts"]
+    own = F.struct(*[F.col(c).cast("long").alias(c) if c == "n_expected" else F.col(c) for c in columns])
+    return parts.select(F.explode(F.when(when, F.array(own, clock())).otherwise(F.array(own))).alias("r")).select("r.*")
 
 
 def waits(spark, sf_dir):
-    """Every third recording lacks a part, and every eleventh row is followed by one of another recording,
-    hours later: the watermark passes, and what waits is ``open``."""
-    turns = stream_of(spark, sf_dir, "conversations")
-    last = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    ts = F.timestamp_seconds(1_704_067_200 + F.col("turn") * 60)
-    own = F.struct(F.col("conv_id").cast("string").alias("recording_id"), F.col("turn").cast("int").alias("chunk_index"), (F.col("n") + (F.col("conv_id") % 3 == 0).cast("int")).alias("n_expected"), "text", ts.alias("ts"))
-    clock = F.struct(F.lit("clock").alias("recording_id"), F.lit(0).alias("chunk_index"), F.lit(None).cast("long").alias("n_expected"), F.lit("tick").alias("text"), (ts + F.expr("INTERVAL 9 HOURS")).alias("ts"))
-    rows = turns.join(last, "conv_id").select(F.explode(F.when((F.col("conv_id") % 11 == 0) & (F.col("turn") == 0), F.array(own, clock)).otherwise(F.array(own))).alias("r")).select("r.*")
-    return K.drained(spark, K.live_transcripts(rows.withColumn("failed", F.lit(False)))).select("recording_id", "status", F.col("transcript").isNull().alias("without_text"))
+    """Every third recording lacks a part: it waits until the watermark passes, and is ``open``."""
+    parts = turn_parts(spark, sf_dir, stream_of(spark, sf_dir, "conversations"), F.col("n") + (F.col("conv_id") % 3 == 0).cast("int"))
+    rows = ticking(parts.withColumn("failed", F.lit(False)), (F.col("conv_id") % 11 == 0) & (F.col("chunk_index") == 0))
+    out = K.drained(spark, K.live_transcripts(rows)).where("recording_id <> 'clock'")
+    return out.select("recording_id", "status", "n_parts", F.col("transcript").isNull().alias("without_text"))
 
 
 QUERIES["k4_wait_limit"] = waits
-ORACLES["k4_wait_limit"] = "SELECT CAST(conv_id AS VARCHAR) AS recording_id, CASE WHEN conv_id % 3 = 0 THEN 'open' ELSE 'complete' END AS status, conv_id % 3 = 0 AS without_text FROM conversations GROUP BY conv_id"
+ORACLES["k4_wait_limit"] = "SELECT CAST(conv_id AS VARCHAR) AS recording_id, CASE WHEN conv_id % 3 = 0 THEN 'open' ELSE 'complete' END AS status, count(*) AS n_parts, conv_id % 3 = 0 AS without_text FROM conversations GROUP BY conv_id"
+
+
+def late_parts(spark, sf_dir):
+    """The stream misses the last part of every third document (which is ``open``), and every fifth one says
+    that it has a part less than it has (which comes late); both are whole after the batch."""
+    number = F.col("recording_id").cast("long")
+    docs = lambda d: d.select(F.col("doc_id").cast("string").alias("recording_id"), "text")
+    parts = word_parts(docs(stream_of(spark, sf_dir, "documents")))
+    last = F.col("chunk_index") + 1 == F.col("n_expected")
+    rows = parts.where(~(last & ((number % 3 == 0) | (number % 5 == 0)) & (F.col("n_expected") > 1)))
+    rows = rows.withColumn("n_expected", F.when((number % 5 == 0) & (number % 3 != 0) & (F.col("n_expected") > 1), F.col("n_expected") - 1).otherwise(F.col("n_expected")))
+    live = K.drained(spark, K.live_transcripts(ticking(rows, (number % 11 == 0) & (F.col("chunk_index") == 0))))
+    every = word_parts(docs(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return K.rebuilt_in_batch(live, every).select("recording_id", "source", F.md5("transcript").alias("transcript_md5"))
+
+
+QUERIES["k4_late_parts"] = late_parts
+ORACLES["k4_late_parts"] = f"""
+    SELECT recording_id, CASE WHEN len(w) > 120 AND (recording_id::BIGINT % 3 = 0 OR recording_id::BIGINT % 5 = 0) THEN 'batch' ELSE 'live' END AS source, md5(array_to_string(w, ' ')) AS transcript_md5
+    FROM ({NUMBERED}) WHERE len(w) > 0"""
 QUERIES["k3_live_transcripts"] = live
-ORACLES["k3_live_transcripts"] = "SELECT CAST(conv_id AS VARCHAR) AS recording_id, CASE WHEN max(turn) >= 6 THEN 'failed' ELSE 'complete' END AS status FROM conversations GROUP BY conv_id"
+ORACLES["k3_live_transcripts"] = "SELECT CAST(conv_id AS VARCHAR) AS recording_id, CASE WHEN max(turn) >= 6 THEN 'failed' ELSE 'complete' END AS status, count(*) AS n_parts FROM conversations GROUP BY conv_id"
+
+ADAPTERS["handoff_events"] = """
+    SELECT CAST(user_id AS VARCHAR(20)) AS audio_path, event_id AS seq, CASE WHEN event_type IN ('purchase', 'error') THEN 'finished' ELSE 'handoff' END AS kind, date_trunc('day', ts) AS handed_at, ts FROM {events}"""
 
 
 def handoffs(spark, sf_dir):
-    events = stream_of(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("audio_path"), F.date_trunc("hour", "ts").alias("handed_at"), F.col("ts").cast("timestamp").alias("ts"))
-    return K.drained(spark, K.dedupe_handoffs(events, "40 days")).select("audio_path", F.col("handed_at").cast("timestamp_ntz").alias("handed_at"))
+    events = projected(spark, sf_dir, "handoff_events", "events").withColumns({c: F.col(c).cast("timestamp") for c in ("handed_at", "ts")}).withColumn("audio_path", F.col("audio_path").cast("string"))
+    return K.drained(spark, K.dedupe_handoffs(events)).select("audio_path", "seq", F.col("handed_at").cast("timestamp_ntz").alias("handed_at"), "outcome")
 
 
 QUERIES["k5_dedupe_handoffs"] = handoffs
-ORACLES["k5_dedupe_handoffs"] = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS audio_path, date_trunc('hour', ts) AS handed_at FROM events"
+ORACLES["k5_dedupe_handoffs"] = with_adapters("handoff_events", """
+    SELECT e.audio_path, e.seq, e.handed_at, split_part(o, ':', 2) AS outcome FROM (
+      SELECT audio_path, unnest(string_split(rtrim(list_reduce(list_prepend({'seen': [''], 'day': '', 'kind': '', 'active': false, 'out': ''}, l), lambda a, x: {
+          'seen': CASE WHEN x.kind = 'handoff' THEN list_append(a.seen, x.day) ELSE a.seen END, 'day': '', 'kind': '',
+          'active': CASE WHEN x.kind = 'finished' THEN false WHEN list_contains(a.seen, x.day) THEN a.active ELSE true END,
+          'out': a.out || CASE WHEN x.kind = 'finished' THEN '' ELSE x.out || ':' || CASE WHEN list_contains(a.seen, x.day) THEN 'duplicate' WHEN a.active THEN 'active' ELSE 'accepted' END || ',' END}).out, ','), ',')) AS o
+      FROM (SELECT audio_path, list({'seen': [''], 'day': CAST(handed_at AS VARCHAR), 'kind': kind, 'active': false, 'out': CAST(seq AS VARCHAR)} ORDER BY ts, seq) AS l FROM handoff_events GROUP BY audio_path)) r
+    JOIN handoff_events e ON e.audio_path = r.audio_path AND e.seq = CAST(split_part(o, ':', 1) AS BIGINT) WHERE o <> ''
+""")
 
 
 ADAPTERS["ticking_lines"] = ADAPTERS["log_lines"] + """

@@ -1,40 +1,49 @@
 """Structured Streaming: chunk windows, live transcripts, hand-offs, claims, command traces.
 
-K1, K2, K5 and K7 are the same expressions in batch and stream; K3 and K6 keep state for each key.
+K1, K2 and K7 are the same expressions in batch and stream; K3, K5 and K6 keep state for each key.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from minuteworks.operators.transcripts import LONGEST_SEAM, clean_transcript, plain, seam
+from minuteworks.operators.transcripts import LONGEST_SEAM, clean_transcript, plain, seam, stitch
 from minuteworks.sources.scratch import shared_dir
 
+CHUNK_MS, OVERLAP_MS = 180_000, 5_000
 
-def on_own_clock(df: DataFrame) -> DataFrame:
-    """``at``: the epoch plus ``elapsed_ms``, so that windows count from each recording's own start."""
-    return df.withColumn("at", F.timestamp_millis("elapsed_ms"))
 
+def chunk_sums(frames: DataFrame, chunks: Column, wait: str) -> DataFrame:
+    """Frames and bytes of each chunk.  A chunk's event time is its end, counted from the start of its own
+    recording, so the watermark closes it ``wait`` after that: it comes out once, and its state goes.
+    A frame without a recording is a tick: it moves the watermark and is counted nowhere."""
+    rows = frames.withColumn("chunk_index", F.explode(chunks))
+    ends = F.timestamp_millis(F.unix_millis("started_at") + (F.col("chunk_index") + 1) * CHUNK_MS)
+    marked = rows.withColumn("ends_at", ends).withWatermark("ends_at", wait)
+    # naming the event time keeps the filter above the watermark, which ticks have to reach
+    kept = marked.where(F.col("recording_id").isNotNull() | F.col("ends_at").isNull())
+    sums = kept.groupBy("recording_id", "chunk_index", "ends_at").agg(F.count(F.lit(1)).alias("n_frames"), F.sum("bytes").alias("bytes"))
+    return sums.select("recording_id", F.col("chunk_index").cast("int").alias("chunk_index"), "n_frames", "bytes")
 
-def chunk_windows(df: DataFrame) -> DataFrame:
-    """Bytes and rows of each 180-second chunk of each recording."""
-    rows = on_own_clock(df).groupBy("recording_id", F.window("at", "180 seconds").alias("w"))
-    out = rows.agg(F.count(F.lit(1)).alias("n_frames"), F.sum("bytes").alias("bytes"))
-    return out.select("recording_id", F.floor(F.unix_seconds("w.start") / 180).cast("int").alias("chunk_index"), "n_frames", "bytes")
 
+def chunk_windows(frames: DataFrame, wait: str = "900 seconds") -> DataFrame:
+    """Frames and bytes of each 180-second chunk of each recording, from ``recording_id, started_at,
+    elapsed_ms, bytes``."""
+    return chunk_sums(frames, F.array(F.floor(F.col("elapsed_ms") / CHUNK_MS)), wait)
 
-def overlap_windows(df: DataFrame) -> DataFrame:
+
+def overlap_windows(frames: DataFrame, wait: str = "900 seconds") -> DataFrame:
     """The same with the last five seconds of the chunk before in each chunk."""
-    rows = on_own_clock(df).groupBy("recording_id", F.window("at", "185 seconds", "180 seconds", "175 seconds").alias("w"))
-    out = rows.agg(F.count(F.lit(1)).alias("n_frames"), F.sum("bytes").alias("bytes"))
-    return out.select("recording_id", F.floor((F.unix_seconds("w.start") + 5) / 180).cast("int").alias("chunk_index"), "n_frames", "bytes").where("chunk_index >= 0")
+    chunk = F.floor(F.col("elapsed_ms") / CHUNK_MS)
+    return chunk_sums(frames, F.when(F.col("elapsed_ms") % CHUNK_MS >= CHUNK_MS - OVERLAP_MS, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)), wait)
 
 
 def stitched(parts: dict[int, str]) -> str:
@@ -49,48 +58,149 @@ def stitched(parts: dict[int, str]) -> str:
     return " ".join(out)
 
 
-def live_transcripts(parts: DataFrame, wait: str = "900 seconds") -> DataFrame:
-    """``recording_id, status, transcript``: once per recording, ``complete`` when all expected parts are
-    in and none failed, ``failed`` when all are in and one did, or ``open`` when ``wait`` of event time
-    has passed since the last part; that and late parts are left to the batch path.
+LIVE = "recording_id string, status string, n_parts long, transcript string"
 
-    ``parts``: recording_id, chunk_index, n_expected (null until known), failed, text, ts.  Parts come in
-    any order; a later row for a chunk replaces an earlier one.
-    """
-    milliseconds = pd.Timedelta(wait) // pd.Timedelta("1ms")
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            sent = state.get[2]
-            state.remove()
-            if not sent:
-                yield pd.DataFrame({"recording_id": [key[0]], "status": ["open"], "transcript": [None]})
-            return
-        held, expected, sent, last = state.get if state.exists else ("{}", -1, False, 0)
-        seen = json.loads(held)
-        for pdf in batches:
-            last = max(last, int(pdf["ts"].max().timestamp() * 1000))
+class LiveTranscript(StatefulProcessor):
+    """A recording's parts, each under a key of its own, until all are in or its wait is over."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "chunk_index int", "text string, failed boolean")
+        #: parts held, failed ones among them, parts expected (-1: unknown), newest event time, what was sent
+        self.facts = handle.getValueState("facts", "n long, failed long, expected long, last long, sent boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, failed, expected, last, sent = self.facts.get() if self.facts.exists() else (0, 0, -1, 0, False)
+        newest = last
+        for pdf in rows:
             for r in pdf.sort_values("ts", kind="stable").itertuples():
-                seen[str(r.chunk_index)] = None if r.failed else r.text or ""
+                newest = max(newest, int(r.ts.timestamp() * 1000))
                 if r.n_expected == r.n_expected and r.n_expected is not None:
                     expected = int(r.n_expected)
-        if not sent and 0 <= expected <= len(seen):
-            failed = any(t is None for t in seen.values())
-            text = None if failed else stitched({int(k): t for k, t in seen.items()})
-            yield pd.DataFrame({"recording_id": [key[0]], "status": ["failed" if failed else "complete"], "transcript": [text]})
-            seen, sent = {}, True  # what was sent is not sent again until the state times out
-        state.update((json.dumps(seen), expected, sent, last))
+                if sent:
+                    continue
+                chunk = (int(r.chunk_index),)
+                if self.parts.containsKey(chunk):
+                    failed -= bool(self.parts.getValue(chunk)[1])
+                else:
+                    n += 1
+                failed += bool(r.failed)
+                self.parts.updateValue(chunk, (r.text or "", bool(r.failed)))
+        if not sent and 0 <= expected <= n:
+            text = None if failed else stitched({k[0]: v[0] for k, v in self.parts.iterator()})
+            yield pd.DataFrame({"recording_id": [key[0]], "status": ["failed" if failed else "complete"], "n_parts": [n], "transcript": [text]})
+            self.parts.clear()
+            sent = True  # what was sent is not sent again until the state ends
         # by event time: ``wait`` after the newest part, of what was sent too, so that state ends
-        state.setTimeoutTimestamp(max(last + milliseconds, state.getCurrentWatermarkMs() + 1))
+        if newest != last:
+            if last:
+                self.handle.deleteTimer(last + self.wait_ms)
+            self.handle.registerTimer(newest + self.wait_ms)
+        self.facts.update((n, failed, expected, newest, sent))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, _, _, _, sent = self.facts.get()
+        self.parts.clear()
+        self.facts.clear()
+        if not sent:
+            yield pd.DataFrame({"recording_id": [key[0]], "status": ["open"], "n_parts": [n], "transcript": pd.Series([None], dtype=object)})
+
+    def close(self) -> None:
+        pass
+
 
+def live_transcripts(parts: DataFrame, wait: str = "900 seconds") -> DataFrame:
+    """``recording_id, status, n_parts, transcript``: once per recording, ``complete`` when all expected
+    parts are in and none failed, ``failed`` when all are in and one did, or ``open`` when ``wait`` of
+    event time has passed since the last part.  :func:`rebuilt_in_batch` takes up all but complete ones.
+
+    ``parts``: recording_id, chunk_index, n_expected (null until known), failed, text, ts.  Parts come in
+    any order; a later row for a chunk replaces an earlier one.  A part is written to the state store once,
+    under its own key, so what a batch writes grows with the batch and not with the recording.
+    """
     cleaned = parts.withWatermark("ts", wait).withColumn("text", clean_transcript(F.col("text")))
-    return cleaned.groupBy("recording_id").applyInPandasWithState(update, "recording_id string, status string, transcript string", "held string, expected long, sent boolean, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return cleaned.groupBy("recording_id").transformWithStateInPandas(LiveTranscript(pd.Timedelta(wait) // pd.Timedelta("1ms")), LIVE, "append", "eventTime")
 
 
-def dedupe_handoffs(stream: DataFrame, wait: str = "900 seconds") -> DataFrame:
-    """One hand-off for each (audio path, time)."""
-    named = stream.withWatermark("ts", wait)
-    return named.dropDuplicatesWithinWatermark(["audio_path", "handed_at"]) if stream.isStreaming else named.dropDuplicates(["audio_path", "handed_at"])
+def rebuilt_in_batch(live: DataFrame, parts: DataFrame) -> DataFrame:
+    """``recording_id, source, transcript`` of all recordings that have parts: what came out live and still
+    has all its parts is kept (``live``); recordings that were given up, that nothing came out of, or that
+    got a part after their transcript did are stitched again (``batch``), unless the newest row of a part
+    says that it failed.
+
+    ``parts`` is the table of all parts, late ones included.
+    """
+    newest = parts.groupBy("recording_id", "chunk_index").agg(F.max(F.struct("ts", "failed", "text")).alias("p"))
+    newest = newest.select("recording_id", "chunk_index", "p.failed", clean_transcript(F.col("p.text")).alias("text"))
+    known = newest.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_now"), F.max("failed").alias("any_failed"))
+    state = known.join(live, "recording_id", "left")
+    whole = F.coalesce((F.col("status") == "complete") & (F.col("n_parts") == F.col("n_now")), F.lit(False))
+    kept = state.where(whole).select("recording_id", F.lit("live").alias("source"), "transcript")
+    again = state.where(~whole & ~F.col("any_failed")).select("recording_id")
+    return kept.unionByName(stitch(newest.join(again, "recording_id", "left_semi")).select("recording_id", F.lit("batch").alias("source"), "transcript"))
+
+
+class Handoffs(StatefulProcessor):
+    """What a path was handed off for, and whether it is being processed."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "handed_at timestamp", "at timestamp")
+        #: whether the path is being processed, and its newest event time
+        self.facts = handle.getValueState("facts", "active boolean, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
+        active, last = self.facts.get() if self.facts.exists() else (False, 0)
+        new, outcomes = {}, []
+        for kind, handed_at, ts in zip(pdf["kind"], pdf["handed_at"], pdf["ts"]):
+            if kind == "finished":
+                active = False
+                outcomes.append(None)
+                continue
+            if handed_at in new or self.seen.containsKey((handed_at.to_pydatetime(),)):
+                outcomes.append("duplicate")
+                continue
+            new[handed_at] = ts
+            outcomes.append("active" if active else "accepted")
+            active = True
+        for handed_at, ts in new.items():
+            self.seen.updateValue((handed_at.to_pydatetime(),), (ts.to_pydatetime(),))
+        newest = max(last, int(pdf["ts"].max().timestamp() * 1000))
+        if newest != last:
+            if last:
+                self.handle.deleteTimer(last + self.keep_ms)
+            self.handle.registerTimer(newest + self.keep_ms)
+        self.facts.update((active, newest))
+        out = pdf[["audio_path", "seq", "handed_at"]].assign(outcome=outcomes)
+        yield out[out["outcome"].notna()]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        self.facts.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_handoffs(events: DataFrame, keep: str = "7 days") -> DataFrame:
+    """``audio_path, seq, handed_at, outcome`` of each hand-off: the first one for a path and time is
+    ``accepted``, or goes as ``active`` while an earlier one of the path is not finished; all later ones for
+    that path and time are ``duplicate``, whatever became of the first.
+
+    ``events``: audio_path, seq, kind (``handoff`` or ``finished``), handed_at, ts; rows of a micro-batch
+    are taken in order of (ts, seq).  What is kept of a path ends when it was quiet for ``keep`` of event
+    time, so a path whose end was lost becomes free.
+    """
+    return events.withWatermark("ts", keep).groupBy("audio_path").transformWithStateInPandas(Handoffs(pd.Timedelta(keep) // pd.Timedelta("1ms")), "audio_path string, seq long, handed_at timestamp, outcome string", "append", "eventTime")
 
 
 def claims(events: DataFrame) -> DataFrame:
@@ -130,14 +240,24 @@ def command_traces_stream(logs: DataFrame, wait: str = "10 minutes") -> DataFram
     return asked.join(done, near, "leftOuter").drop("answered_id")
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote, from a folder that driver and
-    executors share.  In ``complete`` mode each micro-batch replaces the result whole."""
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """The state store that typed state needs, for queries that start inside; a query keeps the one that it
+    started with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Runs a stream in append mode over all that is there now and returns what it wrote, from a folder that
+    driver and executors share."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True)
-    if mode == "complete":
-        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out"))
-    else:
-        writer = writer.format("parquet").option("path", f"{path}/out")
-    writer.start().awaitTermination()
+    with rocksdb_state(spark):
+        query = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{path}/out").start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
