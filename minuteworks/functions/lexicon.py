@@ -76,7 +76,12 @@ TOPIC_STOP_WORDS = (
 MONTHS = {
     "en": ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
     "id": ("Januari", "Februari", "Maret", "April", "Mei", "Juni", "Juli", "Agustus", "September", "Oktober", "November", "Desember"),
+    "de": ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
+    "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
 }
+# Day, month and year, in this order as arguments.
+DATE_SHAPES = {"en": "%2$s %1$s, %3$s", "id": "%1$s %2$s %3$s", "de": "%1$s. %2$s %3$s", "fr": "%1$s %2$s %3$s", "es": "%1$s de %2$s de %3$s"}
 # Warning, and headings of summary, points and follow-ups, of extractive notes.
 EXTRACTIVE_LABELS = {
     "en": (

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minuteworks.functions.text import strip
+from minuteworks.functions.zones import ZONE, with_zone
 
 MAX_ATTEMPTS = 4
 AI_VERSION = 16
@@ -66,10 +67,18 @@ def attempts() -> Column:
 
 
 def validate_manifests(df: DataFrame) -> DataFrame:
-    """``reject_reason``: the first field that makes a manifest unusable, else null."""
-    reason = F.when(F.col("schema_version").isNull() | (F.col("schema_version") != 1), "schema_version")
+    """``reject_reason``: the first field that makes a manifest unusable, else null.
+
+    Version 1 needs a job, an audio path and a status.  Version 2 (columns ``recording_id``, ``directory``,
+    ``language``, ``timezone``; absent ones count as null) needs a language and a time zone, and lies in the
+    directory of its own recording."""
+    have = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string")
+    v1, v2 = F.col("schema_version") == 1, F.col("schema_version") == 2
+    reason = F.when(~F.coalesce(v1 | v2, F.lit(False)), "schema_version")
     for name in ("job_id", "audio_path", "status"):
-        reason = reason.when(blank(F.col(name)), name)
+        reason = reason.when(v1 & blank(have(name)), name)
+    reason = reason.when(v2 & blank(have("recording_id")), "recording_id").when(v2 & (blank(have("language")) | blank(have("timezone"))), "language_or_timezone")
+    reason = reason.when(v2 & have("directory").isNotNull() & (have("directory") != have("recording_id")), "directory")
     return df.withColumn("reject_reason", reason.when(F.col("generation") < 0, "generation"))
 
 
@@ -129,21 +138,37 @@ def plan_reruns(jobs: DataFrame, force: bool = False) -> DataFrame:
     return jobs.withColumns({"plan": plan, "refresh_transcript": refresh}).withColumn("drops_sections", F.col("plan").isin("forced", "upgrade"))
 
 
-def apply_outcomes(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Jobs after one outcome each: ``begin``, ``retry_by_user``, ``pause``, ``failure``, ``finish``
-    or ``accept``; jobs without one are unchanged."""
+#: What a job says that finished with a fallback and no message of its own.
+FALLBACK_NOTICE = "Some transcript sections were kept as they were"
+
+
+def apply_outcomes(jobs: DataFrame, outcomes: DataFrame, now) -> DataFrame:
+    """Jobs after one outcome each: ``begin``, ``retry_by_user``, ``pause``, ``failure``, ``finish``,
+    ``no_speech`` (the transcript is blank: complete, without a note) or ``accept``; jobs without one are
+    unchanged.  A failure leaves its kind and, if it may pass, when it is tried again; all other outcomes
+    clear both."""
     o = F.col("outcome")
     df = jobs.join(outcomes, "job_id", "left")
     attempt = F.when(o == "begin", attempts() + 1).when(o == "retry_by_user", 1).when(o == "pause", F.greatest(F.lit(0), F.coalesce("attempt", F.lit(1)) - 1)).otherwise(F.col("attempt"))
     finished = F.when(F.col("needs_review"), "partial").otherwise("complete")
     prepared = F.when((F.col("source") == "import") & ~F.coalesce("import_prepared", F.lit(True)), "importing").otherwise("transcribing")
-    status = F.when(o == "failure", "failed").when(o == "finish", finished).when(o == "accept", "complete").when(o == "pause", prepared).otherwise(F.col("status"))
+    status = F.when(o == "failure", "failed").when(o == "finish", finished).when(o.isin("accept", "no_speech"), "complete").when(o == "pause", prepared).otherwise(F.col("status"))
     mode = F.when(o == "finish", F.when(F.col("used_fallback"), "extractive-fallback").when(F.col("degraded"), "hybrid").otherwise("ai")).when(o == "accept", "ai").otherwise(F.col("enhancement_mode"))
     version = F.when(o.isin("finish", "accept"), AI_VERSION).otherwise(F.col("ai_pipeline_version"))
     fallback = F.when((o == "finish") & F.col("used_fallback"), 1).when(o == "accept", None).otherwise(F.col("fallback_version"))
-    partial = F.coalesce("outcome_error", F.lit("One or more transcript sections used a lossless fallback"))
-    error = F.when(o == "failure", F.col("outcome_error")).when(o == "finish", F.when(F.col("needs_review"), partial)).when(o.isin("accept", "pause"), None).otherwise(F.col("error"))
-    return df.select("job_id", attempt.cast("int").alias("attempt"), status.alias("status"), mode.alias("enhancement_mode"), version.cast("int").alias("ai_pipeline_version"), fallback.cast("int").alias("fallback_version"), error.alias("error"))
+    partial = F.coalesce("outcome_error", F.lit(FALLBACK_NOTICE))
+    error = F.when(o == "failure", F.col("outcome_error")).when(o == "finish", F.when(F.col("needs_review"), partial)).when(o.isin("accept", "pause", "no_speech"), None).otherwise(F.col("error"))
+    tried = F.coalesce("attempt", F.lit(1))
+    new_kind = F.when((tried < MAX_ATTEMPTS) & is_transient(F.col("outcome_error")), "retryable").otherwise("terminal")
+    kind = F.when(o == "failure", new_kind).when(o.isNull(), F.col("failure_kind"))
+    later = F.lit(now) + F.make_dt_interval(mins=F.least(F.pow(F.lit(2), F.greatest(F.lit(0), tried - 1)), F.lit(16)).cast("int"))
+    next_at = F.when((o == "failure") & (new_kind == "retryable"), later).when(o.isNull(), F.col("next_attempt_at"))
+    silent = o == "no_speech"
+    heard = F.when(silent, F.lit(TRANSCRIPTION_VERSION)).otherwise(F.col("transcription_pipeline_version"))
+    return df.select(
+        "job_id", attempt.cast("int").alias("attempt"), status.alias("status"), mode.alias("enhancement_mode"), version.cast("int").alias("ai_pipeline_version"), fallback.cast("int").alias("fallback_version"), error.alias("error"),
+        kind.alias("failure_kind"), next_at.alias("next_attempt_at"), F.when(silent, "").otherwise(F.col("transcript")).alias("transcript"), heard.cast("int").alias("transcription_pipeline_version"),
+    )
 
 
 def note_routes(notes: DataFrame, jobs: DataFrame, recording_tag: str = "recording") -> DataFrame:
@@ -219,14 +244,11 @@ def import_contexts(df: DataFrame) -> DataFrame:
     """``recorded_at`` (UTC) of a local time ``YYYY-MM-DDTHH:MM`` in the row's zone, or ``error``.
     Times that do not exist, by the calendar or the zone's clock, are rejected; unknown zones too."""
     local = F.try_to_timestamp("local_time", F.lit("yyyy-MM-dd'T'HH:mm"))
-    zone = F.when(F.col("timezone").isin(*ZONES) | F.col("timezone").rlike(r"^[A-Z][A-Za-z_]+/[A-Za-z_]+$"), F.col("timezone"))
+    df, zone = with_zone(df, F.col("timezone"))
     utc = F.to_utc_timestamp(local, zone)
     shape = F.col("local_time").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d$")
     error = F.when(~shape | local.isNull(), "local_time").when(zone.isNull(), "timezone").when(F.from_utc_timestamp(utc, zone) != local, "local_time")
-    return df.withColumns({"error": error, "recorded_at": F.when(error.isNull(), utc)})
-
-
-ZONES = ("UTC", "GMT")
+    return df.withColumns({"error": error, "recorded_at": F.when(error.isNull(), utc)}).drop(ZONE)
 
 
 def enqueue_imports(jobs: DataFrame, requests: DataFrame) -> DataFrame:
@@ -241,28 +263,45 @@ def enqueue_imports(jobs: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def apply_generations(current: DataFrame, writes: DataFrame) -> DataFrame:
-    """Writes in order of ``seq`` against stored generations: one whose ``expected`` equals the stored
-    generation (0 if new) is accepted and raises it by one; others are conflicts.
+    """``job_id, seq, outcome`` of writes in order of ``seq`` against stored generations (``current``: job_id,
+    generation; a job without a row is absent, which is not the same as generation 0).
+
+    Version 1: the first write of an absent job has to expect 0 and stores 0; every other one has to expect
+    what is stored and raises it by one; a missing ``expected`` is 0; the rest are ``conflict``.  Version 2
+    (column ``version``, with ``next``, the generation that is written): a write to an absent job is
+    ``missing``, and one whose next is not its expected plus one is ``invalid``.
 
     Each accepted write needs its predecessor accepted, so a job's writes are one row, walked once.
     """
 
-    @F.pandas_udf("array<boolean>")
-    def accepted(expected: pd.Series, start: pd.Series) -> pd.Series:
-        return pd.Series([in_turn(e, g) for e, g in zip(expected, start)], dtype=object)
+    @F.pandas_udf("array<string>")
+    def walked(expected: pd.Series, following: pd.Series, version: pd.Series, stored: pd.Series) -> pd.Series:
+        return pd.Series([in_turn(*row) for row in zip(expected, following, version, stored)], dtype=object)
+
+    have = lambda name, default: F.coalesce(F.col(name), default) if name in writes.columns else default
+    one = F.struct("seq", F.coalesce("expected", F.lit(0)).cast("long").alias("expected"), have("next", F.lit(-1)).cast("long").alias("next"), have("version", F.lit(1)).cast("int").alias("version"))
+    w = writes.groupBy("job_id").agg(F.sort_array(F.collect_list(one)).alias("w"))
+    rows = w.join(current.select("job_id", F.col("generation").cast("long").alias("stored")), "job_id", "left")
+    every = lambda name: F.transform("w", lambda x: x[name])
+    rows = rows.select("job_id", every("seq").alias("seq"), walked(every("expected"), every("next"), every("version"), F.coalesce("stored", F.lit(ABSENT))).alias("outcome"))
+    return rows.select("job_id", F.explode(F.arrays_zip("seq", "outcome")).alias("x")).select("job_id", "x.seq", "x.outcome")
+
 
-    w = writes.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("seq", "expected"))).alias("w"))
-    rows = w.join(current.select("job_id", "generation"), "job_id", "left")
-    start = F.coalesce("generation", F.lit(0)).cast("long")
-    rows = rows.select("job_id", F.transform("w", lambda x: x["seq"]).alias("seq"), accepted(F.transform("w", lambda x: F.coalesce(x["expected"], F.lit(-1))), start).alias("ok"))
-    return rows.select("job_id", F.explode(F.arrays_zip("seq", "ok")).alias("x")).select("job_id", "x.seq", F.when(F.col("x.ok"), "accepted").otherwise("conflict").alias("outcome"))
+ABSENT = -1  # stands for a job that is not stored, as generations are never negative
 
 
-def in_turn(expected, generation: int) -> list[bool]:
+def in_turn(expected, following, version, stored: int) -> list[str]:
     out = []
-    for e in expected:
-        out.append(bool(e == generation))
-        generation += out[-1]
+    for e, n, v in zip(expected, following, version):
+        if v == 2 and stored == ABSENT:
+            out.append("missing")
+        elif e != max(stored, 0):
+            out.append("conflict")
+        elif v == 2 and n != e + 1:
+            out.append("invalid")
+        else:
+            out.append("accepted")
+            stored += 1
     return out
 
 

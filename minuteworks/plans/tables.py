@@ -117,8 +117,19 @@ MINUTES = f"CASE WHEN {KIND} = 'retryable' THEN least(power(2, greatest(0, coale
 RECOVER = f"""coalesce(attempt, 0) < 4 AND status NOT IN ('complete', 'partial') AND CASE WHEN status = 'failed' THEN coalesce({KIND} = 'retryable', false) AND (next_attempt_at IS NULL OR next_attempt_at <= {NOW_SQL})
     ELSE repairing_fallback OR upgrading_ai OR status IN ('importing', 'transcribing', 'extracting', 'synthesizing', 'saving') END"""
 query("j1_validate_manifests", "manifests", """
-    SELECT job_id, CASE WHEN generation % 13 = 0 THEN 'schema_version' WHEN generation % 13 = 1 THEN 'audio_path' WHEN generation % 13 = 2 THEN 'generation' END AS reject_reason FROM manifests
-""")(lambda m: J.validate_manifests(m.withColumns({"schema_version": F.when(F.col("generation") % 13 != 0, 1), "audio_path": F.when(F.col("generation") % 13 == 1, " ").otherwise(F.col("audio_path")), "generation": F.when(F.col("generation") % 13 == 2, -1).otherwise(F.col("generation"))})).select("job_id", "reject_reason"))
+    SELECT job_id, v AS schema_version, CASE WHEN coalesce(v, 0) NOT IN (1, 2) THEN 'schema_version'
+        WHEN v = 1 AND trim(coalesce(job_id, '')) = '' THEN 'job_id' WHEN v = 1 AND trim(coalesce(CASE WHEN attempt IS NULL THEN transcript ELSE audio_path END, '')) = '' THEN 'audio_path' WHEN v = 1 AND trim(coalesce(status, '')) = '' THEN 'status'
+        WHEN v = 2 AND trim(coalesce(owner, '')) = '' THEN 'recording_id' WHEN v = 2 AND (trim(coalesce(enhancement_mode, '')) = '' OR trim(coalesce(transcript, '')) = '') THEN 'language_or_timezone'
+        WHEN v = 2 AND right(job_id, 1) <> right(owner, 1) THEN 'directory' WHEN coalesce(fallback_version, 1) - 1 < 0 THEN 'generation' END AS reject_reason
+    FROM (SELECT *, CASE WHEN saved_note_id IS NOT NULL THEN transcription_pipeline_version END AS v FROM manifests)
+""")(
+    lambda m: J.validate_manifests(
+        m.select(
+            "job_id", F.when(F.col("saved_note_id").isNotNull(), F.col("transcription_pipeline_version")).alias("schema_version"), F.when(F.col("attempt").isNull(), F.col("transcript")).otherwise(F.col("audio_path")).alias("audio_path"), "status",
+            F.col("owner").alias("recording_id"), F.col("enhancement_mode").alias("language"), F.col("transcript").alias("timezone"), F.concat(F.lit("owner-"), F.substring("job_id", -1, 1)).alias("directory"), (F.coalesce("fallback_version", F.lit(1)) - 1).alias("generation"),
+        )
+    ).select("job_id", "schema_version", "reject_reason")
+)
 query("j2_failure_class", "manifests", f"SELECT job_id, {KIND} AS failure_kind FROM manifests")(lambda m: J.classify_failures(m).select("job_id", "failure_kind"))
 query("j3_next_attempt", "manifests", f"SELECT job_id, CAST({MINUTES} AS INT) AS retry_minutes, {NOW_SQL} + to_minutes(CAST({MINUTES} AS INT)) AS retry_at, CAST(least(2 * power(2, coalesce(attempt, 0)), 60) AS INT) AS upload_backoff_s FROM manifests")(
     lambda m: J.schedule_retries(m, NOW).select("job_id", "retry_minutes", F.col("retry_at").cast("timestamp_ntz").alias("retry_at"), "upload_backoff_s")
@@ -134,21 +145,28 @@ query("j6_rerun_plan", "manifests", """
 
 
 def outcomes_of(m):
-    kinds = F.array(*[F.lit(k) for k in ("begin", "retry_by_user", "pause", "failure", "finish", "accept")])
+    """An outcome for most jobs; the message is the one that the job has already."""
+    kinds = F.array(*[F.lit(k) for k in ("begin", "retry_by_user", "pause", "failure", "finish", "accept", "no_speech")])
     e = F.substring("job_id", 5, 20).cast("long")
-    return m.where(e % 7 < 6).select("job_id", F.element_at(kinds, (e % 7 + 1).cast("int")).alias("outcome"), (e % 2 == 0).alias("needs_review"), (e % 3 == 0).alias("used_fallback"), (e % 5 == 0).alias("degraded"), F.when(e % 4 != 0, "stage failed").alias("outcome_error"))
+    return m.where(e % 11 < 7).select("job_id", F.element_at(kinds, (e % 11 + 1).cast("int")).alias("outcome"), (e % 2 == 0).alias("needs_review"), (e % 3 == 0).alias("used_fallback"), (e % 5 == 0).alias("degraded"), F.when(e % 4 != 0, F.coalesce("error", F.col("source"))).alias("outcome_error"))
 
 
-query("j7_apply_outcomes", "manifests", """
+query("j7_apply_outcomes", "manifests", f"""
+    WITH m AS (SELECT *, CAST(substr(job_id, 5) AS BIGINT) AS e, CAST(substr(job_id, 5) AS BIGINT) % 11 AS o, generation % 3 <> 0 AS prepared FROM manifests),
+    said AS (SELECT *, CASE WHEN e % 4 <> 0 THEN coalesce(error, source) END AS message FROM m),
+    kinds AS (SELECT *, {TRANSIENT_SQL.replace("error", "message")} AND coalesce(attempt, 1) < 4 AS passes FROM said)
     SELECT job_id,
       CAST(CASE o WHEN 0 THEN coalesce(attempt, 0) + 1 WHEN 1 THEN 1 WHEN 2 THEN greatest(0, coalesce(attempt, 1) - 1) ELSE attempt END AS INT) AS attempt,
-      CASE o WHEN 3 THEN 'failed' WHEN 4 THEN CASE WHEN e % 2 = 0 THEN 'partial' ELSE 'complete' END WHEN 5 THEN 'complete' WHEN 2 THEN 'transcribing' ELSE status END AS status,
+      CASE o WHEN 3 THEN 'failed' WHEN 4 THEN CASE WHEN e % 2 = 0 THEN 'partial' ELSE 'complete' END WHEN 5 THEN 'complete' WHEN 6 THEN 'complete' WHEN 2 THEN CASE WHEN source = 'import' AND NOT prepared THEN 'importing' ELSE 'transcribing' END ELSE status END AS status,
       CASE o WHEN 4 THEN CASE WHEN e % 3 = 0 THEN 'extractive-fallback' WHEN e % 5 = 0 THEN 'hybrid' ELSE 'ai' END WHEN 5 THEN 'ai' ELSE enhancement_mode END AS enhancement_mode,
       CAST(CASE WHEN o IN (4, 5) THEN 16 ELSE ai_pipeline_version END AS INT) AS ai_pipeline_version,
       CAST(CASE WHEN o = 4 AND e % 3 = 0 THEN 1 WHEN o = 5 THEN NULL ELSE fallback_version END AS INT) AS fallback_version,
-      CASE WHEN o = 3 THEN CASE WHEN e % 4 <> 0 THEN 'stage failed' END WHEN o = 4 THEN CASE WHEN e % 2 = 0 THEN CASE WHEN e % 4 <> 0 THEN 'stage failed' ELSE 'One or more transcript sections used a lossless fallback' END END WHEN o IN (2, 5) THEN NULL ELSE error END AS error
-    FROM (SELECT *, CAST(substr(job_id, 5) AS BIGINT) AS e, CAST(substr(job_id, 5) AS BIGINT) % 7 AS o FROM manifests)
-""")(lambda m: J.apply_outcomes(m.withColumn("import_prepared", F.lit(True)), outcomes_of(m)))
+      CASE WHEN o = 3 THEN message WHEN o = 4 THEN CASE WHEN e % 2 = 0 THEN coalesce(message, '{J.FALLBACK_NOTICE}') END WHEN o IN (2, 5, 6) THEN NULL ELSE error END AS error,
+      CASE WHEN o = 3 THEN CASE WHEN passes THEN 'retryable' ELSE 'terminal' END WHEN o >= 7 THEN {KIND} END AS failure_kind,
+      CASE WHEN o = 3 AND passes THEN {NOW_SQL} + to_minutes(CAST(least(power(2, greatest(0, coalesce(attempt, 1) - 1)), 16) AS INT)) WHEN o >= 7 THEN next_attempt_at END AS next_attempt_at,
+      CASE WHEN o = 6 THEN '' ELSE transcript END AS transcript, CAST(CASE WHEN o = 6 THEN 3 ELSE transcription_pipeline_version END AS INT) AS transcription_pipeline_version
+    FROM kinds
+""")(lambda m: J.apply_outcomes(J.classify_failures(m).withColumn("import_prepared", F.col("generation") % 3 != 0), outcomes_of(m), NOW).withColumn("next_attempt_at", F.col("next_attempt_at").cast("timestamp_ntz")))
 query("j8_note_routes", "notes manifests", """
     SELECT n.id AS note_id, CASE WHEN s.job_id IS NOT NULL THEN 'recording' WHEN a.job_id IS NOT NULL THEN 'retry_processing' WHEN n.id % 3 = 0 THEN 'missing_recording_source' ELSE 'note' END AS route, coalesce(s.job_id, a.job_id) AS job_id
     FROM notes n
@@ -162,10 +180,31 @@ query("j10_illegal_transitions", "state_log", f"""
     SELECT recording_id, generation, f AS from_state, state AS to_state FROM (SELECT *, lag(state) OVER (PARTITION BY recording_id ORDER BY generation) AS f FROM state_log)
     WHERE f <> state AND (f || '>' || state) NOT IN ({", ".join(f"'{a}>{b}'" for a, b in J.TRANSITIONS)})
 """)(J.illegal_transitions)
+def generation_writes(m):
+    """A write for each event of a path: what it expects, what it writes, and by which rule."""
+    path = F.col("audio_path").cast("long")
+    expected = F.when(F.col("attempt").isNotNull(), F.floor(F.col("generation") / 2) + F.col("attempt") % 2)
+    return m.select(F.col("audio_path").alias("job_id"), F.col("generation").alias("seq"), expected.alias("expected"), (F.coalesce(expected, F.lit(0)) + F.when(F.col("saved_note_id").isNull(), 2).otherwise(1)).alias("next"), (path % 2 + 1).alias("version"))
+
+
+def stored_generations(m):
+    """Two in three paths are stored already, by generations 0 to 2; the others are new."""
+    path = F.col("audio_path").cast("long")
+    return m.select(F.col("audio_path").alias("job_id"), (path % 5 % 3).alias("generation")).where(path % 3 != 0).distinct()
+
+
 query("j11_generations", "manifests", """
-    WITH w AS (SELECT audio_path AS job_id, generation AS seq, CASE WHEN generation % 4 = 3 THEN 0 ELSE 2 + generation - (generation + 1) // 4 END AS expected FROM manifests)
-    SELECT job_id, seq, CASE WHEN expected = 2 + seq - (seq + 1) // 4 AND seq % 4 <> 3 THEN 'accepted' ELSE 'conflict' END AS outcome FROM w
-""")(lambda m: J.apply_generations(m.select(F.col("audio_path").alias("job_id"), F.lit(2).alias("generation")).distinct(), m.select(F.col("audio_path").alias("job_id"), F.col("generation").alias("seq"), F.when(F.col("generation") % 4 == 3, 0).otherwise(2 + F.col("generation") - F.floor((F.col("generation") + 1) / 4)).alias("expected"))))
+    WITH w AS (
+      SELECT audio_path AS job_id, generation AS seq, CAST(audio_path AS BIGINT) AS p, coalesce(CASE WHEN attempt IS NOT NULL THEN generation // 2 + attempt % 2 END, 0) AS expected,
+             CASE WHEN saved_note_id IS NULL THEN 2 ELSE 1 END AS step FROM manifests
+    ), walked AS (
+      SELECT job_id, list_reduce(list_prepend({'stored': CASE WHEN p % 3 <> 0 THEN p % 5 % 3 ELSE -1 END, 'expected': 0::BIGINT, 'step': 0, 'version': 0::BIGINT, 'out': ''}, l), lambda a, x: {
+        'stored': a.stored + CASE WHEN x.version = 2 AND a.stored < 0 OR x.expected <> greatest(a.stored, 0) OR x.version = 2 AND x.step <> 1 THEN 0 ELSE 1 END, 'expected': 0::BIGINT, 'step': 0, 'version': 0::BIGINT,
+        'out': a.out || x.out || ':' || CASE WHEN x.version = 2 AND a.stored < 0 THEN 'missing' WHEN x.expected <> greatest(a.stored, 0) THEN 'conflict' WHEN x.version = 2 AND x.step <> 1 THEN 'invalid' ELSE 'accepted' END || ','}).out AS o
+      FROM (SELECT job_id, p, list({'stored': 0::BIGINT, 'expected': expected, 'step': step, 'version': p % 2 + 1, 'out': CAST(seq AS VARCHAR)} ORDER BY seq) AS l FROM w GROUP BY job_id, p)
+    )
+    SELECT job_id, CAST(split_part(x, ':', 1) AS BIGINT) AS seq, split_part(x, ':', 2) AS outcome FROM (SELECT job_id, unnest(string_split(rtrim(o, ','), ',')) AS x FROM walked)
+""")(lambda m: J.apply_generations(stored_generations(m), generation_writes(m)))
 query("j12_stage_timings", "manifests", """
     SELECT stage, status, enhancement_mode, count(*) AS n, avg(ms) AS mean_ms, quantile_cont(ms, 0.5) AS p50_ms, quantile_cont(ms, 0.95) AS p95_ms, max(ms) AS max_ms
     FROM (SELECT 'transcribe' AS stage, status, enhancement_mode, value_ms AS ms FROM manifests UNION ALL SELECT 'save', status, enhancement_mode, value_ms * 2 FROM manifests) GROUP BY ALL
@@ -181,10 +220,17 @@ query("j5_reset_imports", "manifests", f"""
     SELECT job_id, r AS reset, CASE WHEN r THEN CASE WHEN generation % 3 = 0 THEN 'importing' ELSE 'transcribing' END ELSE status END AS status, CASE WHEN r THEN 0 ELSE attempt END AS attempt, CASE WHEN r THEN NULL ELSE error END AS error
     FROM (SELECT *, source = 'import' AND (status = 'failed' OR coalesce(attempt, 0) >= {J.MAX_ATTEMPTS} AND status IN ({", ".join(f"'{s}'" for s in J.IN_FLIGHT)})) AS r FROM manifests)
 """)(lambda m: J.reset_imports(m.withColumn("import_prepared", F.col("generation") % 3 != 0)).select("job_id", "reset", "status", "attempt", "error"))
-query("j14_import_times", "notes", """
-    SELECT id, CASE WHEN id % 5 = 0 THEN 'local_time' WHEN id % 7 = 0 THEN 'timezone' WHEN id % 11 = 0 THEN 'local_time' END AS error,
-           CASE WHEN id % 5 = 0 OR id % 7 = 0 OR id % 11 = 0 THEN NULL ELSE (strftime(created_at, '%Y-%m-%d %H:%M:00')::TIMESTAMP AT TIME ZONE 'Asia/Jakarta') AT TIME ZONE 'UTC' END AS recorded_at FROM notes
-""")(lambda n: J.import_contexts(n.select("id", F.when(F.col("id") % 5 == 0, "soon").when((F.col("id") % 11 == 0) & (F.col("id") % 7 != 0), "2024-02-30T10:00").otherwise(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm")).alias("local_time"), F.when(F.col("id") % 7 == 0, "Nowhere").otherwise("Asia/Jakarta").alias("timezone"))).select("id", "error", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at")))
+#: Zones of two and three parts, without a slash, in lower case, and unknown ones.
+SOME_ZONES = ("Asia/Jakarta", "America/Argentina/Buenos_Aires", "Etc/GMT+5", "UTC", "america/new_york", "Mars/Phobos", "Nowhere", "Europe/Berlin", "", "Pacific/Port_Moresby")
+SOME_ZONES_SQL = "[" + ", ".join(f"'{z}'" for z in SOME_ZONES) + "][(id % 10 + 1)::INT]"
+query("j14_import_times", "notes", f"""
+    WITH z AS (SELECT id, CASE WHEN id % 13 = 5 THEN 'soon' WHEN id % 13 = 7 THEN '2024-02-30T10:00' WHEN id % 13 = 8 THEN '2024-3-05T10:00' ELSE strftime(created_at, '%Y-%m-%dT%H:%M') END AS t, {SOME_ZONES_SQL} AS zone FROM notes),
+    c AS (SELECT *, try_strptime(t, '%Y-%m-%dT%H:%M') AS local, (SELECT min(name) FROM pg_timezone_names() n WHERE lower(n.name) = lower(z.zone)) AS known FROM z)
+    SELECT id, CASE WHEN NOT regexp_full_match(t, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d') OR local IS NULL THEN 'local_time' WHEN known IS NULL THEN 'timezone' WHEN (local AT TIME ZONE known) AT TIME ZONE known <> local THEN 'local_time' END AS error,
+           CASE WHEN regexp_full_match(t, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d') AND (local AT TIME ZONE known) AT TIME ZONE known = local THEN (local AT TIME ZONE known) AT TIME ZONE 'UTC' END AS recorded_at FROM c
+""")(
+    lambda n: J.import_contexts(n.select("id", F.when(F.col("id") % 13 == 5, "soon").when(F.col("id") % 13 == 7, "2024-02-30T10:00").when(F.col("id") % 13 == 8, "2024-3-05T10:00").otherwise(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm")).alias("local_time"), F.element_at(F.array(*map(F.lit, SOME_ZONES)), (F.col("id") % 10 + 1).cast("int")).alias("timezone"))).select("id", "error", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"))
+)
 query("j15_enqueue_imports", "manifests account_requests", """
     SELECT r.request_id, CASE WHEN h.audio_path IS NULL THEN CASE WHEN r.request_id = min(r.request_id) OVER (PARTITION BY r.audio_path) THEN 'insert' ELSE 'duplicate' END WHEN h.owner IS NOT DISTINCT FROM r.owner AND h.source = 'import' THEN 'existing' ELSE 'rejected' END AS action
     FROM (SELECT request_id, CAST(request_id % 400 AS VARCHAR) AS audio_path, 'owner-' || (request_id % 5) AS owner FROM account_requests) r

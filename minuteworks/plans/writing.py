@@ -168,13 +168,24 @@ on_documents("g15_titles_and_expansion", f"""
     "note_id", F.when(F.col("note_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 50)).alias("source"),
     F.when(F.col("note_id") % 2 == 0, F.concat(F.lit("# "), F.regexp_replace(F.substring("text", 1, 60), r"\s+", " "), F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("generated"), F.lit(False).alias("is_truncated"), (F.col("note_id") % 2 == 0).alias("require_title"),
 )).where("code IN ('weak_title', 'excessive_expansion')"))
+#: Recorded at this time, which is another day in some zones; unknown ones count as UTC.
+TITLE_ZONES = ("Asia/Jakarta", "America/Argentina/Buenos_Aires", "Mars/Phobos", "Etc/GMT+5", "UTC")
+DAYS_SQL = "[6, 5, 5, 5, 5][(note_id % 5 + 1)::INT]"
+TITLE_LANGUAGES = ("en", "id", "de", "fr", "es", "pt")
+DATE_SQL = f"replace(['March @, 2024', '@ Maret 2024', '@. März 2024', '@ mars 2024', '@ de marzo de 2024', 'March @, 2024'][(note_id % 6 + 1)::INT], '@', {DAYS_SQL}::VARCHAR)"
 on_documents("g21_derive_titles", f"""
     SELECT note_id, final_title, md5(CASE WHEN t = '' THEN '# ' || final_title || chr(10) || chr(10) || '# ' || chr(10) || chr(10) || 'body' ELSE '# ' || final_title || chr(10) || chr(10) || 'body' END) AS text_md5 FROM (
-      SELECT note_id, t, CASE WHEN useful THEN trim(replace(t, '**', '')) WHEN note_id % 2 = 0 THEN 'Catatan Rekaman' ELSE 'Recording Notes' END || ' — ' || CASE WHEN note_id % 2 = 0 THEN '5 Maret 2024' ELSE 'March 5, 2024' END AS final_title
+      SELECT note_id, t, CASE WHEN useful THEN trim(replace(t, '**', '')) WHEN note_id % 6 = 1 THEN 'Catatan Rekaman' ELSE 'Recording Notes' END || ' — ' || {DATE_SQL} AS final_title
       FROM ({USEFUL}) JOIN (SELECT doc_id AS note_id, trim(regexp_replace(substring(text, 1, 60), '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL) USING (note_id))
 """)(
-    lambda d: D.derive_titles(note(d.where("text IS NOT NULL")).select("note_id", F.concat(F.lit("# "), F.trim(F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")), F.lit("\n\nbody")).alias("markdown"), F.col("text").alias("transcript"), F.lit("Fallback").alias("fallback"), F.lit(None).cast("timestamp").alias("given_at"), F.lit(None).cast("timestamp").alias("manifest_at"), F.lit("C:\\a\\recording-2024-03-05T10-20-30-000Z.mp3").alias("path"), F.lit(None).cast("timestamp").alias("created_at"), F.lit("UTC").alias("timezone"), F.when(F.col("note_id") % 2 == 0, "id").otherwise("en").alias("language"))).select("note_id", "final_title", F.md5("markdown").alias("text_md5"))
-)
+    lambda d: D.derive_titles(
+        note(d.where("text IS NOT NULL")).select(
+            "note_id", F.concat(F.lit("# "), F.trim(F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")), F.lit("\n\nbody")).alias("markdown"), F.col("text").alias("transcript"), F.lit("Fallback").alias("fallback"), F.lit(None).cast("timestamp").alias("given_at"),
+            F.to_timestamp(F.lit("2024-03-05T20:20:30Z")).alias("manifest_at"), F.lit("C:\\a\\recording-2024-03-09T10-20-30-000Z.mp3").alias("path"), F.lit(None).cast("timestamp").alias("created_at"),
+            F.element_at(F.array(*map(F.lit, TITLE_ZONES)), (F.col("note_id") % 5 + 1).cast("int")).alias("timezone"), F.element_at(F.array(*map(F.lit, TITLE_LANGUAGES)), (F.col("note_id") % 6 + 1).cast("int")).alias("language"),
+        )
+    ).select("note_id", "final_title", F.md5("markdown").alias("text_md5"))
+)
 
 
 def anchors_sql(text: str) -> str:
