@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from minuteworks.functions import lexicon as L
 from minuteworks.functions.text import contains_any, let, normalized_words, occurrences, starts_with_any, strip, words
+from minuteworks.sources.scratch import written
 
 # ---- cleaning -----------------------------------------------------------------------------
 
@@ -91,42 +95,166 @@ def seam(tail: list[str], head: list[str]) -> int:
     return 0
 
 
-def stitch(parts: DataFrame) -> DataFrame:
-    """``recording_id, transcript``: parts in the order of chunks, without the words that a part
-    repeats from the end of what stands before it.  Recordings of blank parts only give ``''``.
+#: Chunks of a recording that one stretch of rows holds, and words of a part that leave 40 whatever is cut.
+BLOCK, LONG_PART = 64, 2 * LONGEST_SEAM
 
-    A recording is one group in one task; only the last 40 words are carried from part to part.
-    """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[str] = []
-        tail: list[str] = []
-        for text in group.sort_values(["chunk_index", "text"], kind="stable")["text"]:
+def joined(tail: list[str], new: list[str]) -> tuple[int, list[str]]:
+    """Words of a part that repeat what stands before it, and the normalised end of both together."""
+    k = seam(tail, [plain(w) for w in new[:LONGEST_SEAM]])
+    rest = [plain(w) for w in new[max(k, len(new) - LONGEST_SEAM) :]]
+    return k, (tail + rest)[-LONGEST_SEAM:]
+
+
+def fold_blocks(batches, kind: pa.DataType, most: int = 1_000_000):
+    """Sorted rows of ``recording_id, block, chunk_index, text``: the text of each block without repeated
+    words.  What comes before a later block is not known here, so its parts are ``open`` until one of 80
+    words, after which 40 words stand whatever was cut; the end of a block with known words is its ``tail``."""
+    now, tail, seq, held, size, out = None, None, 0, [], 0, []
+
+    def flush():
+        nonlocal held, size, seq
+        if held:
+            out.append((*now, seq, "kept", " ".join(held), None))
+            held, size, seq = [], 0, seq + 1
+
+    def end():
+        flush()
+        if now is not None and tail is not None:
+            out.append((*now, seq, "tail", None, tail))
+
+    def batch():
+        types = [kind, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
+        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(types)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["recording_id", "block", "seq", "kind", "text", "tail"])
+
+    for rows in batches:
+        for recording, block, text in zip(*(rows.column(k).to_pylist() for k in (0, 1, 3))):
+            if (recording, block) != now:
+                end()
+                now, tail, seq = (recording, block), [] if block == 0 else None, 0
+                out.append((*now, -1, "kept", "", None))  # a recording of blank parts has a row too
             new = (text or "").split()
             if not new:
                 continue
-            plain_new = [plain(w) for w in new]
-            k = seam(tail, plain_new)
-            out += new[k:]
-            tail = (tail + plain_new[k:])[-LONGEST_SEAM:]
-        return pd.DataFrame({"recording_id": [group["recording_id"].iloc[0]], "transcript": [" ".join(out)]})
-
-    schema = f"recording_id {dict(parts.dtypes)['recording_id']}, transcript string"
-    return parts.select("recording_id", "chunk_index", "text").groupBy("recording_id").applyInPandas(fold, schema)
-
-
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or ``most + 1`` if it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+            if tail is None:
+                out.append((*now, seq, "open", " ".join(new), None))
+                seq += 1
+                tail = [plain(w) for w in new[-LONGEST_SEAM:]] if len(new) >= LONG_PART else None
+                continue
+            k, tail = joined(tail, new)
+            held += new[k:]
+            size += sum(map(len, new[k:]))
+            if size > most:
+                flush()
+        if out:
+            yield batch()
+    end()
+    if out:
+        yield batch()
+
+
+def stitch(parts: DataFrame, prepare=None) -> DataFrame:
+    """``recording_id, transcript``: parts in the order of chunks, without the words that a part
+    repeats from the end of what stands before it.  Recordings of blank parts only give ``''``.
+
+    Blocks of 64 chunks are folded in parallel, whatever recording they belong to.  The first parts of a
+    block, up to one of 80 words, wait for the end of the block before: these few and the ends are folded
+    for each recording, and one ordered concatenation follows.  Where all parts of a long recording are
+    shorter than 80 words, all of them wait.  ``prepare`` is applied to each text after the shuffle.
+    """
+    kind = dict(parts.dtypes)["recording_id"]
+    block = F.greatest(F.coalesce(F.floor(F.col("chunk_index") / BLOCK), F.lit(0)), F.lit(0)).cast("long")
+    rows = parts.select("recording_id", block.alias("block"), "chunk_index", "text").repartition("recording_id", "block").sortWithinPartitions("recording_id", "block", "chunk_index", "text")
+    if prepare is not None:
+        rows = rows.withColumn("text", prepare(F.col("text")))
+    arrow = to_arrow_type(parts.schema["recording_id"].dataType)
+    schema = f"recording_id {kind}, block long, seq long, kind string, text string, tail array<string>"
+    folded = written(rows.mapInArrow(lambda batches: fold_blocks(batches, arrow), schema), "stitched")
+
+    def resolve(group: pd.DataFrame) -> pd.DataFrame:
+        tail, texts = [], []
+        group = group.sort_values(["block", "seq"], kind="stable")
+        for kind, text, after in zip(group["kind"], group["text"], group["tail"]):
+            if kind == "tail":
+                tail = list(after)
+                texts.append(None)
+            else:
+                new = text.split()
+                k, tail = joined(tail, new)
+                texts.append(" ".join(new[k:]))
+        return group.assign(text=texts)[group["kind"] == "open"][["recording_id", "block", "seq", "text"]]
+
+    waiting = folded.where("kind IN ('open', 'tail')")
+    later = waiting.where("kind = 'open'").select("recording_id").distinct()
+    resolved = waiting.join(later, "recording_id", "left_semi").groupBy("recording_id").applyInPandas(resolve, f"recording_id {kind}, block long, seq long, text string")
+    every = folded.where("kind = 'kept'").select("recording_id", "block", "seq", "text").unionByName(resolved)
+    ordered = F.sort_array(F.collect_list(F.struct("block", "seq", "text")))
+    texts = F.filter(F.transform(ordered, lambda p: p["text"]), lambda t: t != "")
+    return every.groupBy("recording_id").agg(F.array_join(texts, " ").alias("transcript"))
+
+
+def near_windows(windows: list[str], target: str, most: int) -> np.ndarray:
+    """Whether each window is within ``most`` edits of ``target``: bit-parallel rows of the distance table,
+    a bit for each character of the target, for all windows at once.
+
+    Targets of more than 64 characters use Python's long integers, window by window."""
+    m = len(target)
+    near = np.zeros(len(windows), bool)
+    fit = [k for k, w in enumerate(windows) if abs(len(w) - m) <= most]
+    if m == 0:
+        near[fit] = True
+        return near
+    if m > 64:
+        for k in fit:
+            near[k] = long_distance(windows[k], target) <= most
+        return near
+    fit.sort(key=lambda k: -len(windows[k]))
+    size = np.array([len(windows[k]) for k in fit])
+    if not len(size):
+        return near
+    letters = {c: i + 1 for i, c in enumerate(dict.fromkeys(target))}
+    places = np.zeros(len(letters) + 1, np.uint64)
+    for at, c in enumerate(target):
+        places[letters[c]] |= np.uint64(1 << at)
+    codes = np.zeros((size[0] if len(size) else 0, len(fit)), np.intp)
+    for column, k in enumerate(fit):
+        codes[: len(windows[k]), column] = [letters.get(c, 0) for c in windows[k]]
+    one, top = np.uint64(1), np.uint64(m - 1)
+    up = np.full(len(fit), np.iinfo(np.uint64).max)
+    down = np.zeros(len(fit), np.uint64)
+    score = np.full(len(fit), m)
+    for step, row in enumerate(codes):
+        n = int(np.count_nonzero(size > step))  # windows are longest first
+        p, q, eq = up[:n], down[:n], places[row[:n]]
+        x = eq | q
+        h = (((eq & p) + p) ^ p) | eq
+        more, less = q | ~(h | p), p & h
+        score[:n] += (more >> top & one).astype(np.int64) - (less >> top & one).astype(np.int64)
+        more, less = more << one | one, less << one
+        up[:n], down[:n] = less | ~(x | more), more & x
+    near[fit] = score <= most
+    return near
+
+
+def long_distance(text: str, target: str) -> int:
+    """The edit distance, by the same rows as integers of any length."""
+    m = len(target)
+    every, top = (1 << m) - 1, 1 << (m - 1)
+    places: dict[str, int] = {}
+    for at, c in enumerate(target):
+        places[c] = places.get(c, 0) | 1 << at
+    up, down, score = every, 0, m
+    for c in text:
+        eq = places.get(c, 0)
+        x = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | ~(h | up) & every, up & h
+        score += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        up, down = less | ~(x | more) & every, more & x
+    return score
 
 
 def restore_terms(mixed: str, microphone: str, terms) -> str:
@@ -134,18 +262,19 @@ def restore_terms(mixed: str, microphone: str, terms) -> str:
     longest first, put in place of the first near window, its closing punctuation kept."""
     heard = " ".join(map(plain, microphone.split()))
     tokens = mixed.split()
+    flat = [plain(t) for t in tokens]
     for term in sorted((t.strip() for t in terms if len(t.split()) >= 2), key=lambda t: -len(t.encode())):
         wanted = [plain(w) for w in term.split()]
         target, n = " ".join(wanted), len(wanted)
-        flat = [plain(t) for t in tokens]
         if target not in heard or target in " ".join(flat):
             continue
         most = min(3, max(1, len(target) // 10))
-        for at in range(len(flat) - n + 1):
-            if edit_distance(" ".join(flat[at : at + n]), target, most) <= most:
-                closing = re.search(r"[\W_]*\Z", tokens[at + n - 1])[0]
-                tokens[at : at + n] = [term + closing]
-                break
+        near = near_windows([" ".join(flat[at : at + n]) for at in range(len(flat) - n + 1)], target, most)
+        if near.any():
+            at = int(near.argmax())
+            closing = re.search(r"[\W_]*\Z", tokens[at + n - 1])[0]
+            tokens[at : at + n] = [term + closing]
+            flat[at : at + n] = [plain(term + closing)]
     return " ".join(tokens)
 
 
@@ -197,25 +326,42 @@ def prompt_terms(glossary: DataFrame, max_terms: int = 64, max_chars: int = 2000
     return kept.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_terms"), F.array_join(F.transform(ordered, lambda t: t["term"]), ", ").alias("prompt"))
 
 
-def glossary_near_matches(transcripts: DataFrame, glossary: DataFrame, parts: int = 8) -> DataFrame:
+#: The pieces of a target of ``size`` characters: one more than the edits it allows, so one is untouched.
+PIECES = "transform(sequence(0, most), i -> struct(i AS i, CAST(floor(i * size / (most + 1)) AS INT) AS begin, CAST(floor((i + 1) * size / (most + 1)) AS INT) AS end))"
+#: Where the untouched piece ``i`` can stand in a candidate that is ``longer`` by so much: at most ``i`` edits
+#: are before it, and at most ``most - i`` after it.
+SHIFTS = "filter(sequence(-3, 3), d -> abs(d) <= p.i AND abs(d - longer) <= most - p.i AND p.begin + d >= 0 AND p.end + d <= length(candidate))"
+
+
+def glossary_near_matches(transcripts: DataFrame, glossary: DataFrame) -> DataFrame:
     """``recording_id, term, candidate, pos``: for each term that does not occur, the first window of
-    as many words within its edit distance.  Distinct windows are compared once per recording; sizes
-    that differ by more than the distance never are."""
+    as many words within its edit distance (a tenth of its length, 1 to 3).
+
+    Distinct windows meet terms by an index: a term is cut into one more piece than the edits it allows,
+    one of which has to stand in a near window unchanged, shifted by no more than the edits around it.
+    Windows and terms join by recording, size and piece, so only windows that share a piece are compared,
+    and those of one recording are spread over all tasks.
+    """
     texts = transcripts.select("recording_id", normalized_words(F.col("text")).alias("w"))
     terms = glossary.select("recording_id", "term", normalized_words(F.col("term")).alias("t")).where(F.size("t") > 0)
     terms = terms.withColumns({"target": F.array_join("t", " "), "n": F.size("t")})
-    terms = terms.withColumn("most", F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.length("target") / 10))).cast("int"))
+    allowed = lambda size: F.least(F.lit(3), F.greatest(F.lit(1), F.floor(size / 10))).cast("int")
+    terms = terms.withColumn("size", F.length("target")).withColumn("most", allowed(F.col("size")))
     absent = terms.join(texts.select("recording_id", F.array_join("w", " ").alias("flat")), "recording_id").where(~F.col("flat").contains(F.col("target"))).drop("flat", "t")
+    keyed = absent.withColumn("p", F.explode(F.expr(PIECES))).select("recording_id", "term", "target", "n", "size", "most", F.col("p.i").alias("i"), F.expr("substring(target, p.begin + 1, p.end - p.begin)").alias("piece"))
     lengths = absent.select("recording_id", "n").distinct()
     starts = F.when(F.size("w") >= F.col("n"), F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).otherwise(F.array().cast("array<int>"))
     windows = texts.join(lengths, "recording_id").select("recording_id", "n", F.explode(F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", i, F.col("n")), " ").alias("candidate")))).alias("x"))
     windows = windows.groupBy("recording_id", "n", F.col("x.candidate").alias("candidate")).agg(F.min("x.pos").alias("pos"))
-    # a recording of many windows is several keys; its terms, few, go to each of them
-    windows = windows.withColumn("part", F.pmod(F.xxhash64("candidate"), F.lit(parts)).cast("int"))
-    absent = absent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    sized = F.abs(F.length("candidate") - F.length("target")) <= F.col("most")
+    sizes = F.sequence(F.greatest(F.lit(1), F.length("candidate") - 3), F.length("candidate") + 3)
+    windows = windows.withColumn("size", F.explode(sizes)).withColumn("most", allowed(F.col("size"))).withColumn("longer", F.length("candidate") - F.col("size")).where("abs(longer) <= most")
+    # only sizes that a term of the recording has
+    shapes = absent.select(F.col("recording_id").alias("r"), F.col("n").alias("m"), F.col("size").alias("s")).distinct()
+    windows = windows.join(shapes, (F.col("recording_id") == F.col("r")) & (F.col("n") == F.col("m")) & (F.col("size") == F.col("s")), "left_semi")
+    windows = windows.withColumn("k", F.explode(F.expr(f"flatten(transform({PIECES}, p -> transform({SHIFTS}, d -> struct(p.i AS i, substring(candidate, p.begin + d + 1, p.end - p.begin) AS piece))))")))
+    windows = windows.select("recording_id", "n", "size", F.col("k.i").alias("i"), F.col("k.piece").alias("piece"), "candidate", "pos")
     # beyond 3, the most that any term allows, the distance is -1
-    close = absent.join(windows, ["recording_id", "n", "part"]).where(sized & F.expr("levenshtein(candidate, target, 3) BETWEEN 0 AND most"))
+    close = keyed.join(windows, ["recording_id", "n", "size", "i", "piece"]).where(F.expr("levenshtein(candidate, target, 3) BETWEEN 0 AND most"))
     found = close.groupBy("recording_id", "term").agg(F.min(F.struct("pos", "candidate")).alias("f"))
     return found.select("recording_id", "term", "f.candidate", (F.col("f.pos") - 1).alias("pos"))
 

@@ -43,8 +43,7 @@ def overlapping_parts(docs: DataFrame, size: int = 120, overlap: int = 12, keep:
 """)
 def transcript_assembly(docs: DataFrame) -> DataFrame:
     """Cuts documents into overlapping parts, cleans and stitches them, and hashes the transcripts."""
-    parts = overlapping_parts(docs).withColumn("text", X.clean_transcript(F.col("text")))
-    whole = X.stitch(parts)
+    whole = X.stitch(overlapping_parts(docs), X.clean_transcript)
     return whole.select("recording_id", F.size(F.split("transcript", " ")).cast("long").alias("n_words"), F.length("transcript").cast("long").alias("n_chars"), F.sha2("transcript", 256).alias("transcript_sha256"))
 
 

@@ -135,13 +135,13 @@ def rebuilt_in_batch(live: DataFrame, parts: DataFrame) -> DataFrame:
     ``parts`` is the table of all parts, late ones included.
     """
     newest = parts.groupBy("recording_id", "chunk_index").agg(F.max(F.struct("ts", "failed", "text")).alias("p"))
-    newest = newest.select("recording_id", "chunk_index", "p.failed", clean_transcript(F.col("p.text")).alias("text"))
+    newest = newest.select("recording_id", "chunk_index", "p.failed", F.col("p.text").alias("text"))
     known = newest.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_now"), F.max("failed").alias("any_failed"))
     state = known.join(live, "recording_id", "left")
     whole = F.coalesce((F.col("status") == "complete") & (F.col("n_parts") == F.col("n_now")), F.lit(False))
     kept = state.where(whole).select("recording_id", F.lit("live").alias("source"), "transcript")
     again = state.where(~whole & ~F.col("any_failed")).select("recording_id")
-    return kept.unionByName(stitch(newest.join(again, "recording_id", "left_semi")).select("recording_id", F.lit("batch").alias("source"), "transcript"))
+    return kept.unionByName(stitch(newest.join(again, "recording_id", "left_semi"), clean_transcript).select("recording_id", F.lit("batch").alias("source"), "transcript"))
 
 
 class Handoffs(StatefulProcessor):

@@ -1,3 +1,6 @@
+import random
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +115,100 @@ def test_ten_thousand_segments(spark):
     began = time.time()
     got = df.select(X.clean_transcript(F.col("text")).alias("t")).first().t
     assert got.count("Segment") == 5_000 and "Terima" not in got and time.time() - began < 20
+
+
+def plain_fold(texts):
+    """The transcript by one pass over all parts."""
+    out, tail = [], []
+    for text in texts:
+        new = (text or "").split()
+        flat = [X.plain(w) for w in new]
+        k = X.seam(tail, flat)
+        out += new[k:]
+        tail = (tail + flat[k:])[-X.LONGEST_SEAM :]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("longest", [12, 60, 140])
+def test_stitched_blocks_are_the_plain_fold(spark, monkeypatch, longest):
+    """Small blocks, parts of all lengths, overlaps, repeats, blanks: as one fold over all of them."""
+    monkeypatch.setattr(X, "BLOCK", 3)
+    rng, rows, want = random.Random(longest), [], {}
+    for recording in range(25):
+        source = [f"w{rng.randint(0, 40)}" if rng.random() < 0.8 else "-" for _ in range(1500)]
+        at, texts = 0, []
+        for _ in range(rng.randint(1, 14)):
+            n = rng.randint(0, longest)
+            texts.append(" ".join(source[at : at + n]) if rng.random() < 0.95 else rng.choice(["", None]))
+            at = max(0, at + n - rng.choice([0, 0, 5, 12, 40]))
+        want[recording] = plain_fold(texts)
+        rows += [(recording, k, t) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = X.stitch(spark.createDataFrame(rows, "recording_id long, chunk_index int, text string")).collect()
+    assert {r.recording_id: r.transcript for r in got} == want
+
+
+def test_one_long_recording_is_spread_over_tasks(spark):
+    """100,000 parts of one recording: no task folds more than its share, and the text is the plain fold's."""
+    n = 100_000
+    parts = spark.range(n, numPartitions=8).select(F.lit("hot").alias("recording_id"), F.col("id").cast("int").alias("chunk_index"), F.array_join(F.transform(F.sequence(F.col("id") * 80, F.col("id") * 80 + 89), lambda k: F.concat(F.lit("w"), k.cast("string"))), " ").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = X.stitch(parts).select(F.md5("transcript").alias("m")).first().m
+        rows = parts.select("recording_id", F.floor(F.col("chunk_index") / X.BLOCK).alias("block")).repartition("recording_id", "block")
+        share = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == md5(" ".join(f"w{k}" for k in range(80 * n + 10)).encode()).hexdigest()
+    assert share < n / 2  # of four tasks
+
+
+def test_bit_parallel_distances():
+    rng = random.Random(7)
+    for _ in range(300):
+        target = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 90)))
+        most = rng.randint(0, 3)
+        windows = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 90))) for _ in range(5)]
+        for _ in range(8):  # some that are near
+            w = list(target)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randint(0, len(w))
+                rng.choice([lambda: w.insert(at, rng.choice("abcé")), lambda: w and w.pop(min(at, len(w) - 1)), lambda: w and w.__setitem__(min(at, len(w) - 1), "d")])()
+            windows.append("".join(w))
+        assert X.near_windows(windows, target, most).tolist() == [distance(w, target) <= most for w in windows]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_matches_by_pieces_are_all_near_matches(spark):
+    """Against all windows and terms; edits of every kind, at every place, in terms of 1 to 3 words."""
+    rng, texts, glossary = random.Random(11), [], []
+    for recording in range(12):
+        terms = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 3))) for _ in range(10)]
+        words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+        for term in terms:
+            w = list(term)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randint(0, len(w) - 1)
+                rng.choice([lambda: w.insert(at, "x"), lambda: len(w) > 1 and w.pop(at), lambda: w.__setitem__(at, "y")])()
+            words.insert(rng.randint(0, len(words)), "".join(w))
+        texts.append((recording, " ".join(words)))
+        glossary += [(recording, t) for t in {*terms}]
+    got = {(r.recording_id, r.term): (r.candidate, r.pos) for r in X.glossary_near_matches(spark.createDataFrame(texts, "recording_id long, text string"), spark.createDataFrame(glossary, "recording_id long, term string")).collect()}
+    want = {}
+    for recording, text in texts:
+        words = text.split()
+        for r, term in glossary:
+            n, most = len(term.split()), min(3, max(1, len(term) // 10))
+            if r == recording and term not in " ".join(words):
+                found = next(((" ".join(words[k : k + n]), k) for k in range(len(words) - n + 1) if distance(" ".join(words[k : k + n]), term) <= most), None)
+                if found:
+                    want[recording, term] = found
+    assert got == want and want
