@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from minuteworks.functions.quantiles import percentiles
+
 
 def command_traces(logs: DataFrame) -> DataFrame:
     """``request_id, command, received_at, outcome, duration_ms`` of every received command; null where
@@ -20,11 +22,12 @@ def command_summary(traces: DataFrame) -> DataFrame:
 
 
 def http_summary(lines: DataFrame) -> DataFrame:
-    """Calls, failures by kind, mean and 95th percentile by operation, host and class of status."""
+    """Calls, failures by kind, mean and 95th percentile (:func:`percentiles`) by operation, host and class
+    of status."""
     kind = F.when(F.col("status").isNull(), "none").otherwise(F.concat(F.floor(F.col("status") / 100).cast("string"), F.lit("xx")))
     return lines.groupBy("operation", "host", kind.alias("status_class")).agg(
         F.count(F.lit(1)).alias("n_calls"), F.count_if(F.col("failure") == "timeout").alias("n_timeout"), F.count_if(F.col("failure") == "connect").alias("n_connect"),
-        F.avg("duration_ms").alias("mean_ms"), F.percentile("duration_ms", F.lit(0.95)).alias("p95_ms"),
+        F.avg("duration_ms").alias("mean_ms"), percentiles("duration_ms", [0.95])[0].alias("p95_ms"),
     )
 
 

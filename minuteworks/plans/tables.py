@@ -206,7 +206,7 @@ query("j11_generations", "manifests", """
     SELECT job_id, CAST(split_part(x, ':', 1) AS BIGINT) AS seq, split_part(x, ':', 2) AS outcome FROM (SELECT job_id, unnest(string_split(rtrim(o, ','), ',')) AS x FROM walked)
 """)(lambda m: J.apply_generations(stored_generations(m), generation_writes(m)))
 query("j12_stage_timings", "manifests", """
-    SELECT stage, status, enhancement_mode, count(*) AS n, avg(ms) AS mean_ms, quantile_cont(ms, 0.5) AS p50_ms, quantile_cont(ms, 0.95) AS p95_ms, max(ms) AS max_ms
+    SELECT stage, status, enhancement_mode, count(*) AS n, avg(ms) AS mean_ms, quantile_disc(ms, 0.5) AS p50_ms, quantile_disc(ms, 0.95) AS p95_ms, max(ms) AS max_ms
     FROM (SELECT 'transcribe' AS stage, status, enhancement_mode, value_ms AS ms FROM manifests UNION ALL SELECT 'save', status, enhancement_mode, value_ms * 2 FROM manifests) GROUP BY ALL
 """)(lambda m: J.stage_timings(m.withColumn("timings_ms", F.create_map(F.lit("transcribe"), F.col("value_ms"), F.lit("save"), F.col("value_ms") * 2))))
 query("j13_error_bucket", "manifests", """
@@ -247,7 +247,7 @@ query("l1_command_summary", "log_lines", """
       LEFT JOIN (SELECT * FROM log_lines WHERE message <> 'ipc.command.received' AND request_id <> '-') d USING (request_id)) GROUP BY command
 """)(lambda df: G.command_summary(G.command_traces(df)))
 query("l2_http_summary", "http_lines", """
-    SELECT operation, host, CASE WHEN status IS NULL THEN 'none' ELSE (status // 100) || 'xx' END AS status_class, count(*) AS n_calls, count(*) FILTER (failure = 'timeout') AS n_timeout, count(*) FILTER (failure = 'connect') AS n_connect, avg(duration_ms) AS mean_ms, quantile_cont(duration_ms, 0.95) AS p95_ms
+    SELECT operation, host, CASE WHEN status IS NULL THEN 'none' ELSE (status // 100) || 'xx' END AS status_class, count(*) AS n_calls, count(*) FILTER (failure = 'timeout') AS n_timeout, count(*) FILTER (failure = 'connect') AS n_connect, avg(duration_ms) AS mean_ms, quantile_disc(duration_ms, 0.95) AS p95_ms
     FROM http_lines GROUP BY ALL
 """)(G.http_summary)
 query("l3_problems", "http_lines", "SELECT event_id, level FROM http_lines WHERE level IN ('WARN', 'ERROR')")(lambda h: G.problems(h).select("event_id", "level"))
