@@ -17,9 +17,47 @@ def test_manifests_and_backups(spark, tmp_path):
     put(tmp_path / "b.processing.json", "{broken")
     got = S.read_manifests(spark, str(tmp_path)).collect()
     assert [(r.jobId, r.timingsMs) for r in got] == [("j1", {"save": 2.5})]
-    rows = [("/d/a.json", False), ("/d/.a.json.backup", True), ("/d/b.json", True), ("/d/b.json.backup", True), ("/d/c.json.backup", False), ("/d/e.json.backup", True)]
+    rows = [("/d/a.json", False), ("/d/.a.json.backup", True), ("/d/b.json", True), ("/d/b.json.backup", True), ("/d/c.json.backup", False), ("/d/e.json.backup", True), ("/d/f.json", False), ("/d/f.json.backup", True), ("/d/.g.json.backup", False), ("/d/g.json.backup", True)]
     kept = S.reconcile_backups(spark.createDataFrame(rows, "path string, valid boolean"))
-    assert sorted(r.path for r in kept.collect()) == ["/d/.a.json.backup", "/d/b.json", "/d/e.json.backup"]
+    assert sorted(r.path for r in kept.collect()) == ["/d/.a.json.backup", "/d/.g.json.backup", "/d/b.json", "/d/c.json.backup", "/d/e.json.backup", "/d/f.json"]
+
+
+def test_recovery_from_the_files(spark, tmp_path):
+    good = lambda job: {"schemaVersion": 1, "jobId": job, "audioPath": "a.mp3", "status": "saving", "source": "import"}
+    put(tmp_path / "x/a.processing.json", "{broken")
+    put(tmp_path / "x/.a.processing.json.backup", good("a"))
+    put(tmp_path / "x/deep/er/.b.processing.json.backup", good("b"))
+    put(tmp_path / "c.processing.json.backup", good("c"))
+    put(tmp_path / "d.processing.json", good("d"))
+    put(tmp_path / "d.processing.json.backup", good("old"))
+    put(tmp_path / "e.processing.json", "{broken")
+    put(tmp_path / "e.processing.json.backup", good("too old to be used beside a primary"))
+    put(tmp_path / "f.processing.json", good(" "))
+    put(tmp_path / "f.txt", "no manifest")
+    got = {r.job_path: (r.kind, r.primary_valid, r.reject_reason, r.jobId) for r in S.recovered_manifests(spark, f"file://{tmp_path}").collect()}
+    assert got == {
+        "x/a.processing.json": ("backup", False, None, "a"), "x/deep/er/b.processing.json": ("backup", None, None, "b"), "c.processing.json": ("legacy", None, None, "c"), "d.processing.json": ("primary", True, None, "d"),
+        "e.processing.json": ("primary", False, "json", None), "f.processing.json": ("primary", False, "job_id", " "),
+    }
+    assert S.recovered_manifests(spark, f"file://{tmp_path}/nothing").count() == 0
+
+
+def test_a_database_table_is_read_in_parts(spark):
+    """Uneven keys, nulls among them: parts of equal rows, filter and columns in the database, same rows."""
+    source = {"url": "jdbc:derby:memory:parts;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(k**3, f"n{k}", k % 5) for k in range(1, 400)] + [(None, "none", 1), (None, "none", 2)]
+    spark.createDataFrame(rows, "id long, name string, kind int").write.format("jdbc").options(**source, dbtable="things", createTableColumnTypes="name VARCHAR(20)").save()
+    table = S.read_table(spark, source, "things", "id", tasks=4)
+    assert sorted(map(tuple, table.collect()), key=str) == sorted(rows, key=str)
+    sizes = [r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.3 * len(rows) / 4
+    some = table.where("kind = 3").select("name")
+    plan = some._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "EqualTo(kind,3)" in plan.split("PushedFilters")[1].splitlines()[0] and "ReadSchema: struct<name:string>" in plan
+    assert some.count() == sum(r[2] == 3 for r in rows)
+    empty = spark.createDataFrame([], "id long, name string")
+    empty.write.format("jdbc").options(**source, dbtable="none_at_all").save()
+    assert S.read_table(spark, source, "none_at_all", "id").count() == 0
 
 
 def test_parts_attempts_assets(spark, tmp_path):
