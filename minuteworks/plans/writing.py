@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from minuteworks.functions import lexicon as L
-from minuteworks.functions.text import token_bound
+from minuteworks.functions.text import token_bound, words
 from minuteworks.operators import drafts as D
 from minuteworks.plans.speech import on_documents
 from minuteworks.plans.tables import ORACLES, QUERIES, query
@@ -95,9 +95,28 @@ on_documents("g13_insert_markers", """
     SELECT doc_id AS recording_id, 3 AS n_markers, md5(CASE WHEN len(w) = 0 THEN regexp_replace(text || chr(10) || chr(10) || '[[ASSET_1]]' || chr(10) || '[[ASSET_2]]' || chr(10) || '[[ASSET_3]]', '^\\s+', '') ELSE
       regexp_replace(regexp_replace(regexp_replace(array_to_string(w[1 : pl[1]], ' ') || ' @1@ ' || array_to_string(w[pl[1] + 1 : pl[2]], ' ') || ' @2@ ' || array_to_string(w[pl[2] + 1 : pl[3]], ' ') || ' @3@ ' || array_to_string(w[pl[3] + 1 :], ' '), ' @([123])@', chr(10) || chr(10) || '[[ASSET_\\1]]' || chr(10) || chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') END) AS text_md5 FROM b
 """)(lambda d: D.insert_markers(d.where("text IS NOT NULL").withColumn("duration_ms", F.lit(1000)), assets_of(d)).select("recording_id", F.size(D.markers(F.col("text"))).alias("n_markers"), F.md5("text").alias("text_md5")))
-on_documents("g14_apply_markers", """
-    SELECT doc_id AS note_id, md5('![Screenshot 01:05](a.png) ' || text || '  [[ASSET_9]]' || chr(10) || chr(10) || '## Screenshots' || chr(10) || chr(10) || '![Screenshot 02:00](b.png)' || chr(10)) AS text_md5 FROM documents
-""")(lambda d: md5_of(D.apply_markers(put(d, "[[ASSET_1]] ", " [[ASSET_1]] [[ASSET_9]]"), note(d).select("note_id", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit("a.png").alias("path"), F.lit(65_000).alias("elapsed_ms")), F.struct(F.lit(2).alias("n"), F.lit("b.png").alias("path"), F.lit(120_999).alias("elapsed_ms")))).alias("a")).select("note_id", "a.*"))))
+MARK_WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
+
+
+def marked(d):
+    """Each word that is a multiple of seven in its text's order is a marker; its number is the word's length."""
+    w = F.transform(words(F.col("text")), lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("[[ASSET_"), F.length(x).cast("string"), F.lit("]]"))).otherwise(x))
+    return note(d.where("text IS NOT NULL")).withColumn("text", F.array_join(w, " "))
+
+
+def pictures(d):
+    """Pictures 2 to 6 of each note; those of longer words are unknown."""
+    return note(d.where("text IS NOT NULL")).select("note_id", F.explode(F.sequence(F.lit(2), F.lit(6))).alias("n")).select("note_id", "n", F.concat(F.lit("p"), F.col("n").cast("string"), F.lit(".png")).alias("path"), (F.col("n") * 65_500).alias("elapsed_ms"))
+
+
+on_documents("g14_apply_markers", f"""
+    WITH w AS (SELECT doc_id AS note_id, list_transform({MARK_WORDS}, lambda x, i: CASE WHEN (i - 1) % 7 = 3 THEN {{'n': length(x), 't': '[[ASSET_' || length(x) || ']]'}} ELSE {{'n': NULL::BIGINT, 't': x}} END) AS l FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT n, '![Screenshot ' || lpad((n * 65500 // 60000)::VARCHAR, 2, '0') || ':' || lpad((n * 65500 // 1000 % 60)::VARCHAR, 2, '0') || '](p' || n || '.png)' AS image FROM range(2, 7) r(n)),
+    m AS (SELECT list(image ORDER BY n) AS images FROM p),
+    b AS (SELECT note_id, list_transform(l, lambda x: x.n) AS ns, array_to_string(list_transform(l, lambda x, i: CASE WHEN x.n IS NULL OR x.n NOT BETWEEN 2 AND 6 THEN x.t WHEN list_position(list_transform(l, lambda y: y.n), x.n) = i THEN images[x.n - 1] ELSE '' END), ' ') AS body, images FROM w, m)
+    SELECT note_id, md5(CASE WHEN len(gone) > 0 THEN regexp_replace(body, '\\s+$', '') || chr(10) || chr(10) || '## Screenshots' || chr(10) || chr(10) || array_to_string(gone, chr(10) || chr(10)) || chr(10) ELSE body END) AS text_md5
+    FROM (SELECT *, list_filter(images, lambda x, i: NOT list_contains(ns, i + 1)) AS gone FROM b)
+""")(lambda d: md5_of(D.apply_markers(marked(d), pictures(d))))
 
 
 def edited(d):
