@@ -1,4 +1,4 @@
-"""Word lists, phrases and patterns.  Fixed values: results depend on them; all are parameters."""
+"""Word lists, phrases and patterns.  Fixed values: results depend on them, and data that are stored already hold them."""
 
 # Segments that are noise when they are the whole segment.
 NOISE_EXACT = ("terima kasih", "terima kasih banyak", "like dan subscribe", "thank you", "kiitos", "gracias", "subscribe", "please subscribe", "...")
@@ -85,13 +85,13 @@ DATE_SHAPES = {"en": "%2$s %1$s, %3$s", "id": "%1$s %2$s %3$s", "de": "%1$s. %2$
 # Warning, and headings of summary, points and follow-ups, of extractive notes.
 EXTRACTIVE_LABELS = {
     "en": (
-        "> AI formatting was unavailable. The sections below are extractive: every point is copied directly from the transcript without adding new facts.",
+        "> AI formatting was unavailable. What follows was picked from the transcript, sentence by sentence, and nothing was added.",
         "Extractive Summary",
         "Key Points",
         "Mentioned Follow-ups",
     ),
     "id": (
-        "> Pemformatan AI tidak tersedia. Bagian di bawah dibuat secara ekstraktif: setiap poin diambil langsung dari transcript tanpa menambahkan fakta baru.",
+        "> Pemformatan AI tidak tersedia. Kalimat berikut dipilih dari transkrip apa adanya, tanpa tambahan.",
         "Ringkasan Ekstraktif",
         "Poin Utama",
         "Tindak Lanjut yang Disebutkan",

@@ -63,6 +63,10 @@ def quality_windows(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"start_ms": start, "end_ms": (start + longest).cast("long")})
 
 
+# Thresholds, and the wording of warnings here and below, which stored reports hold and which
+# are told apart by what stands before the colon.
+
+
 def window_warnings(windows: DataFrame) -> DataFrame:
     """``recording_id, chunk_index, warning``: thresholds are compared as 32-bit floats."""
     f = lambda x: F.lit(x).cast("float")
