@@ -70,7 +70,7 @@ def turn_parts(spark, sf_dir, turns, expected):
 
 def live(spark, sf_dir):
     parts = turn_parts(spark, sf_dir, stream_of(spark, sf_dir, "conversations"), F.col("n")).drop("conv_id")
-    return K.drained(spark, K.live_transcripts(parts)).select("recording_id", "status", "n_parts")
+    return K.drained(spark, K.live_transcripts(parts), typed=True).select("recording_id", "status", "n_parts")
 
 
 def word_parts(docs):
@@ -82,7 +82,7 @@ def word_parts(docs):
 def assembled(spark, sf_dir):
     """Parts of documents that overlap by twelve words, as a stream: whole transcripts come out."""
     rows = word_parts(stream_of(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("recording_id"), "text"))
-    return K.drained(spark, K.live_transcripts(rows)).select("recording_id", "status", F.md5("transcript").alias("transcript_md5"))
+    return K.drained(spark, K.live_transcripts(rows), typed=True).select("recording_id", "status", F.md5("transcript").alias("transcript_md5"))
 
 
 QUERIES["k3_live_assembly"] = assembled
@@ -106,7 +106,7 @@ def waits(spark, sf_dir):
     """Every third recording lacks a part: it waits until the watermark passes, and is ``open``."""
     parts = turn_parts(spark, sf_dir, stream_of(spark, sf_dir, "conversations"), F.col("n") + (F.col("conv_id") % 3 == 0).cast("int"))
     rows = ticking(parts.withColumn("failed", F.lit(False)), (F.col("conv_id") % 11 == 0) & (F.col("chunk_index") == 0))
-    out = K.drained(spark, K.live_transcripts(rows)).where("recording_id <> 'clock'")
+    out = K.drained(spark, K.live_transcripts(rows), typed=True).where("recording_id <> 'clock'")
     return out.select("recording_id", "status", "n_parts", F.col("transcript").isNull().alias("without_text"))
 
 
@@ -123,7 +123,7 @@ def late_parts(spark, sf_dir):
     last = F.col("chunk_index") + 1 == F.col("n_expected")
     rows = parts.where(~(last & ((number % 3 == 0) | (number % 5 == 0)) & (F.col("n_expected") > 1)))
     rows = rows.withColumn("n_expected", F.when((number % 5 == 0) & (number % 3 != 0) & (F.col("n_expected") > 1), F.col("n_expected") - 1).otherwise(F.col("n_expected")))
-    live = K.drained(spark, K.live_transcripts(ticking(rows, (number % 11 == 0) & (F.col("chunk_index") == 0))))
+    live = K.drained(spark, K.live_transcripts(ticking(rows, (number % 11 == 0) & (F.col("chunk_index") == 0))), typed=True)
     every = word_parts(docs(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return K.rebuilt_in_batch(live, every).select("recording_id", "source", F.md5("transcript").alias("transcript_md5"))
 
@@ -141,7 +141,7 @@ ADAPTERS["handoff_events"] = """
 
 def handoffs(spark, sf_dir):
     events = projected(spark, sf_dir, "handoff_events", "events").withColumns({c: F.col(c).cast("timestamp") for c in ("handed_at", "ts")}).withColumn("audio_path", F.col("audio_path").cast("string"))
-    return K.drained(spark, K.dedupe_handoffs(events)).select("audio_path", "seq", F.col("handed_at").cast("timestamp_ntz").alias("handed_at"), "outcome")
+    return K.drained(spark, K.dedupe_handoffs(events), typed=True).select("audio_path", "seq", F.col("handed_at").cast("timestamp_ntz").alias("handed_at"), "outcome")
 
 
 QUERIES["k5_dedupe_handoffs"] = handoffs

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -253,11 +253,11 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def drained(spark: SparkSession, stream: DataFrame, typed: bool = False) -> DataFrame:
     """Runs a stream in append mode over all that is there now and returns what it wrote, from a folder that
-    driver and executors share."""
+    driver and executors share.  ``typed`` state needs its own store; others use the session's."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    with rocksdb_state(spark):
+    with rocksdb_state(spark) if typed else nullcontext():
         query = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{path}/out").start()
         query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
