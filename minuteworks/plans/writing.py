@@ -80,9 +80,22 @@ def extractive_sql(language: str) -> str:
 
 for language, name in (("en", "g11_extractive_note"), ("id", "g11_extractive_note_id")):
     on_documents(name, extractive_sql(language))(lambda d, language=language: D.extractive_note(note(d.where("text IS NOT NULL")).withColumn("title", F.lit("Notes")), language).select("note_id", F.md5("markdown").alias("markdown_md5")))
-on_documents("g12_degraded_notes", "SELECT doc_id AS note_id, doc_id % 2 = 0 AS extractive, doc_id % 3 = 0 AS pending FROM documents")(
-    lambda d: D.is_pending(note(d).select("note_id", F.lit("T").alias("title"), F.when(F.col("note_id") % 3 == 0, "# T\n\nwait").otherwise(F.col("text")).alias("content"), F.concat("text", F.when(F.col("note_id") % 2 == 0, f"\n{L.EXTRACTIVE_LABELS["en"][0]}").otherwise("\nAI formatting was unavailable")).alias("body")), "wait").select("note_id", D.is_extractive(F.col("body")).alias("extractive"), "pending")
-)
+#: What may stand before the body of a note, by the length of its text; the quote that counts is in two of them.
+BEFORE = ("> AI formatting was unavailable today.\n", "AI formatting was unavailable\n", ">pemformatan ai tidak tersedia\n", "> AI formatting was unavailable_\n", "", "x > AI formatting was unavailable\n", "# T\n\n", "\n# T\n\n")
+
+
+def degraded(d):
+    """Notes whose text begins in one of eight ways; the last two have nothing but a heading and ``wait`` where
+    the text is short."""
+    place = F.length("text") % len(BEFORE)
+    rest = F.when((place >= 6) & (F.length("text") % 3 == 0), F.lit("wait ")).otherwise(F.col("text"))
+    return note(d.where("text IS NOT NULL")).select("note_id", F.lit("T").alias("title"), F.concat(F.element_at(F.array(*map(F.lit, BEFORE)), place + 1), rest).alias("content"))
+
+
+on_documents("g12_degraded_notes", f"""
+    WITH n AS (SELECT doc_id AS note_id, [{", ".join("'" + b.replace(chr(10), "' || chr(10) || '") + "'" for b in BEFORE)}][length(text) % {len(BEFORE)} + 1] || CASE WHEN length(text) % {len(BEFORE)} >= 6 AND length(text) % 3 = 0 THEN 'wait ' ELSE text END AS content FROM documents WHERE text IS NOT NULL)
+    SELECT note_id, regexp_matches(content, '(?im)^>\\s*(Pemformatan AI tidak tersedia|AI formatting was unavailable)\\b') AS extractive, regexp_replace(content, '^\\s+|\\s+$', '', 'g') = '# T' || chr(10) || chr(10) || 'wait' AS pending FROM n
+""")(lambda d: D.is_pending(degraded(d), "wait").select("note_id", D.is_extractive(F.col("content")).alias("extractive"), "pending"))
 
 
 def assets_of(d):
@@ -222,9 +235,27 @@ on_documents("g22_anchors", f"""
 """)(lambda d: note(d.where("text IS NOT NULL")).select("note_id", F.array_join(D.anchors(F.col("text")), "|").alias("anchors"), F.array_join(D.missing_anchors(F.col("text"), F.translate("text", "1A", "")), "|").alias("missing")))
 QUERIES["g23_links"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.array_join(D.links(F.concat(F.lit("see "), "url", F.lit(". and "), "url", F.lit(" (www.example.org/x?y)"))), " ").alias("links"))
 ORACLES["g23_links"] = "SELECT page_id, regexp_replace(url, '[.,!?;:]+$', '') || ' www.example.org/x?y' AS links FROM pages"
-on_documents("g24_validate_rewrite", """
-    SELECT doc_id AS note_id, CASE doc_id % 4 WHEN 1 THEN 'empty' WHEN 2 THEN 'links' END AS error FROM documents WHERE length(trim(text)) >= 24
-""")(lambda d: D.validate_rewrite(note(d).where(F.length(F.trim("text")) >= 24).select("note_id", F.col("text").alias("original"), F.when(F.col("note_id") % 4 == 1, " ").when(F.col("note_id") % 4 == 2, F.concat("text", F.lit(" https://x.example"))).otherwise(F.col("text")).alias("candidate"))).select("note_id", "error"))
+ADDED = "\n\n[[ASSET_1]] grew by 42% of NATO, see https://x.example/a [[ASSET_2]]"
+
+
+def rewrites(d):
+    """A rewrite for each text, by its length: whole, blank, cut short, or without a marker, link, number or
+    acronym; those of the texts count too."""
+    original = F.concat("text", F.lit(ADDED))
+    without = lambda x, new="": F.replace(original, F.lit(x), F.lit(new))
+    kinds = F.array(original, F.lit("  "), without("[[ASSET_2]]"), without("https://x.example/a"), without("42%"), F.substring(original, 1, 20), without("NATO", "Nato"), F.concat(F.lit("Rewritten. "), original), F.translate(original, "0123456789", "##########"), F.concat(original, F.lit(" www.y.example")))
+    return note(d.where("text IS NOT NULL")).select("note_id", original.alias("original"), F.element_at(kinds, F.length("text") % 10 + 1).alias("candidate"))
+
+
+PAIRS_SQL = """SELECT doc_id AS note_id, trim(o, ' \n\t') AS a, trim([o, '  ', replace(o, '[[ASSET_2]]', ''), replace(o, 'https://x.example/a', ''), replace(o, '42%', ''), substring(o, 1, 20), replace(o, 'NATO', 'Nato'), 'Rewritten. ' || o, translate(o, '0123456789', '##########'), o || ' www.y.example'][length(text) % 10 + 1], ' \n\t') AS b
+    FROM (SELECT doc_id, text, text || chr(10) || chr(10) || '[[ASSET_1]] grew by 42% of NATO, see https://x.example/a [[ASSET_2]]' AS o FROM documents WHERE text IS NOT NULL)"""
+on_documents("g24_validate_rewrite", f"""
+    WITH p AS ({PAIRS_SQL}), f AS (SELECT note_id, a, b, {anchors_sql("a")} AS own, {anchors_sql("b")} AS other FROM p)
+    SELECT note_id, CASE WHEN b = '' THEN 'empty' WHEN length(b) < greatest(24, floor(length(a) * 0.3)) THEN 'too_short'
+      WHEN regexp_extract_all(a, '\\[\\[ASSET_\\d+\\]\\]') <> regexp_extract_all(b, '\\[\\[ASSET_\\d+\\]\\]') THEN 'markers'
+      WHEN regexp_extract_all(a, '(?:https?://|www\\.)\\S+') <> regexp_extract_all(b, '(?:https?://|www\\.)\\S+') THEN 'links'
+      WHEN len(list_filter(own, lambda x: NOT list_contains(other, x))) > 0 THEN 'anchor ' || list_filter(own, lambda x: NOT list_contains(other, x))[1] END AS error FROM f
+""")(lambda d: D.validate_rewrite(rewrites(d)).select("note_id", "error"))
 on_documents("g25_number_headings", "SELECT doc_id AS note_id, md5('# T' || chr(10) || '## 1. One' || chr(10) || text || chr(10) || '### 1.1. Deep' || chr(10) || '## 2. Two') AS text_md5 FROM documents")(lambda d: md5_of(D.number_headings(put(d, "# T\n## 7. One\n", "\n### Deep\n## Two"))))
 on_documents("g26_accept_sections", f"SELECT note_id, index, CASE WHEN index % 3 = 0 THEN text ELSE 'draft' END AS markdown, index % 3 = 0 OR index % 5 = 0 AS is_degraded FROM ({LINES})")(
     lambda d: D.accept_sections(lines_of(d).select("note_id", F.col("index").alias("section_id"), F.col("text").alias("source"), F.when(F.col("index") % 3 != 0, "draft").alias("draft"), (F.col("index") % 5 == 0).alias("blocked"))).withColumnRenamed("section_id", "index")
