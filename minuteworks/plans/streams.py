@@ -186,4 +186,33 @@ query("q3_pcm_levels", "binary_chunks", """
     FROM (SELECT recording_id, list_transform(list_transform(range(len(h) // 4), lambda i: CAST('0x' || substr(h, 4 * i + 3, 2) || substr(h, 4 * i + 1, 2) AS INT)), lambda x: CAST(CASE WHEN x > 32767 THEN x - 65536 ELSE x END AS DOUBLE)) AS v
           FROM (SELECT recording_id, hex(encode(html)) AS h FROM binary_chunks))
 """)(lambda p: Q.pcm_levels(p.select("recording_id", F.encode("html", "UTF-8").alias("content"))).withColumns({c: F.round(c, 6) for c in ("clipped_ratio", "rms_dbfs")}))
-query("q10_chunk_loudness", "binary_chunks", None)(lambda p: Q.chunk_loudness(p.select("recording_id", F.encode(F.repeat("html", F.lit(4)), "UTF-8").alias("content"))).withColumn("lufs", F.round("lufs", 6)))
+#: Four samples for each row of an order: chunks of the rows of 6,000 order keys with one return flag.
+ADAPTERS["sound"] = """
+    SELECT concat(l_returnflag, '-', CAST(CAST(floor(l_orderkey / 6000) AS BIGINT) AS VARCHAR(20))) AS recording_id, l_orderkey AS k, l_linenumber AS n,
+           CAST(floor(l_extendedprice * 10) AS BIGINT) % 65536 - 32768 AS s0, l_partkey * 7919 % 20001 - 10000 AS s1, l_suppkey * 104729 % 2001 - 1000 AS s2, (l_orderkey * 31 + l_linenumber * 17) % 20001 - 10000 AS s3 FROM {lineitem}"""
+
+
+def packed_sound(rows):
+    """The samples of a chunk in order, as little-endian 16-bit numbers."""
+    ordered = F.sort_array(F.collect_list(F.struct("k", "n", "s0", "s1", "s2", "s3")))
+    samples = lambda c: F.flatten(F.transform(c, lambda r: F.array(*[r[f"s{i}"].cast("int") for i in range(4)])))
+    word = lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(0xFFFF))), 4, "0")
+    swapped = lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))
+    return rows.groupBy("recording_id").agg(ordered.alias("l")).select("recording_id", F.unhex(F.array_join(F.transform(samples(F.col("l")), lambda v: swapped(word(v))), "")).alias("content"))
+
+
+def recurrence_sql():
+    """Both filters, one sample after the other, and the power of what is heard, as a fold over a list."""
+    (b0, b1, b2, a1, a2), (c0, c1, c2, d1, d2) = Q.K_WEIGHTING
+    y = f"({b0} * x.x + a.p)"
+    z = f"({c0} * {y} + a.r)"
+    step = f"""{{'x': 0.0::DOUBLE, 'p': {b1} * x.x - {a1} * {y} + a.q, 'q': {b2} * x.x - {a2} * {y}, 'r': {c1} * {y} - {d1} * {z} + a.s, 's': {c2} * {y} - {d2} * {z},
+        'power': a.power + CASE WHEN abs({z}) > 3e-4 THEN {z} * {z} ELSE 0 END, 'active': a.active + CASE WHEN abs({z}) > 3e-4 THEN 1 ELSE 0 END}}"""
+    none = "'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'r': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'power': 0.0::DOUBLE, 'active': 0.0::DOUBLE"
+    return f"list_reduce(list_prepend({{'x': 0.0::DOUBLE, {none}}}, list_transform(v, lambda s: {{'x': s / 32768.0::DOUBLE, {none}}})), lambda a, x: {step})"
+
+
+query("q10_chunk_loudness", "sound", f"""
+    WITH c AS (SELECT recording_id, flatten(list([s0, s1, s2, s3] ORDER BY k, n, s0, s1, s2, s3)) AS v FROM sound GROUP BY recording_id), f AS (SELECT recording_id, len(v) AS n, {recurrence_sql()} AS t FROM c)
+    SELECT recording_id, CASE WHEN n >= 4800 AND t.active >= 2400 AND t.power / t.active > 1e-12 THEN round(-0.691 + 10 * log10(t.power / t.active), 6) END AS lufs FROM f
+""")(lambda s: Q.chunk_loudness(packed_sound(s)).withColumn("lufs", F.round("lufs", 6)))
