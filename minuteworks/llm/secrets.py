@@ -180,7 +180,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, mask: str = "[secret]", vocabulary: str = "byte_bpe_50k.tiktoken", max_ratio: float = 2.0) -> DataFrame:
     """All rows and columns of ``docs``, with every span of ``text`` replaced by ``mask`` (spans that
     overlap by one mask) and ``n_chars``, if there is one, counted anew.  Texts without secrets, null
-    ones too, stay as they are."""
+    ones too, stay as they are.  Each row stands for itself, so rows that repeat an id or have none are
+    masked like all others; a text has to fit a worker as one string; an empty table stays empty."""
     schema, names = docs.schema, docs.columns
     text_at = names.index("text")
 

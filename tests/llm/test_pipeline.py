@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from minuteworks.llm import quality as Q
 from minuteworks.llm import secrets as X
@@ -75,3 +77,19 @@ def test_stages_take_nulls_repeats_and_any_columns(spark, sf_dir):
         assert len(rows("secrets")) == len(ROWS) and (4, "[secret]") in rows("secrets") and (2, None) in rows("secrets")
         packed = left["packing"].collect()
         assert len(packed) == len(ROWS) and {r.doc_id for r in packed} == {1, 2, 3, 4, 5, None}
+
+
+def test_very_long_texts_in_the_row_wise_stages(spark, sf_dir):
+    """A fair text of a megabyte stays whole through quality; secrets anywhere in one are masked, the rest stays."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fair = " ".join(r.text for r in docs.where("lang = 'en' AND length(text) > 1500").orderBy("doc_id").limit(60).collect())
+    long = (fair + " ") * (1_000_000 // len(fair) + 1)
+    rows = docs.limit(3).withColumn("text", F.lit(None).cast("string")).unionByName(docs.limit(1).withColumn("text", F.lit(long)))
+    graded = C.quality(spark, docs.unionByName(rows.where("text IS NOT NULL").withColumn("doc_id", F.lit(10**9).cast("long"))), sf_dir)
+    kept = graded.where("doc_id = 1000000000").collect()
+    assert [r.text for r in kept] == [long]
+    secret = "password=abcdefghijklmnop1"
+    planted = rows.withColumn("text", F.concat(F.lit(secret + " "), "text", F.lit(" " + secret)))
+    (got,) = C.secrets(spark, planted, sf_dir).where("text IS NOT NULL").collect()
+    assert got.text.startswith("[secret] ") and got.text.endswith(" [secret]") and secret not in got.text and len(got.text) > 1_000_000
+    assert C.secrets(spark, rows.limit(0), sf_dir).count() == 0
