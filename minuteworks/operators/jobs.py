@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minuteworks.functions.quantiles import percentiles
+from minuteworks.functions.quantiles import with_percentiles
 from minuteworks.functions.text import strip
 from minuteworks.functions.zones import ZONE, with_zone
 
@@ -203,11 +203,13 @@ def illegal_transitions(state_log: DataFrame) -> DataFrame:
 
 
 def stage_timings(timings: DataFrame) -> DataFrame:
-    """Per stage, status and mode: count, mean, median, 95th percentile (:func:`percentiles`) and maximum of
+    """Per stage, status and mode: count, mean, median, 95th percentile (both exact) and maximum of
     ``timings_ms``."""
     rows = timings.select("status", "enhancement_mode", F.explode("timings_ms").alias("stage", "ms"))
-    found = rows.groupBy("stage", "status", "enhancement_mode").agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("mean_ms"), percentiles("ms", [0.5, 0.95]).alias("p"), F.max("ms").alias("max_ms"))
-    return found.select("stage", "status", "enhancement_mode", "n", "mean_ms", F.col("p")[0].alias("p50_ms"), F.col("p")[1].alias("p95_ms"), "max_ms")
+    by = ["stage", "status", "enhancement_mode"]
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"))
+    found = with_percentiles(sums, rows, by, "ms", [0.5, 0.95])
+    return found.select(*by, "n", "mean_ms", F.col("percentiles")[0].alias("p50_ms"), F.col("percentiles")[1].alias("p95_ms"), "max_ms")
 
 
 # For each stage, buckets and the patterns of their messages; the first match wins.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from minuteworks.functions.quantiles import percentiles
+from minuteworks.functions.quantiles import with_percentiles
 
 
 def command_traces(logs: DataFrame) -> DataFrame:
@@ -22,13 +22,13 @@ def command_summary(traces: DataFrame) -> DataFrame:
 
 
 def http_summary(lines: DataFrame) -> DataFrame:
-    """Calls, failures by kind, mean and 95th percentile (:func:`percentiles`) by operation, host and class
+    """Calls, failures by kind, mean and 95th percentile (exact) by operation, host and class
     of status."""
     kind = F.when(F.col("status").isNull(), "none").otherwise(F.concat(F.floor(F.col("status") / 100).cast("string"), F.lit("xx")))
-    return lines.groupBy("operation", "host", kind.alias("status_class")).agg(
-        F.count(F.lit(1)).alias("n_calls"), F.count_if(F.col("failure") == "timeout").alias("n_timeout"), F.count_if(F.col("failure") == "connect").alias("n_connect"),
-        F.avg("duration_ms").alias("mean_ms"), percentiles("duration_ms", [0.95])[0].alias("p95_ms"),
-    )
+    by = ["operation", "host", "status_class"]
+    rows = lines.withColumn("status_class", kind)
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_calls"), F.count_if(F.col("failure") == "timeout").alias("n_timeout"), F.count_if(F.col("failure") == "connect").alias("n_connect"), F.avg("duration_ms").alias("mean_ms"))
+    return with_percentiles(sums, rows, by, "duration_ms", [0.95]).withColumn("p95_ms", F.col("percentiles")[0]).drop("percentiles")
 
 
 def problems(lines: DataFrame) -> DataFrame:
