@@ -100,3 +100,12 @@ def test_handoffs_over_batches(spark, tmp_path):
     ]
     out, _ = run(spark, tmp_path, K.dedupe_handoffs, "audio_path string, seq long, kind string, handed_at timestamp, ts timestamp", files)
     assert {r[1]: r[3] for run_ in out for r in run_} == {1: "accepted", 2: "duplicate", 3: "active", 5: "accepted", 6: "duplicate", 7: "active", 9: "duplicate", 10: "accepted", 11: "active", 13: "active", 15: "accepted", 16: "accepted"}
+
+
+def test_the_last_unanswered_commands_come_out(spark, tmp_path):
+    from minuteworks.plans import QUERIES
+
+    rows = spark.range(1, 32).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT)) AS ts", "id AS user_id", "'click' AS event_type", "1.0D AS value", "'' AS props")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.request_id: r.outcome for r in QUERIES["k7_command_traces"](spark, str(tmp_path)).collect()}
+    assert found == {str(i): None if i % 10 == 0 else "completed" for i in range(1, 32)}
