@@ -151,3 +151,15 @@ def small_shuffles(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     yield
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_files_of_one_small_table_are_work_for_all_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from minuteworks.sources import files as S
+
+    rows = spark.range(40).coalesce(1).select(F.concat(F.lit("f/"), F.col("id").cast("string")).alias("path"), F.lit("x").alias("content"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = S.write_files(rows, f"file://{tmp_path}")
+    assert tasks > 1 and written.rdd.getNumPartitions() == tasks and written.count() == 40
+    assert S.file_texts(rows, f"file://{tmp_path}").rdd.getNumPartitions() == tasks
