@@ -243,12 +243,18 @@ def error_bucket(jobs: DataFrame, stage: Column | str | None = None, buckets=ERR
     return jobs.withColumn("bucket", found.otherwise(F.concat(at, F.lit("_failed"))))
 
 
-def import_contexts(df: DataFrame) -> DataFrame:
+def import_contexts(df: DataFrame, repeated: str = "earlier") -> DataFrame:
     """``recorded_at`` (UTC) of a local time ``YYYY-MM-DDTHH:MM`` in the row's zone, or ``error``.
-    Times that do not exist, by the calendar or the zone's clock, are rejected; unknown zones too."""
+    Times that do not exist, by the calendar or the zone's clock, are rejected; unknown zones too.  Of a time
+    that the clock shows twice, as it is set back, the ``earlier`` or the ``later`` one is meant."""
     local = F.try_to_timestamp("local_time", F.lit("yyyy-MM-dd'T'HH:mm"))
     df, zone = with_zone(df, F.col("timezone"))
     utc = F.to_utc_timestamp(local, zone)
+    if repeated == "later":
+        # by the offset of a day later: no clock is set back by more
+        day = F.expr("INTERVAL 1 DAY")
+        again = local - (F.from_utc_timestamp(utc + day, zone) - (utc + day))
+        utc = F.when((again > utc) & (F.from_utc_timestamp(again, zone) == local), again).otherwise(utc)
     shape = F.col("local_time").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d$")
     error = F.when(~shape | local.isNull(), "local_time").when(zone.isNull(), "timezone").when(F.from_utc_timestamp(utc, zone) != local, "local_time")
     return df.withColumns({"error": error, "recorded_at": F.when(error.isNull(), utc)}).drop(ZONE)
