@@ -1,4 +1,5 @@
 import random
+import re
 from hashlib import md5
 
 import pytest
@@ -212,3 +213,40 @@ def test_near_matches_by_pieces_are_all_near_matches(spark):
                 if found:
                     want[recording, term] = found
     assert got == want and want
+
+
+def test_seams_and_words_are_those_of_the_plain_definition():
+    def slow(tail, head):
+        for k in range(min(len(tail), len(head), X.LONGEST_SEAM), X.SHORTEST_SEAM - 1, -1):
+            if 5 * sum(x == y != "" for x, y in zip(tail[-k:], head)) >= 4 * k:
+                return k
+        return 0
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        tail = [rng.choice(["a", "b", "", "c"]) for _ in range(rng.randrange(60))]
+        head = tail[-rng.randrange(1, 50) :] + [rng.choice(["a", "d", ""]) for _ in range(rng.randrange(30))] if rng.random() < 0.7 else [rng.choice("abx") for _ in range(rng.randrange(60))]
+        head = [rng.choice(["z", w, w, w, w, w]) for w in head]
+        assert X.seam(tail, head) == slow(tail, head)
+    given = ["It's_1", "--", "ΑΣ_2", "İx", "¼½", "a\u0301b", "Ⅻ", "_", "STRASSE", "x²"]
+    for n in range(len(given) + 1):
+        assert X.plain_words(given[:n]) == [X.plain(w) for w in given[:n]]
+    ascii_words = [chr(a) + chr(b) for a in range(33, 127) for b in range(33, 127)]
+    assert X.plain_words(ascii_words) == [X.plain(w) for w in ascii_words]
+
+
+def test_parts_become_rows_without_the_whole_document(spark):
+    """No generator may carry all words of a document into each of its rows."""
+    from minuteworks.plans.speech import overlapping_parts
+
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(300)))], "recording_id long, text string")
+    parts = overlapping_parts(docs)
+    assert [(r.chunk_index, r.n, r.text.split()[0], len(r.text.split())) for r in parts.collect()] == [(0, 300, "w0_0", 120), (1, 300, "w108_108", 132), (2, 300, "w228_228", 72)]
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate posexplode\(.*?\), \[\d+\]", plan)  # the words are dropped there
+
+
+def test_cleaning_of_ends_and_of_texts_in_one_segment(spark):
+    texts = ["one segment", " ends ", "a.b", "a. b", "x\n", "\u00a0a\u2003", "a  a", ".,!", "", "A-\nb. B", "b.\u2028c"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").orderBy("i").select(X.clean_transcript(F.col("text")).alias("t")).collect()]
+    assert got == ["one segment", "ends", "a.b", "a.  b", "x", "a", "a", "", "", "A-  b.", "b.  c"]
