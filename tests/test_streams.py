@@ -109,3 +109,17 @@ def test_the_last_unanswered_commands_come_out(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     found = {r.request_id: r.outcome for r in QUERIES["k7_command_traces"](spark, str(tmp_path)).collect()}
     assert found == {str(i): None if i % 10 == 0 else "completed" for i in range(1, 32)}
+
+
+def updated(spark, tmp_path, operator, schema, rows):
+    """Rows of state that one batch writes."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = operator(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    with K.rocksdb_state(spark):
+        query = stream.writeStream.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start()
+        query.awaitTermination()
+    return max(op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def test_parts_that_come_all_at_once_are_not_stored(spark, tmp_path):
+    assert updated(spark, tmp_path, K.live_transcripts, PARTS, [part("r", i, 50, f"w{i}", 1) for i in range(50)]) <= 5
