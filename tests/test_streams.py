@@ -123,3 +123,8 @@ def updated(spark, tmp_path, operator, schema, rows):
 
 def test_parts_that_come_all_at_once_are_not_stored(spark, tmp_path):
     assert updated(spark, tmp_path, K.live_transcripts, PARTS, [part("r", i, 50, f"w{i}", 1) for i in range(50)]) <= 5
+
+
+def test_times_of_handoffs_are_stored_by_the_month(spark, tmp_path):
+    rows = [("a", i, "handoff", datetime(2024, 1, 1) + timedelta(days=i), START + timedelta(seconds=i)) for i in range(30)]
+    assert updated(spark, tmp_path, K.dedupe_handoffs, "audio_path string, seq long, kind string, handed_at timestamp, ts timestamp", rows) <= 6
