@@ -12,7 +12,7 @@ more generations, so that only the last round leaves a remainder.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -90,11 +90,12 @@ def evolve(size: list[int], capacity: int, population: list[list[Bin]], seed: in
     """
     rng = np.random.default_rng(seed)
     least = -(-sum(size) // capacity)
-    score = lambda b: (len(b), -fitness(b, size, capacity))
     population = list(population)
     while len(population) < members:
         population.append(Bins(size, capacity).put(range(len(size)), rng, 0.25 + 0.3 * len(population) / members).done())
-    population.sort(key=score)
+    scores = [(len(b), -fitness(b, size, capacity)) for b in population]  # each individual is scored once
+    order = sorted(range(len(population)), key=scores.__getitem__)
+    population, scores = [population[k] for k in order], [scores[k] for k in order]
     for _ in range(generations + min(most_generations, per_excess * (len(population[0]) - least))):
         if len(population[0]) <= least or len(population) < 2:
             break
@@ -103,7 +104,11 @@ def evolve(size: list[int], capacity: int, population: list[list[Bin]], seed: in
         if rng.random() < 0.5:
             child = mutate(child, size, capacity, rng)
         if set(child) not in map(set, population):
-            population = sorted([*population, child], key=score)[:members]
+            score = (len(child), -fitness(child, size, capacity))
+            at = bisect_right(scores, score)
+            population.insert(at, child)
+            scores.insert(at, score)
+            del population[members:], scores[members:]
     return population[:members]
 
 

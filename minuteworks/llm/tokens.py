@@ -4,6 +4,7 @@ The tokenizer (lower case, split by a pattern, byte-pair merges inside each spli
 across white space, so a text's ids are the ids of its chunks between ASCII white space, one after
 the other.  Chunks and the words inside them repeat: Arrow finds the distinct chunks of a slice, a cache
 bounded in bytes keeps the ids of words in each Python worker, and only other words reach the library.
+Most chunks are one word between signs (`"word",`), which needs no pattern.
 Chunks outside the Latin blocks, where normalisation may change more than case, go to the library whole.
 """
 
@@ -22,6 +23,9 @@ import regex
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Printable characters of the Latin blocks: each is its own NFC form, and lower() maps each alone.
 PLAIN = regex.compile(r"[!-~¡-ɏ]+")
+#: ASCII characters that the pattern takes in one run.
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+BYTE_SIGNS = SIGNS.encode()
 
 
 def vocabulary_path(name: str) -> str:
@@ -67,7 +71,6 @@ class ChunkTokenizer:
         self.words = WordCache(most_bytes)
         self.find = regex.compile(WORDS).findall
         self.letters = byte_letters()
-        self.signs = {c: self._word(bytes([c])) for c in range(33, 127) if not chr(c).isalpha()}
 
     def _word(self, word: bytes) -> bytes:
         """The ids of a lower-case word that the pattern does not split."""
@@ -83,12 +86,22 @@ class ChunkTokenizer:
     def _chunk(self, chunk: bytes) -> bytes:
         if chunk.isalpha():
             return self._word(chunk.lower())
-        if (head := chunk[:-1]).isalpha() and chunk[-1] in self.signs:
-            return self._word(head.lower()) + self.signs[chunk[-1]]
+        core = chunk.strip(BYTE_SIGNS)
+        if core.isalpha():
+            head, _, tail = chunk.partition(core)
+            if head != b"'" and b"<|" not in head:  # 's and others are split; special tokens are whole
+                ids = self._word(core.lower())
+                return (self._word(head) if head else b"") + ids + (self._word(tail) if tail else b"")
         text = chunk.decode("utf-8", "replace")
         if not PLAIN.fullmatch(text) or "<|" in text:
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join([self._word(w.encode()) for w in self.find(text.lower())])
+        text = text.lower()
+        if text.isalpha():
+            return self._word(text.encode())
+        core = text.rstrip(SIGNS)
+        if core.isalpha():
+            return self._word(core.encode()) + self._word(text[len(core) :].encode())
+        return b"".join([self._word(w.encode()) for w in self.find(text)])
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids end.  Only distinct chunks
@@ -99,7 +112,8 @@ class ChunkTokenizer:
         # ASCII white space only: what else counts as white space is left to the library
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary() if coded.dictionary.type == pa.string() else pa.large_binary()).to_pylist()
+        # far quicker than to_pylist
+        distinct = coded.dictionary.cast(pa.binary() if coded.dictionary.type == pa.string() else pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         known = self.words.new.get
         values = [known(c) or self._chunk(c) if c else c for c in distinct]
         pool = np.frombuffer(b"".join(values), "<u4")

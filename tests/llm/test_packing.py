@@ -140,3 +140,25 @@ def test_crossover_reaches_the_bound_on_lengths_of_the_table(monkeypatch):
     start = excess(0)
     assert not crossed
     assert excess(8) < start and crossed
+
+
+def test_individuals_are_scored_once(monkeypatch):
+    scored, plain = [], P.fitness
+    monkeypatch.setattr(P, "fitness", lambda *args: (scored.append(1), plain(*args))[1])
+    size = np.random.default_rng(4).integers(1000, 1900, 300).tolist()
+    P.evolve(size, 4096, [], 0, 20, most_generations=0)
+    assert len(scored) <= 4 + 20
+
+
+def test_words_between_signs_need_no_pattern():
+    """Their ids are the library's, as are those of chunks that look like them."""
+    coder, split = ChunkTokenizer(vocabulary_path("word_bpe_49k.json")), []
+    plain = coder.find
+    coder.find = lambda text: (split.append(text), plain(text))[1]
+    simple = ["haus&&&", '"word",', "(so)", "année", "l'", "Été...", "ñu&&"]
+    odd = ["'she", "\"'she", "don't,", "''s", "été's", "'été", "İzmir,", "<|endoftext|>", "(<|endoftext|>)", "<|", "a<|", "a1,", "&&&", "ªº,", "́a,", "ﬁ,", "K,"]
+    for texts in (simple, odd, simple + odd):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode(texts)] == [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+        if texts is simple:
+            assert not split
+    assert split
