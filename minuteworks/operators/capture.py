@@ -24,12 +24,14 @@ def start_trims(chunks: DataFrame, starts: DataFrame) -> DataFrame:
     """``trim_bytes`` of each chunk: the stream that started earlier loses whole frames for the
     difference, chunk after chunk until it is spent.  ``starts``: recording, track, ``start_ms``;
     ``chunks``: recording, track, chunk_index, ``bytes, sample_rate, channels``."""
-    ends = starts.groupBy("recording_id").agg(F.max("start_ms").alias("latest"), F.count_distinct("track").alias("tracks"))
-    offset = starts.join(ends, "recording_id").select("recording_id", "track", F.when(F.col("tracks") > 1, F.col("latest") - F.col("start_ms")).otherwise(0).alias("offset_ms"))
-    rows = chunks.join(offset, ["recording_id", "track"], "left").fillna(0, ["offset_ms"])
+    recording = Window.partitionBy("recording_id")
+    two = F.min("track").over(recording) < F.max("track").over(recording)
+    offset = starts.select("recording_id", "track", F.when(two, F.max("start_ms").over(recording) - F.col("start_ms")).otherwise(0).alias("offset_ms"))
+    # the window comes before the join, which can use its order: chunks are sorted once
+    before = F.sum("bytes").over(Window.partitionBy("recording_id", "track").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1))
+    rows = chunks.withColumn("_before", F.coalesce(before, F.lit(0))).join(offset.hint("merge"), ["recording_id", "track"], "left").fillna(0, ["offset_ms"])
     whole = F.floor(F.col("offset_ms") * F.col("sample_rate") / 1000) * F.col("channels") * 2
-    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("recording_id", "track").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("trim_bytes", F.least(F.col("bytes"), F.greatest(F.lit(0), whole - before)).cast("long"))
+    return rows.withColumn("trim_bytes", F.least(F.col("bytes"), F.greatest(F.lit(0), whole - F.col("_before"))).cast("long")).drop("_before")
 
 
 def sample_levels(samples: DataFrame) -> DataFrame:

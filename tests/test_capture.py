@@ -96,3 +96,21 @@ def test_loudness_against_the_recurrence(spark):
         power = sum(active) / len(active) if len(x) >= 4800 and len(active) >= 2400 else 0.0
         want = -0.691 + 10 * math.log10(power) if power > 1e-12 else None
         assert (got[k] is None) == (want is None) and (want is None or abs(got[k] - want) < 1e-9)
+
+
+def test_start_trims_sort_the_chunks_once(spark):
+    chunks = [("a", "microphone", 0, 30), ("a", "microphone", 1, 30), ("a", "microphone", 2, 500), ("a", "system", 0, 100), ("b", "microphone", 0, 70), ("c", "microphone", 0, 9), (None, "system", 0, 5)]
+    chunks = spark.createDataFrame(chunks, "recording_id string, track string, chunk_index int, bytes long").selectExpr("*", "1000 AS sample_rate", "1 AS channels")
+    starts = spark.createDataFrame([("a", "microphone", 10), ("a", "system", 60), ("b", "microphone", 5), ("d", "system", 1), (None, "system", 1), (None, "microphone", 9)], "recording_id string, track string, start_ms int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = Q.start_trims(chunks, starts)
+        got = {tuple(r) for r in out.select("recording_id", "track", "chunk_index", "trim_bytes").collect()}
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {("a", "microphone", 0, 30), ("a", "microphone", 1, 30), ("a", "microphone", 2, 40), ("a", "system", 0, 0), ("b", "microphone", 0, 0), ("c", "microphone", 0, 0), (None, "system", 0, 0)}
+    assert plan.count("Join") == 1  # offsets need no join of their own
+    assert final.count("Sort [") == 3  # chunks, starts by recording, offsets
