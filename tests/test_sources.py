@@ -1,8 +1,10 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from minuteworks.plans.sidecars import jdbc_source
 from minuteworks.sources import files as S
 from minuteworks.streaming import live as K
 
@@ -60,6 +62,16 @@ def test_a_database_table_is_read_in_parts(spark):
     assert S.read_table(spark, source, "none_at_all", "id").count() == 0
 
 
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[3,4,10240]"])
+def test_executors_elsewhere_need_the_url_of_a_database(master):
+    """Nothing is connected to: only the options are asked for."""
+    session = lambda master, url=None: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: url or default), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="spark.minuteworks.jdbc.url"):
+        jdbc_source(session(master))
+    assert jdbc_source(session(master, "jdbc:postgresql://host/db")) == {"url": "jdbc:postgresql://host/db"}
+    assert all("memory" in jdbc_source(session(m))["url"] for m in ("local", "local[*]", "local[4,2]"))
+
+
 def test_parts_attempts_assets(spark, tmp_path):
     put(tmp_path / "r1.parts/chunk-9999.txt", "early\nline")
     put(tmp_path / "r1.parts/chunk-10000.txt", "late")
