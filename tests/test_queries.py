@@ -38,3 +38,22 @@ def test_query(spark, sf_dir, duck, name):
         names = [d[0] for d in result.description]
         assert sorted(names) == columns
         assert got == sorted(str([plain(r[names.index(c)]) for c in columns]) for r in result.fetchall())
+
+
+def rows_and_sql(spark, tmp_path, name, texts):
+    """Rows of a query over documents of these texts, and those of its SQL."""
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    df = plans.QUERIES[name](spark, str(tmp_path))
+    return sorted(map(tuple, df.collect()), key=repr), sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES[name]})").fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("name", ["g20_useful_title"])
+def test_a_title_that_is_cut_after_a_full_stop_and_two_stars(spark, tmp_path, name):
+    """As in texts whose words end in three stars: the first 60 characters of these end in ``.**``."""
+    text = "Billing service migration with another budget review here.*** said"
+    assert text[:60].endswith(".**")
+    got, sql = rows_and_sql(spark, tmp_path, name, [text, text, text.replace("here", "now")])
+    assert got == sql
