@@ -50,7 +50,7 @@ def rows_and_sql(spark, tmp_path, name, texts):
     return sorted(map(tuple, df.collect()), key=repr), sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES[name]})").fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", ["g20_useful_title", "g15_titles_and_expansion"])
+@pytest.mark.parametrize("name", ["g20_useful_title", "g15_titles_and_expansion", "g21_derive_titles"])
 def test_a_title_that_is_cut_after_a_full_stop_and_two_stars(spark, tmp_path, name):
     """As in texts whose words end in three stars: the first 60 characters of these end in ``.**``."""
     text = "Billing service migration with another budget review here.*** said"
