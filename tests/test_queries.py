@@ -57,3 +57,10 @@ def test_a_title_that_is_cut_after_a_full_stop_and_two_stars(spark, tmp_path, na
     assert text[:60].endswith(".**")
     got, sql = rows_and_sql(spark, tmp_path, name, [text, text, text.replace("here", "now")])
     assert got == sql
+
+
+def test_transcripts_are_stripped_around_any_text(spark, tmp_path):
+    """No text at all, blanks of any kind at its ends, headings of its own, and the headings of the query."""
+    texts = ["", None, " ", " a ", "\n", "a\n", "\t a", " a　", "# a", "a\n# b\nc", "\n# ", "a\n## b\n\n\nc", "a\n#### b", "## Kept\na", "a\n## End", "a\r\n# b\r\n", "plain"]
+    got, sql = rows_and_sql(spark, tmp_path, "g9_strip_transcript", texts)
+    assert got == sql
