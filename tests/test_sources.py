@@ -175,3 +175,38 @@ def test_files_of_one_small_table_are_work_for_all_tasks(spark, tmp_path):
     written = S.write_files(rows, f"file://{tmp_path}")
     assert tasks > 1 and written.rdd.getNumPartitions() == tasks and written.count() == 40
     assert S.file_texts(rows, f"file://{tmp_path}").rdd.getNumPartitions() == tasks
+
+
+def test_sidecars_are_listed_and_read_in_tasks(spark, tmp_path):
+    """The driver holds no list of files; what is read of them is the same as by Spark's own reader."""
+    good = {"schemaVersion": 1, "jobId": "j", "generation": 3}
+    for name in ("a", "d e/f", "x/y/z/g"):
+        put(tmp_path / f"{name}.processing.json", good | {"jobId": name})
+    for name, content in {
+        "utf8-sig": json.dumps(good | {"jobId": "ü"}).encode("utf-8-sig"), "utf16": json.dumps(good | {"jobId": "ü16"}, ensure_ascii=False).encode("utf-16"), "lines": b'{"jobId":\n "l",\n "new": [1]}\n', "empty": b"", "null": b"null", "latin": b'{"jobId": "\xfc"}',
+        "kind": b'{"jobId": "k", "generation": "three"}', "broken": b"{broken", ".hidden": json.dumps(good).encode(), "_hidden": json.dumps(good).encode(), "_a=b": json.dumps(good | {"jobId": "part"}).encode(),
+    }.items():
+        (tmp_path / f"{name}.processing.json").write_bytes(content)
+    put(tmp_path / "_folder/a.processing.json", good)
+    put(tmp_path / ".folder/a.processing.json", good)
+    put(tmp_path / "a.processing.json.backup", good)
+    own = S.read_manifests(spark, f"file://{tmp_path}")
+    assert not any(f.endswith(".processing.json") for f in own.inputFiles())
+    theirs = S.read_manifests(spark, f"file://{tmp_path}*")  # a pattern: Spark lists it
+    assert any(f.endswith(".processing.json") for f in theirs.inputFiles()) and own.columns == theirs.columns
+    rows = lambda df: sorted(map(str, df.drop("path").collect()))
+    assert rows(own) == rows(theirs) and sorted(r.jobId for r in own.collect()) == ["a", "d e/f", "l", "part", "x/y/z/g", "ü", "ü16"]
+    assert {r.path for r in own.collect() if r.generation and r.jobId.startswith("d")} == {f"file://{tmp_path}/d e/f.processing.json"}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.read_manifests(spark, f"file://{tmp_path}/nothing").collect()
+
+
+def test_a_large_folder_is_listed_in_batches(tmp_path, monkeypatch):
+    """One name of a folder is held at a time, and a folder that is not there has none."""
+    for k in range(30):
+        put(tmp_path / f"f{k}", "x")
+    (tmp_path / "folder").mkdir()
+    monkeypatch.setattr(S.pafs, "FileSelector", lambda *_, **__: pytest.fail("listed as a whole"))
+    fs = S.pafs.LocalFileSystem()
+    assert sorted(S.entries(fs, str(tmp_path))) == sorted([(f"f{k}", False) for k in range(30)] + [("folder", True)])
+    assert list(S.entries(fs, f"{tmp_path}/nothing")) == []
